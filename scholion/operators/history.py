@@ -1,0 +1,190 @@
+"""Duplicates of new batches against all history, by a segment index for edit distance.
+
+Strings that describe a record (the head of its title, its DOI, its place in
+print) are cut into a fixed number of segments, one more than the edits allowed:
+two strings within that distance share a segment, shifted by no more places
+than there can be edits before it. The index stores a record's segments by
+view, length and position; a new record is probed with the substrings that can
+meet them. Each key is refined with a second field of the record, so that a
+title or a DOI which many works share is no hot key. Candidates are verified
+with bounded edit distances and the supporting fields, and the new segments are
+appended for the batches to come.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scholion.functions.text import plain_doi, plain_name, plain_title, present, year_of
+from scholion.operators.components import components
+from scholion.session import checkpoint
+
+#: Characters of a title's head that are indexed, and the edits allowed in the views.
+HEAD, TITLE_EDITS, SHORT_EDITS = 24, 2, 1
+
+_KIND = r"\b(erratum|corrigendum|correction|addendum|retraction|comment|reply|response|part\s+(?:\d+|[ivx]+)|supplement|[ivx]{2,})\b"
+
+
+def describe(entries: DataFrame) -> DataFrame:
+    """The fields a record is compared by. Columns other than those of ``entries`` are dropped."""
+    t = plain_title(F.col("title"))
+    core = F.regexp_replace(t, r"^(?:(?:on|the|a|an|of|towards?|how|effects?|from|zur|der|die|das|le|la|les|el)\s+)+(?=\S)", "")
+    return (
+        entries.select(
+            F.col("entry_id").cast("bigint").alias("id"),
+            F.coalesce(F.col("batch_no"), F.lit(0)).alias("batch"),
+            F.coalesce(t, F.lit("")).alias("title"),
+            F.coalesce(F.replace(core, F.lit(" "), F.lit("")), F.lit("")).alias("core"),
+            plain_doi(F.col("doi")).alias("doi"),
+            present(plain_name(F.coalesce(F.col("surname"), F.expr("authors[0].last_name"), F.expr("authors[0].name")))).alias("surname"),
+            year_of(F.col("year")).alias("year"),
+            present(F.lower("volume")).alias("volume"),
+            present(F.lower("firstpage")).alias("page"),
+        )
+        .where("id is not null")
+        .withColumn("kind", F.array_join(F.regexp_extract_all("title", F.lit(_KIND), 1), " "))
+        .withColumn("numbers", F.array_join(F.array_sort(F.regexp_extract_all("title", F.lit(r"(\d+)"), 1)), " "))
+    )
+
+
+def _views() -> list[tuple[str, Column, int, int | None, list[Column]]]:
+    """View, string, edits allowed, fixed head or None, and the fields that refine its keys."""
+    who = F.substring("surname", 1, 4)
+    place = F.concat_ws("|", "volume", "page")
+    c = F.concat_ws("|", who, "volume", "page")
+    return [
+        ("t", F.nullif(F.substring("core", 1, HEAD), F.lit("")), TITLE_EDITS, HEAD, [F.when(F.col("page").isNotNull() & F.col("volume").isNotNull(), place), F.concat("page", F.lit("|y"), "year"), F.concat(who, F.lit("|v"), "volume"), F.concat(who, F.lit("|y"), "year"), F.concat(who, F.lit("|p"), "page"), F.col("doi")]),
+        ("d", F.col("doi"), SHORT_EDITS, None, [F.concat(F.lit("p"), "page"), F.concat(F.lit("s"), who), F.concat(F.lit("t"), F.substring("core", 1, 8))]),
+        ("c", F.when(F.col("surname").isNotNull() & F.col("volume").isNotNull() & F.col("page").isNotNull(), c), SHORT_EDITS, None, [F.concat(F.lit("t"), F.substring("core", 1, 6)), F.concat(F.lit("y"), "year"), F.concat(F.lit("d"), "doi")]),
+    ]
+
+
+def _taken(s: Column, options: Column, view: str) -> Column:
+    """The substrings at the given places, each with its view and the length it belongs to."""
+    return F.transform(
+        F.filter(options, lambda o: (o["at"] >= 0) & (o["len"] > 0) & (o["at"] + o["len"] <= F.length(s))),
+        lambda o: F.struct(F.lit(view).alias("v"), o["n"].alias("n"), s.substr((o["at"] + 1).cast("int"), o["len"].cast("int")).alias("piece")),
+    )
+
+
+def _refined(pieces: Column, support: list[Column]) -> Column:
+    """Keys of the substrings, each refined with every supporting field that is known."""
+    fields = F.filter(F.array(*support), lambda x: x.isNotNull())
+    return F.flatten(F.transform(fields, lambda r: F.transform(pieces, lambda p: F.xxhash64(p["v"], p["n"], p["piece"], r))))
+
+
+def _pieces(views: list, stored: bool) -> Column:
+    """Array of keys of one record: its own segments, or all substrings that may meet a stored one."""
+    none = F.array().cast("array<bigint>")
+    arrays = []
+    for name, s, edits, head, support in views:
+        parts = edits + 1
+        n = F.length(s)
+        keys = []
+        for i in range(parts):
+            # Lengths that a stored string may have, and the shifts that the edits before a segment allow.
+            lengths = [0] if stored or head else range(-edits, edits + 1)
+            shifts = [0] if stored else range(-min(i, edits), min(i, edits) + 1) if head else range(-edits, edits + 1)
+            start = lambda d, i=i, n=n: F.floor((n + d) * i / parts)  # noqa: E731, B023
+            options = [F.struct((n + d).alias("n"), (start(d) + k).alias("at"), (start(d, i + 1) - start(d)).alias("len")) for d in lengths for k in shifts]
+            keys.append(_taken(s, F.array(*options), f"{name}{i}"))
+        pieces = F.when(s.isNotNull(), F.array_distinct(F.concat(*keys)))
+        arrays.append(F.coalesce(_refined(pieces, support), none))
+    return F.array_distinct(F.concat(*arrays))
+
+
+def index_rows(described: DataFrame) -> DataFrame:
+    """The segment index of records: (``key``, ``id``, ``batch``); append these rows of every accepted batch."""
+    return described.select("id", "batch", F.explode(_pieces(_views(), True)).alias("key"))
+
+
+def probe(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """Candidates (``old``, ``new``): records of the index that came before a record of the batch and meet one of its probes.
+
+    Only the batch's own probes are shuffled besides the stored index; history
+    itself isn't compared again.
+    """
+    probes = batch.select(F.col("id").alias("new"), F.col("batch").alias("new_batch"), F.explode(_pieces(_views(), False)).alias("key"))
+    met = probes.join(index, "key").where((F.col("batch") < F.col("new_batch")) | ((F.col("batch") == F.col("new_batch")) & (F.col("id") < F.col("new"))))
+    return met.select(F.col("id").alias("old"), "new").distinct()
+
+
+def _near(a: Column, b: Column, share: float) -> Column:
+    """Edit distance within a share of the longer string; null where either is."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.levenshtein(a, b) <= F.floor(longest * share)
+
+
+def verify(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The candidates that describe the same work."""
+    cols = ["title", "core", "doi", "surname", "year", "volume", "page", "kind", "numbers"]
+    x = pairs.join(old.select(F.col("id").alias("old"), *[F.col(c).alias(f"{c}_a") for c in cols]), "old").join(new.select(F.col("id").alias("new"), *[F.col(c).alias(f"{c}_b") for c in cols]), "new")
+    a, b = F.col("core_a"), F.col("core_b")
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    n = F.length(short)
+    cut = (n >= 12) & (F.levenshtein(short, F.substring(long, F.lit(1), n)) <= F.floor(n * 0.1) + 1)
+    words_a, words_b = F.split("title_a", " "), F.split("title_b", " ")
+    shared = F.size(F.array_intersect(words_a, words_b)) / F.greatest(F.lit(1), F.least(F.size(F.array_distinct(words_a)), F.size(F.array_distinct(words_b))))
+    x = x.select(
+        "old", "new",
+        (a == b).alias("same"), _near(a, b, 0.06).alias("close"), (_near(a, b, 0.25) | cut | (shared >= 0.6)).alias("alike"), (cut | _near(a, b, 0.2)).alias("headed"),
+        F.coalesce(F.col("doi_a") == F.col("doi_b"), F.lit(False)).alias("doi_same"),
+        F.coalesce(F.levenshtein("doi_a", "doi_b") <= 2, F.lit(False)).alias("doi_near"),
+        (F.col("doi_a").isNull() | F.col("doi_b").isNull()).alias("doi_open"),
+        F.coalesce((F.abs(F.col("year_a") - F.col("year_b")) <= 1), F.lit(True)).alias("year_ok"),
+        (F.col("volume_a") == F.col("volume_b")).alias("volume_ok"),
+        (F.col("page_a") == F.col("page_b")).alias("page_ok"),
+        (_near(F.col("surname_a"), F.col("surname_b"), 0.34) | F.col("surname_a").contains(F.col("surname_b")) | F.col("surname_b").contains(F.col("surname_a"))).alias("who_ok"),
+        ((F.col("kind_a") == F.col("kind_b")) & (F.length("title_a") > 0) & (F.length("title_b") > 0)).alias("kind_ok"),
+        (F.col("numbers_a") == F.col("numbers_b")).alias("numbers_ok"),
+        ((F.length(a) < 24) & (F.length(b) < 24)).alias("generic"),
+    )
+    true = lambda c: F.coalesce(F.col(c), F.lit(True))  # noqa: E731  # nothing known speaks against it
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    base = F.col("kind_ok") & F.col("year_ok") & true("volume_ok") & true("page_ok")
+    printed = known("page_ok") & (known("volume_ok") | known("doi_near") | F.col("close")) & F.col("alike") & (true("who_ok") | F.col("doi_near") | F.col("close"))
+    by_doi = F.col("doi_near") & F.col("headed") & (F.col("numbers_ok") | F.col("doi_same"))
+    by_title = (F.col("same") | (F.col("close") & F.col("numbers_ok"))) & known("who_ok") & (F.col("doi_open") | known("page_ok") | F.col("same")) & (known("volume_ok") | known("page_ok") | ~F.col("generic"))
+    return x.where(base & (printed | by_doi | by_title)).select("old", "new")
+
+
+def duplicates(entries: DataFrame) -> DataFrame:
+    """(``entry_a``, ``entry_b``): each later record of a work with the work's first, by (``batch_no``, ``entry_id``).
+
+    All batches pass one index; a record meets only what came before it, which
+    gives what batch after batch would (see :func:`check_batch`). Records equal
+    in every compared field form one class first, so many copies cost one probe.
+
+    Rows without ``entry_id`` are ignored, repeated rows of one id count once;
+    a null ``batch_no`` counts as 0. Records without title, DOI or place in
+    print match nothing. Other columns may have any names. An empty table gives
+    no row.
+    """
+    fields = ["title", "core", "doi", "surname", "year", "volume", "page", "kind", "numbers"]
+    every = checkpoint(describe(entries).groupBy("id").agg(*[F.min_by(F.col(c), F.struct("batch", *fields)).alias(c) for c in ["batch", *fields]]))
+    order = F.struct("batch", "id")
+    alike = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields])
+    # Equal in every field and not void: a class, led by its first record.
+    keyed = every.withColumn("class", F.when((F.length("title") >= 12) | F.col("doi").isNotNull(), alike).otherwise(F.xxhash64("id", F.lit("own"))))
+    leads = keyed.groupBy("class").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n"))
+    copies = keyed.join(leads.where("n > 1"), "class").where(F.col("id") != F.col("lead.id")).select(F.col("lead.id").alias("old"), F.col("id").alias("new"))
+    first = checkpoint(keyed.join(leads.select(F.col("lead.id").alias("id")), "id", "left_semi"))
+    links = verify(probe(index_rows(first), first), first, first).unionByName(copies)
+    roots = components(links, "old", "new")
+    placed = roots.join(every.select(F.col("id").alias("node"), "batch"), "node")
+    firsts = placed.groupBy("root").agg(F.min(F.struct("batch", "node")).alias("lead"))
+    return placed.join(firsts, "root").select(F.col("lead.node").alias("entry_a"), F.col("node").alias("entry_b")).where("entry_a <> entry_b")
+
+
+def check_batch(index: DataFrame, history: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One new batch against stored history.
+
+    ``index`` and ``history`` are what earlier calls returned (:func:`index_rows`
+    and :func:`describe` of accepted records). Returns the links (``old``,
+    ``new``) within the batch and to history, and the rows to append to either.
+    """
+    new = describe(batch)
+    rows = index_rows(new)
+    known = history.unionByName(new)
+    return verify(probe(index.unionByName(rows), new), known, new), rows, new
