@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,8 @@ def _tokens(text: str) -> list[str]:
 
 
 def _initials(token: str, shouted: bool) -> bool:
+    if len(token) > 1 and token.lower() in PARTICLES:
+        return False
     return len(token) == 1 or token.isupper() and len(token) <= (2 if shouted else 3)
 
 
@@ -65,25 +68,35 @@ def _given(tokens: list[str], shouted: bool) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=20_000)
+def kind_word(word: str) -> str | None:
+    """The kind of organisation that a word names, abbreviated or with a slip; else null."""
+    if word in KINDS or len(word) < 6:
+        return KINDS.get(word)
+    return next((k for k in dict.fromkeys(KINDS.values()) if abs(len(k) - len(word)) <= 1 and lcs_ratio(k, word) >= 0.88), None)
+
+
 def readings(name: str) -> list[tuple[str, str, list[str], int]]:
     """Ways to read a spelling: (kind, surname or place, given names or other words, how sure: 2 sure, 1 possible)."""
     name = re.sub(r"(?i)[,\s]*\bet\s+al\b\.?|[,\s]*\b(?:and|u\.)\s+(?:others|a\.)\s*$|\(eds?\.?\)", "", name).strip(" ,;.")
     words = _tokens(name)
     if not words:
         return []
+    if len(words) > 2 and plain(words[0]) == "the":
+        words = words[1:]
     low = [plain(w) for w in words]
-    kinds = [i for i, w in enumerate(low) if w in KINDS]
+    kinds = [i for i, w in enumerate(low) if kind_word(w)]
     acronym = re.fullmatch(r"\s*([^\W\d_]{4,8})\s*\(\s*([^()]{3,})\)\s*", name)
     if acronym and acronym[1].isupper():
         return [("org", plain("".join(_tokens(acronym[2]))), [plain(acronym[1])], 2)]
     if kinds and len(words) >= 3:
         before, _, after = name.partition(",")
-        if after and not any(plain(w) in KINDS for w in _tokens(after)):
+        if after and not any(kind_word(plain(w)) for w in _tokens(after)):
             place, rest = _tokens(after), _tokens(before)
         else:
             k = kinds[0]
             place, rest = (words[:k], words[k:]) if k else (words[-1:], words[:-1])
-        rest = [KINDS.get(plain(w), plain(w)) for w in rest if plain(w) not in FILLERS]
+        rest = [kind_word(plain(w)) or plain(w) for w in rest if plain(w) not in FILLERS]
         return [("org", plain("".join(place)), rest, 2)]
     shouted = not any(c.islower() for c in name)
     before, comma, after = name.partition(",")
@@ -160,9 +173,12 @@ def slips(tokens: DataFrame, ratio: float = 0.8, common: int = 64, least: int =
     options = F.when(F.col("crowd") <= common, F.array(F.lit(""))).otherwise(F.array(F.concat(F.lit("1"), F.substring(far, 1, 1)), F.concat(F.lit("2"), F.substring(far, 2, 1)), F.concat(F.lit("2"), F.substring(far, 1, 1)), F.concat(F.lit("1"), F.substring(far, 2, 1))))
     blocks = ends.join(crowds, "end").select("token", "uses", F.explode(F.array_distinct(options)).alias("part"), "end")
     other = blocks.select(F.col("token").alias("hub"), F.col("uses").alias("hub_uses"), "part", "end")
-    pairs = blocks.join(other, ["end", "part"]).where((F.col("token") != F.col("hub")) & (F.abs(F.length("token") - F.length("hub")) <= 1) & (F.col("hub_uses") > F.col("uses")) & ((F.col("uses") <= 2) | (F.col("hub_uses") >= 3 * F.col("uses"))))
+    pairs = blocks.join(other, ["end", "part"]).where((F.col("token") != F.col("hub")) & (F.abs(F.length("token") - F.length("hub")) <= 1) & ((F.col("hub_uses") > F.col("uses")) | ((F.col("hub_uses") == F.col("uses")) & (F.col("hub") < F.col("token")))) & ((F.col("uses") <= 2) | (F.col("hub_uses") >= 3 * F.col("uses"))))
     near = pairs.select("token", "hub", "uses", "hub_uses").distinct().where(F.levenshtein("token", "hub", 2) >= 0).withColumn("ratio", subsequence("token", "hub")).where(F.col("ratio") >= ratio)
-    return near.groupBy("token").agg(F.max_by("hub", F.struct("ratio", "hub_uses", "hub")).alias("stands_for"))
+    direct = checkpoint(near.groupBy("token").agg(F.max_by("hub", F.struct("hub_uses", "ratio", "hub")).alias("stands_for")))
+    # What a token stands for may itself be a slip of a commoner one.
+    beyond = direct.select(F.col("token").alias("stands_for"), F.col("stands_for").alias("beyond"))
+    return direct.join(beyond, "stands_for", "left").select("token", F.coalesce("beyond", "stands_for").alias("stands_for"))
 
 
 def _choose(read: DataFrame) -> DataFrame:
