@@ -1,0 +1,250 @@
+"""Matching reference lines to library entries without a common key.
+
+Blocking: MinHash signatures of the telling words of a title (or of the whole
+raw line where there is no title), each hash joined with a second attribute
+(surname, year or page), and bands of two attributes (page with volume, surname
+or year) for lines without words in common. Candidates get similarity features,
+a logistic model trained on weak labels (lines whose DOI names an entry) and
+calibrated on held-out ones gives each a probability. Everything that touches
+rows is a column expression; only the bounded training sample reaches the driver.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scholion.functions.text import plain_doi, plain_name, plain_title, present, year_of
+from scholion.operators.history import _KIND, duplicates
+from scholion.session import checkpoint
+
+#: Hash functions of a signature; the share of entries from which a word isn't telling any more.
+HASHES, COMMON_SHARE = 8, 0.01
+#: At most this many labelled pairs train the model, as many again calibrate it.
+SAMPLE = 20_000
+
+FEATURES = ["title_known", "title_sim", "title_low", "raw_share", "who_known", "who_sim", "year_same", "year_near", "year_off", "journal_known", "journal_sim", "volume_in", "page_in", "page_out", "kind_off", "numbers_off", "print_agrees", "all_agree"]
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))
+
+
+def _year(year: Column, raw: Column) -> Column:
+    short = F.regexp_extract(year, r"^\W*'?(\d\d)\W*$", 1)
+    two = F.when(short != "", F.when(short.cast("int") <= 30, short.cast("int") + 2000).otherwise(short.cast("int") + 1900))
+    return F.coalesce(year_of(year), two, F.nullif(F.regexp_extract(raw, r"\((1[6-9]\d\d|20\d\d)[a-z]?\)", 1), F.lit("")).cast("int"))
+
+
+def read_entries(entries: DataFrame) -> DataFrame:
+    """Entries as they are compared: one row per distinct content, led by its smallest id."""
+    title = F.coalesce(plain_title(F.col("title")), F.lit(""))
+    e = entries.select(
+        F.col("entry_id").cast("bigint").alias("entry"),
+        title.alias("e_title"),
+        present(plain_name(F.coalesce(F.col("surname"), F.expr("authors[0].last_name"), F.expr("authors[0].name")))).alias("e_who"),
+        year_of(F.col("year")).alias("e_year"),
+        present(plain_title(F.col("journal"))).alias("e_journal"),
+        present(F.lower("volume")).alias("e_volume"),
+        present(F.lower("firstpage")).alias("e_page"),
+        plain_doi(F.col("doi")).alias("e_doi"),
+    ).where("entry is not null")
+    fields = [c for c in e.columns if c != "entry"]
+    return e.groupBy(*fields).agg(F.min("entry").alias("entry")).withColumn("e_words", _words(F.col("e_title")))
+
+
+def read_refs(refs: DataFrame) -> DataFrame:
+    """Reference lines as they are compared: one row per distinct content, under the hash ``line``."""
+    raw = F.coalesce(F.col("raw"), F.lit(""))
+    title = plain_title(F.regexp_replace("title", r"(?:…|\.\.\.|-)\s*$", ""))
+    plain_raw = plain_title(raw)
+    r = refs.select(
+        title.alias("r_title"),
+        plain_raw.alias("r_raw"),
+        present(plain_name(F.regexp_replace("author", r"(?i)\bet al\b\.?", ""))).alias("r_who"),
+        _year(F.col("year"), raw).alias("r_year"),
+        present(plain_title(F.col("journal"))).alias("r_journal"),
+        F.array_distinct(F.regexp_extract_all(F.lower(raw), F.lit(r"(?<![\p{L}\d])([a-z]?\d+)(?!\d)"), 1)).alias("r_numbers"),
+        plain_doi(F.col("doi")).alias("r_doi"),
+        "ref_id",
+    ).where("ref_id is not null")
+    fields = [c for c in r.columns if c != "ref_id"]
+    return r.withColumn("line", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields if c != "r_numbers"])).withColumn("r_words", _words(F.coalesce(present(F.col("r_title")), F.col("r_raw"))))
+
+
+def common_words(entries: DataFrame, share: float = COMMON_SHARE) -> list[str]:
+    """Words in more than ``share`` of the titles.
+
+    Titles of w words on average have at most w / share such words, whatever
+    the number of titles, so the list is small by its definition.
+    """
+    n = entries.count()
+    return [r["w"] for r in entries.select(F.explode("e_words").alias("w")).groupBy("w").count().where(F.col("count") > max(share * n, 5)).select("w").toLocalIterator()]
+
+
+def _signature(words: Column, common: list[str]) -> Column:
+    rare = F.array_except(words, F.array(*map(F.lit, common)) if common else F.array().cast("array<string>"))
+    return F.when(F.size(rare) > 0, F.array(*[F.concat(F.lit(f"{i}:"), F.array_min(F.transform(rare, _hasher(i))).cast("string")) for i in range(HASHES)]))
+
+
+def _hasher(i: int):
+    return lambda w: F.xxhash64(F.lit(i), w)
+
+
+def _cross(a: Column, b: Column) -> Column:
+    """Hashes of every value of one array with every of the other; null arrays give none."""
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(F.coalesce(a, none), lambda x: F.transform(F.coalesce(b, none), lambda y: F.xxhash64(x, y))))
+
+
+def _one(c: Column, tag: str) -> Column:
+    return F.when(c.isNotNull(), F.array(F.concat(F.lit(tag), c.cast("string"))))
+
+
+def candidates(entries: DataFrame, refs: DataFrame, common: list[str]) -> DataFrame:
+    """(``entry``, ``line``) pairs that share a band."""
+    heads = lambda c: F.transform(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4), lambda w: F.concat(F.lit("s"), F.left(w, F.lit(4))))
+    e_sig, r_sig = _signature(F.col("e_words"), common), _signature(F.col("r_words"), common)
+    e_who, r_who = heads(F.col("e_who")), heads(F.coalesce("r_who", F.lit("")))
+    e_page, e_volume, e_year = _one(F.col("e_page"), "n"), _one(F.col("e_volume"), "n"), _one(F.col("e_year"), "y")
+    numbers, r_year = F.transform("r_numbers", lambda x: F.concat(F.lit("n"), x)), _one(F.col("r_year"), "y")
+
+    def keys(sig: Column, who: Column, year: Column, page: Column, volume: Column) -> Column:
+        return F.array_distinct(F.concat(_cross(sig, who), _cross(sig, year), _cross(sig, page), _cross(page, volume), _cross(page, who), _cross(page, year)))
+
+    e = entries.select("entry", F.explode(keys(e_sig, e_who, e_year, e_page, e_volume)).alias("key"))
+    r = refs.select("line", F.explode(keys(r_sig, r_who, r_year, numbers, numbers)).alias("key"))
+    return r.join(e, "key").select("entry", "line").distinct()
+
+
+def features(pairs: DataFrame, entries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Candidates with their similarity features."""
+    x = pairs.join(refs.drop("r_words"), "line").join(entries, "entry")
+    a, b = F.replace(F.col("e_title"), F.lit(" "), F.lit("")), F.replace(F.coalesce("r_title", F.lit("")), F.lit(" "), F.lit(""))
+    n, m = F.length(a), F.length(b)
+    # A cut title is compared with as much of the whole one.
+    cut = F.when((m >= 12) & (m < n), 1 - F.levenshtein(b, F.substring(a, F.lit(1), m)) / m).otherwise(0)
+    title_sim = F.greatest(1 - F.levenshtein(a, b) / F.greatest(n, m, F.lit(1)), cut * 0.98)
+    known = (m > 0) & (n > 0)
+    raw_share = F.size(F.array_intersect("e_words", F.split("r_raw", " "))) / F.greatest(F.size("e_words"), F.lit(1))
+    who = F.replace(F.col("e_who"), F.lit(" "), F.lit(""))
+    r_tokens = F.filter(F.split(F.coalesce("r_who", F.lit("")), " "), lambda w: F.length(w) >= 3)
+    near = lambda w: 1 - F.levenshtein(w, who) / F.greatest(F.length(w), F.length(who))
+    part = lambda w: F.exists(F.split("e_who", " "), lambda v: (F.length(v) >= 4) & (F.levenshtein(w, v, 1) >= 0))
+    who_sim = F.coalesce(F.greatest(F.array_max(F.transform(r_tokens, near)), F.when(F.exists(r_tokens, part), 0.9), near(F.array_join(r_tokens, ""))), F.lit(0.0))
+    who_known = F.col("e_who").isNotNull() & (F.size(r_tokens) > 0)
+    gap = F.abs(F.col("e_year") - F.col("r_year"))
+    e_j, r_j = F.split("e_journal", " "), F.filter(F.split("r_journal", " "), lambda w: ~w.isin("of", "the", "on", "in", "and", "for", "de", "fur"))
+    initials = F.array_join(F.transform(F.filter(e_j, lambda w: ~w.isin("of", "the", "on", "in", "and", "for", "de", "des")), lambda w: F.left(w, F.lit(1))), "")
+    prefixed = F.size(F.filter(r_j, lambda w: F.exists(e_j, lambda v: v.startswith(w) | w.startswith(v) | (F.levenshtein(v, w, 1) >= 0)))) / F.greatest(F.size(r_j), F.lit(1))
+    journal_sim = F.when(F.col("r_journal") == initials, 1.0).otherwise(F.coalesce(prefixed, F.lit(0.0)))
+    has = F.size("r_numbers") > 0
+    volume_in = F.coalesce(F.array_contains("r_numbers", F.col("e_volume")), F.lit(False))
+    page_in = F.coalesce(F.array_contains("r_numbers", F.col("e_page")), F.lit(False))
+    kinds = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(_KIND), 1), " ")
+    digits = lambda c: F.array_join(F.array_sort(F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)), " ")
+    f = {
+        "title_known": known,
+        "title_sim": F.when(known, title_sim).otherwise(0),
+        "title_low": known & (title_sim < 0.8),
+        "raw_share": F.when(~known, raw_share).otherwise(0),
+        "who_known": who_known,
+        "who_sim": F.when(who_known, who_sim).otherwise(0),
+        "year_same": F.coalesce(gap == 0, F.lit(False)),
+        "year_near": F.coalesce(gap == 1, F.lit(False)),
+        "year_off": F.coalesce(gap > 1, F.lit(False)),
+        "journal_known": F.col("e_journal").isNotNull() & F.col("r_journal").isNotNull(),
+        "journal_sim": F.when(F.col("e_journal").isNotNull() & F.col("r_journal").isNotNull(), journal_sim).otherwise(0),
+        "volume_in": volume_in,
+        "page_in": page_in,
+        "page_out": has & F.col("e_page").isNotNull() & ~page_in,
+        "kind_off": F.when(known, kinds(F.col("e_title")) != kinds(F.col("r_title"))).otherwise((F.length("r_raw") > 0) & (kinds(F.col("e_title")) != kinds(F.col("r_raw"))) & (raw_share > 0.5)),
+        "numbers_off": known & (digits(F.col("e_title")) != digits(F.col("r_title"))) & (cut == 0),
+        "print_agrees": page_in & volume_in,
+        "all_agree": ((known & (title_sim > 0.9)) | (~known & (raw_share > 0.85))) & ~(has & F.col("e_page").isNotNull() & ~page_in) & (~who_known | (who_sim > 0.7)) & F.coalesce(gap <= 1, F.lit(True)),
+    }
+    return x.select("entry", "line", "e_doi", "r_doi", *[c.cast("double").alias(k) for k, c in f.items()])
+
+
+def fit(labelled: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic model, the constant last, by Newton's method; positives and negatives weigh the same."""
+    x = np.hstack([labelled, np.ones((len(labelled), 1))])
+    share = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (share * (labels - p)) - ridge * np.append(w[:-1], 0)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(h, g)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def calibrate(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that turn scores into probabilities on held-out labels (Platt's method)."""
+    target = np.where(labels > 0, (labels.sum() + 1) / (labels.sum() + 2), 1 / (len(labels) - labels.sum() + 2))
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * scores + b, -30, 30)))
+        g = np.array([((target - p) * scores).sum(), (target - p).sum()])
+        q = p * (1 - p)
+        h = np.array([[(q * scores * scores).sum(), (q * scores).sum()], [(q * scores).sum(), q.sum()]]) + 1e-6 * np.eye(2)
+        d = np.linalg.solve(h, g)
+        a, b = a + d[0], b + d[1]
+        if np.abs(d).max() < 1e-8:
+            break
+    return float(a), float(b)
+
+
+# The model used where the data hold too few labels to train one.
+PRIOR = dict(zip(FEATURES, [-6.0, 9.0, -4.0, 4.0, -2.0, 3.0, 1.0, 0.3, -3.0, -0.5, 1.0, 1.0, 3.0, -5.0, -4.0, -2.0, 2.0, 3.0]))
+
+
+def model(scored: DataFrame, sample: int = SAMPLE, least: int = 50) -> list[float]:
+    """Weights and constant of the calibrated model, from weak labels.
+
+    A pair is positive if both sides have one DOI, negative if they have two
+    different ones. Of either kind at most ``sample`` pairs with the smallest
+    hashes are used, half to train, half to calibrate.
+    """
+    rank = F.xxhash64("entry", "line", F.lit(7))
+    known = scored.where("e_doi is not null and r_doi is not null").withColumn("y", (F.col("e_doi") == F.col("r_doi")).cast("double")).withColumn("rank", rank)
+    # Typed DOIs that nearly agree are no labels.
+    known = known.where((F.col("y") == 1) | (F.levenshtein("e_doi", "r_doi", 3) < 0))
+    rows = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy("rank").limit(sample).select("y", "rank", *FEATURES).collect()]
+    y = np.array([r["y"] for r in rows])
+    if len(y) < 2 * least or min(y.sum(), len(y) - y.sum()) < least:
+        return [*[PRIOR[f] for f in FEATURES], -5.0]
+    x, half = np.array([[r[f] for f in FEATURES] for r in rows]), np.array([r["rank"] % 2 == 0 for r in rows])
+    w = fit(x[half], y[half])
+    a, b = calibrate(np.hstack([x[~half], np.ones(((~half).sum(), 1))]) @ w, y[~half])
+    return [*(a * w[:-1]).tolist(), float(a * w[-1] + b)]
+
+
+def match(entries: DataFrame, refs: DataFrame, least: float = 0.5) -> DataFrame:
+    """(``ref_id``, ``entry_id``, ``confidence``): the entry that each line without DOI describes.
+
+    Of several entries that describe one work the smallest id stands for all;
+    every delivery of a line gets its row. Lines whose best probability is below
+    ``least`` aren't listed. Null or empty fields on either side, lines that
+    aren't references, repeated rows and empty tables are fine; other columns
+    are ignored.
+    """
+    e = checkpoint(read_entries(entries))
+    every = read_refs(refs)
+    lines = checkpoint(every.drop("ref_id").dropDuplicates(["line"]))
+    scored = checkpoint(features(candidates(e, lines, common_words(e)), e, lines))
+    *weights, constant = model(scored)
+    logit = F.lit(constant)
+    for f, w in zip(FEATURES, weights):
+        logit = logit + F.col(f) * w
+    judged = scored.where("r_doi is null").withColumn("confidence", 1 / (1 + F.exp(-logit))).where(F.col("confidence") >= least)
+    best = judged.groupBy("line").agg(F.max_by(F.struct("entry", "confidence"), F.struct("confidence", -F.col("entry"))).alias("b")).select("line", "b.*")
+    works = duplicates(entries)
+    groups = works.groupBy("entry_a").agg(F.least(F.col("entry_a"), F.min("entry_b")).alias("least"))
+    first = works.join(groups, "entry_a").select(F.col("entry_b").alias("entry"), "least").unionByName(groups.select(F.col("entry_a").alias("entry"), "least"))
+    found = best.join(first, "entry", "left").select("line", F.coalesce("least", "entry").alias("entry_id"), "confidence")
+    return every.select("ref_id", "line").join(found, "line").groupBy("ref_id").agg(F.min("entry_id").alias("entry_id"), F.max("confidence").alias("confidence"))
