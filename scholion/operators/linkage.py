@@ -65,11 +65,14 @@ def read_refs(refs: DataFrame) -> DataFrame:
         present(plain_name(F.regexp_replace("author", r"(?i)\bet al\b\.?", ""))).alias("r_who"),
         _year(F.col("year"), raw).alias("r_year"),
         present(plain_title(F.col("journal"))).alias("r_journal"),
-        F.array_distinct(F.regexp_extract_all(F.lower(raw), F.lit(r"(?<![\p{L}\d])([a-z]?\d+)(?!\d)"), 1)).alias("r_numbers"),
+        F.regexp_extract_all(F.lower(raw), F.lit(r"(?<![\p{L}\d])([a-z]?\d+)(?!\d)"), 1).alias("r_numbers"),
         plain_doi(F.col("doi")).alias("r_doi"),
         "ref_id",
     ).where("ref_id is not null")
     fields = [c for c in r.columns if c != "ref_id"]
+    # The year isn't a page or volume, unless its number stands there twice.
+    is_year = lambda x: F.coalesce(x == F.col("r_year").cast("string"), F.lit(False))
+    r = r.withColumn("r_numbers", F.array_distinct(F.filter("r_numbers", lambda x: ~is_year(x) | (F.size(F.filter("r_numbers", is_year)) > 1))))
     return r.withColumn("line", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields if c != "r_numbers"])).withColumn("r_words", _words(F.coalesce(present(F.col("r_title")), F.col("r_raw"))))
 
 
@@ -104,17 +107,21 @@ def _one(c: Column, tag: str) -> Column:
 
 def candidates(entries: DataFrame, refs: DataFrame, common: list[str]) -> DataFrame:
     """(``entry``, ``line``) pairs that share a band."""
-    heads = lambda c: F.transform(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4), lambda w: F.concat(F.lit("s"), F.left(w, F.lit(4))))
+    # Either end of a surname may be mistyped.
+    heads = lambda c: F.flatten(F.transform(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4), lambda w: F.array(F.concat(F.lit("s"), F.left(w, F.lit(4))), F.concat(F.lit("z"), F.right(w, F.lit(4))))))
     e_sig, r_sig = _signature(F.col("e_words"), common), _signature(F.col("r_words"), common)
     e_who, r_who = heads(F.col("e_who")), heads(F.coalesce("r_who", F.lit("")))
     e_page, e_volume, e_year = _one(F.col("e_page"), "n"), _one(F.col("e_volume"), "n"), _one(F.col("e_year"), "y")
+    # Abbreviations and initials of a journal keep its first letter.
+    e_issue, r_issue = (_one(F.concat(F.col(f"{x}_year").cast("string"), F.left(F.col(f"{x}_journal"), F.lit(1))), "i") for x in "er")
     numbers, r_year = F.transform("r_numbers", lambda x: F.concat(F.lit("n"), x)), _one(F.col("r_year"), "y")
 
-    def keys(sig: Column, who: Column, year: Column, page: Column, volume: Column) -> Column:
-        return F.array_distinct(F.concat(_cross(sig, who), _cross(sig, year), _cross(sig, page), _cross(page, volume), _cross(page, who), _cross(page, year)))
+    def keys(sig: Column, who: Column, year: Column, issue: Column, page: Column, volume: Column) -> Column:
+        wide = F.when(sig.isNotNull(), F.array(F.concat_ws("|", F.slice(sig, 1, HASHES // 2)), F.concat_ws("|", F.slice(sig, HASHES // 2 + 1, HASHES // 2))))
+        return F.array_distinct(F.concat(_cross(wide, F.array(F.lit("w"))), _cross(sig, who), _cross(sig, issue), _cross(sig, page), _cross(page, volume), _cross(page, who), _cross(page, year)))
 
-    e = entries.select("entry", F.explode(keys(e_sig, e_who, e_year, e_page, e_volume)).alias("key"))
-    r = refs.select("line", F.explode(keys(r_sig, r_who, r_year, numbers, numbers)).alias("key"))
+    e = entries.select("entry", F.explode(keys(e_sig, e_who, e_year, e_issue, e_page, e_volume)).alias("key"))
+    r = refs.select("line", F.explode(keys(r_sig, r_who, r_year, r_issue, numbers, numbers)).alias("key"))
     return r.join(e, "key").select("entry", "line").distinct()
 
 
@@ -138,7 +145,12 @@ def features(pairs: DataFrame, entries: DataFrame, refs: DataFrame) -> DataFrame
     e_j, r_j = F.split("e_journal", " "), F.filter(F.split("r_journal", " "), lambda w: ~w.isin("of", "the", "on", "in", "and", "for", "de", "fur"))
     initials = F.array_join(F.transform(F.filter(e_j, lambda w: ~w.isin("of", "the", "on", "in", "and", "for", "de", "des")), lambda w: F.left(w, F.lit(1))), "")
     prefixed = F.size(F.filter(r_j, lambda w: F.exists(e_j, lambda v: v.startswith(w) | w.startswith(v) | (F.levenshtein(v, w, 1) >= 0)))) / F.greatest(F.size(r_j), F.lit(1))
-    journal_sim = F.when(F.col("r_journal") == initials, 1.0).otherwise(F.coalesce(prefixed, F.lit(0.0)))
+    # Without a journal field the words of the raw line may hold it, abbreviated or as initials.
+    raw_words = F.split("r_raw", " ")
+    within = F.size(F.filter(e_j, lambda v: F.exists(raw_words, lambda w: (F.length(w) >= 2) & v.startswith(w)))) / F.greatest(F.size(e_j), F.lit(1))
+    from_raw = F.when(F.array_contains(raw_words, initials), 1.0).otherwise(within)
+    journal_sim = F.when(F.col("r_journal") == initials, 1.0).when(F.col("r_journal").isNull(), from_raw).otherwise(F.coalesce(prefixed, F.lit(0.0)))
+    journal_known = F.col("e_journal").isNotNull() & (F.col("r_journal").isNotNull() | (F.length("r_raw") > 0))
     has = F.size("r_numbers") > 0
     volume_in = F.coalesce(F.array_contains("r_numbers", F.col("e_volume")), F.lit(False))
     page_in = F.coalesce(F.array_contains("r_numbers", F.col("e_page")), F.lit(False))
@@ -154,8 +166,8 @@ def features(pairs: DataFrame, entries: DataFrame, refs: DataFrame) -> DataFrame
         "year_same": F.coalesce(gap == 0, F.lit(False)),
         "year_near": F.coalesce(gap == 1, F.lit(False)),
         "year_off": F.coalesce(gap > 1, F.lit(False)),
-        "journal_known": F.col("e_journal").isNotNull() & F.col("r_journal").isNotNull(),
-        "journal_sim": F.when(F.col("e_journal").isNotNull() & F.col("r_journal").isNotNull(), journal_sim).otherwise(0),
+        "journal_known": journal_known,
+        "journal_sim": F.when(journal_known, journal_sim).otherwise(0),
         "volume_in": volume_in,
         "page_in": page_in,
         "page_out": has & F.col("e_page").isNotNull() & ~page_in,
@@ -241,7 +253,9 @@ def match(entries: DataFrame, refs: DataFrame, least: float = 0.5) -> DataFrame:
     logit = F.lit(constant)
     for f, w in zip(FEATURES, weights):
         logit = logit + F.col(f) * w
-    judged = scored.where("r_doi is null").withColumn("confidence", 1 / (1 + F.exp(-logit))).where(F.col("confidence") >= least)
+    # Numbers that happen to agree are no evidence without a name, words or a journal in its year.
+    evident = (F.col("who_sim") >= 0.6) | (F.col("title_sim") >= 0.7) | (F.col("raw_share") >= 0.6) | ((F.col("journal_sim") >= 0.6) & (F.col("year_same") == 1))
+    judged = scored.where(F.col("r_doi").isNull() & evident).withColumn("confidence", 1 / (1 + F.exp(-logit))).where(F.col("confidence") >= least)
     best = judged.groupBy("line").agg(F.max_by(F.struct("entry", "confidence"), F.struct("confidence", -F.col("entry"))).alias("b")).select("line", "b.*")
     works = duplicates(entries)
     groups = works.groupBy("entry_a").agg(F.least(F.col("entry_a"), F.min("entry_b")).alias("least"))
