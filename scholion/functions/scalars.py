@@ -1,0 +1,206 @@
+"""Scalar functions of the library domain as column expressions.
+
+Names in brackets are the inventory's numbers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from scholion.functions.text import fold
+
+# Words without weight in titles, and those skipped for a key.
+LIGHT_WORDS = ("with", "from", "that", "this", "into", "over", "under", "between", "their", "study", "using", "based")
+KEY_SKIP = ("a", "an", "the", "on", "of", "in", "for", "and", "to", "with", "from", "by", "at", "how", "is", "are", "der", "die", "das")
+BACKENDS = ("zotero", "mendeley")
+
+
+def doi_normal(c: Column) -> Column:
+    """[P1] Trimmed, lower case, without resolver prefix and closing marks; empty is null."""
+    c = F.regexp_replace(F.lower(F.trim(c)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", "")
+    return F.nullif(F.regexp_replace(c, r"[ .;,]+$", ""), F.lit(""))
+
+
+def doi_clean(c: Column) -> Column:
+    """[P2] Without trailing marks; a closing bracket stays where it has an opening one."""
+    c = F.regexp_replace(c, r"[.,;:]+$", "")
+    for opened, closed in (("(", ")"), ("[", "]")):
+        surplus = F.length(F.replace(c, F.lit(opened), F.lit(""))) > F.length(F.replace(c, F.lit(closed), F.lit("")))
+        c = F.when(c.endswith(closed) & surplus, F.regexp_replace(c, r".$", "")).otherwise(c)
+    return F.regexp_replace(c, r"[.,;:]+$", "")
+
+
+def doi_find(c: Column) -> Column:
+    """[P3] All DOIs in a text."""
+    return F.regexp_extract_all(c, F.lit(r"(10\.\d{4,9}/[^\s\"<>]+)"), 1)
+
+
+def doi_of_filename(c: Column) -> Column:
+    """[P4] DOI spelled in a file name, its first mark after the registrant as the slash."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(c, r"(10\.\d{4,9}[_-][^\s]+?)(?:\.pdf)?$", 1), r"^(10\.\d{4,9})[_-]", "$1/"), F.lit(""))
+
+
+def title_words(c: Column) -> Column:
+    """[P6] A title's words: folded, lower case, letters and digits only, one space between."""
+    return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))
+
+
+def title_key(c: Column) -> Column:
+    """[P6] Letters and digits only, script kept."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+
+
+def significant(c: Column) -> Column:
+    """[P7] Distinct words longer than three characters that carry meaning, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), " "), lambda w: (F.length(w) > 3) & ~w.isin(*LIGHT_WORDS))))
+
+
+def year_first(c: Column) -> Column:
+    """[P8] First year from 1600 to 2099 in a text; else null."""
+    return F.nullif(F.regexp_extract(c, r"(1[6-9]\d\d|20\d\d)", 1), F.lit("")).cast("int")
+
+
+def issue_year(printed: Column, issue: Column, issued: Column) -> Column:
+    """[P9] Print year before issue year before issued year."""
+    return F.coalesce(printed, issue, issued)
+
+
+def last_name(c: Column) -> Column:
+    """[P10] The last word of a name."""
+    return F.element_at(F.split(F.trim(c), r"\s+"), -1)
+
+
+def key_name(c: Column) -> Column:
+    """[P11] Name part of a key: letters only; capitals stay, else first letter large; none: Anon."""
+    letters = F.regexp_replace(c, r"[^A-Za-z]", "")
+    shaped = F.when(F.upper(letters) == letters, letters).otherwise(F.concat(F.upper(F.left(letters, F.lit(1))), F.lower(F.substring(letters, 2, 200))))
+    return F.coalesce(F.nullif(shaped, F.lit("")), F.lit("Anon"))
+
+
+def key_word(c: Column) -> Column:
+    """[P12] Title part of a key: first telling word of more than two letters, else the first word, else Untitled."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z]+", " "), " "), lambda w: w != "")
+    word = F.coalesce(F.try_element_at(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*KEY_SKIP)), F.lit(1)), F.try_element_at(words, F.lit(1)))
+    return F.coalesce(F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 200)), F.lit("Untitled"))
+
+
+def cited_surname(c: Column) -> Column:
+    """[P13] The longest capitalised word of a name, the first of equals."""
+    words = F.regexp_extract_all(c, F.lit(r"([A-Z][A-Za-z'-]+)"), 1)
+    return F.aggregate(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+
+
+def without_tags(c: Column) -> Column:
+    """[P17] Markup tags out, white space collapsed."""
+    return squeeze(F.regexp_replace(c, r"<[^>]+>", " "))
+
+
+def squeeze(c: Column) -> Column:
+    """[P18] White space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def without_controls(c: Column) -> Column:
+    """[P19] Line ends as LF, no control characters but tab and LF."""
+    return F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+
+
+def page_clean(c: Column) -> Column:
+    """[P20] Words joined over lines, soft line ends as spaces, blank lines squeezed."""
+    c = F.regexp_replace(without_controls(c), r"(\w)-\n(\w)", "$1$2")
+    c = F.regexp_replace(c, r"([^\n.:;!?])\n([^\n\-0-9•*])", "$1 $2")
+    return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def expand_group(c: Column) -> Column:
+    """[P22] Numbers of a citation group; a range of up to 30 is filled, a wider one keeps its ends."""
+
+    def one(p: Column) -> Column:
+        a, b = F.try_to_number(F.regexp_extract(p, r"^(\d+)", 1), F.lit("999999")).cast("int"), F.try_to_number(F.regexp_extract(p, r"(\d+)$", 1), F.lit("999999")).cast("int")
+        return F.when(p.rlike(r"^\d+-\d+$") & (b > a) & (b - a <= 30), F.sequence(a, F.greatest(a, b))).when(p.rlike(r"^\d+-\d+$"), F.array(a, b)).when(p.rlike(r"^\d+$"), F.array(a)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.split(F.regexp_replace(F.regexp_replace(c, r"[–—]", "-"), r"\s+", ""), "[,;]"), one))
+
+
+def folio(c: Column) -> Column:
+    """[P23] Printed page number of ``863``, ``021039-2`` or ``R863``; anything else null."""
+    return F.when(c.rlike(r"^\d+-\d+$"), F.regexp_extract(c, r"-(\d+)$", 1)).when(c.rlike(r"^[A-Z]?\d+$"), F.regexp_extract(c, r"(\d+)$", 1)).cast("int")
+
+
+def alnum_share(c: Column) -> Column:
+    """[P26] Letters and digits among the characters that aren't space; none: 1."""
+    n = F.length(F.regexp_replace(c, r"\s+", ""))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")) / n)
+
+
+def body_hash(c: Column) -> Column:
+    """[P29] First 16 hex digits of the body's SHA-256."""
+    return F.left(F.sha2(c, 256), F.lit(16))
+
+
+def backend_of(c: Column) -> Column:
+    """[P31] The known backend an id names before its colon; a bare id has the first one, a foreign one none."""
+    head = F.regexp_extract(c, r"^([a-z]+):", 1)
+    return F.when(head == "", F.lit(BACKENDS[0])).when(head.isin(*BACKENDS), head)
+
+
+def local_id(c: Column) -> Column:
+    """[P31] The id without its known backend."""
+    return F.regexp_replace(c, "^(" + "|".join(BACKENDS) + "):", "")
+
+
+def stem_key(c: Column) -> Column:
+    """[P32] Key of a file stem: a suffix of two or more is a further file's number."""
+    return F.when(c.rlike(r"-([2-9]|[1-9]\d+)$"), F.regexp_replace(c, r"-\d+$", "")).otherwise(c)
+
+
+def stem_number(c: Column) -> Column:
+    """[P32] Number of the file: 1, or the stem's suffix of two or more."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"-([2-9]|[1-9]\d+)$", 1), F.lit("")).cast("int"), F.lit(1))
+
+
+def issn_shape(c: Column) -> Column:
+    """[P33] Whether a text is one ISSN."""
+    return c.rlike(r"^\d{4}-?\d{3}[\dXx]$")
+
+
+def arxiv_ids(c: Column) -> Column:
+    """[P34] arXiv ids in a text, without version."""
+    return F.regexp_extract_all(c, F.lit(r"(?i)arxiv[:/. ]*(\d{4}\.\d{4,5})"), 1)
+
+
+def single_url(c: Column) -> Column:
+    """[P35] Whether a text is exactly one web address."""
+    return c.rlike(r"^https?://[^\s]+\.[^\s]+$") & ~c.rlike(r"https?://.*https?://")
+
+
+def appended_line(text: Column, label: str, value: Column) -> Column:
+    """[P36] Text with a ``label: value`` line, added only where no line has that label."""
+    has = F.exists(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.lower(x).startswith(label.lower() + ":"))
+    return F.when(has, text).otherwise(F.concat_ws("\n", F.nullif(text, F.lit("")), F.concat(F.lit(label + ": "), value)))
+
+
+def personlike(c: Column) -> Column:
+    """[P38] Whether a single-field name reads as a person: two to four capitalised words, no word of an organisation."""
+    return c.rlike(r"^\p{Lu}[\p{L}.'-]*( \p{Lu}[\p{L}.'-]*){1,3}$") & ~c.rlike(r"(?i)\b(university|institute|centre|center|laboratory|academy|society|group)\b")
+
+
+def author_list(authors: Column) -> Column:
+    """[P45] ``Last, First and ...``; organisations in braces."""
+    return F.array_join(F.transform(authors, lambda a: F.coalesce(F.concat(F.lit("{"), a["name"], F.lit("}")), F.concat_ws(", ", a["last_name"], a["first_name"]))), " and ")
+
+
+def failure_kind(c: Column) -> Column:
+    """[P47] Interrupted before network before auth before other."""
+    return F.when(c.rlike("(?i)interrupt|cancel"), "interrupted").when(c.rlike("(?i)timeout|timed out|connection|unreachable|network"), "network").when(c.rlike("(?i)403|401|forbidden|unauthor|key"), "auth").otherwise("other")
+
+
+def described(author: Column, year: Column, title: Column, journal: Column) -> Column:
+    """[P48] One line for a reference."""
+    return F.concat_ws(" ", author, F.concat(F.lit("("), year, F.lit(")")), title, journal)
+
+
+def outward(c: Column) -> Column:
+    """[P49] Whether a reference points outward: a venue's word or volume and page."""
+    return c.rlike(r"(?i)\b(journal|review|proc|trans|lett|bull|ann|arch)") | c.rlike(r"\d+\s*[:,(]\s*\d+")

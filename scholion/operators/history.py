@@ -71,7 +71,8 @@ def _taken(s: Column, options: Column, view: str) -> Column:
 def _refined(pieces: Column, support: list[Column]) -> Column:
     """Keys of the substrings, each refined with every supporting field that is known."""
     fields = F.filter(F.array(*support), lambda x: x.isNotNull())
-    return F.flatten(F.transform(fields, lambda r: F.transform(pieces, lambda p: F.xxhash64(p["v"], p["n"], p["piece"], r))))
+    # The substrings stand outside, so they are taken once a record; the fields within are plain columns.
+    return F.flatten(F.transform(pieces, lambda p: F.transform(fields, lambda r: F.xxhash64(p["v"], p["n"], p["piece"], r))))
 
 
 def _pieces(views: list, stored: bool) -> Column:

@@ -22,7 +22,7 @@ from scholion.session import checkpoint
 #: Hash functions of a signature; the share of entries from which a word isn't telling any more.
 HASHES, COMMON_SHARE = 8, 0.01
 #: At most this many labelled pairs train the model, as many again calibrate it.
-SAMPLE = 20_000
+SAMPLE = 5_000
 
 FEATURES = ["title_known", "title_sim", "title_low", "raw_share", "who_known", "who_sim", "year_same", "year_near", "year_off", "journal_known", "journal_sim", "volume_in", "page_in", "page_out", "kind_off", "numbers_off", "print_agrees", "all_agree"]
 
@@ -87,42 +87,53 @@ def common_words(entries: DataFrame, share: float = COMMON_SHARE) -> list[str]:
 
 
 def _signature(words: Column, common: list[str]) -> Column:
-    rare = F.array_except(words, F.array(*map(F.lit, common)) if common else F.array().cast("array<string>"))
-    return F.when(F.size(rare) > 0, F.array(*[F.concat(F.lit(f"{i}:"), F.array_min(F.transform(rare, _hasher(i))).cast("string")) for i in range(HASHES)]))
+    """The telling words that are smallest under each hash function, each word once."""
+    rare = F.filter(words, lambda w: ~w.isin(common)) if common else words
+    return F.array_distinct(F.array(*[F.array_min(F.transform(rare, _hasher(i)))["w"] for i in range(HASHES)]))
 
 
 def _hasher(i: int):
-    return lambda w: F.xxhash64(F.lit(i), w)
+    return lambda w: F.struct(F.xxhash64(F.lit(i), w).alias("h"), w.alias("w"))
 
 
-def _cross(a: Column, b: Column) -> Column:
-    """Hashes of every value of one array with every of the other; null arrays give none."""
-    none = F.array().cast("array<string>")
-    return F.flatten(F.transform(F.coalesce(a, none), lambda x: F.transform(F.coalesce(b, none), lambda y: F.xxhash64(x, y))))
+def _cross(a: str, b: str) -> Column:
+    """Hashes of every value of one array column with every of the other; null arrays give none."""
+    return F.flatten(F.transform(F.coalesce(F.col(a), _NONE()), lambda x: F.transform(F.coalesce(F.col(b), _NONE()), lambda y: F.xxhash64(x, y))))
+
+
+def _NONE() -> Column:  # noqa: N802  # a column can't be made before there is a session
+    return F.array().cast("array<string>")
 
 
 def _one(c: Column, tag: str) -> Column:
     return F.when(c.isNotNull(), F.array(F.concat(F.lit(tag), c.cast("string"))))
 
 
-def candidates(entries: DataFrame, refs: DataFrame, common: list[str]) -> DataFrame:
-    """(``entry``, ``line``) pairs that share a band."""
+def _bands(df: DataFrame, side: str, key: str, common: list[str]) -> DataFrame:
+    """(``key``, band) of every record of one side. Parts of bands are columns of their own, so each is made once a row."""
+    who = F.filter(F.split(F.coalesce(F.col(f"{side}_who"), F.lit("")), " "), lambda w: F.length(w) >= 4)
+    x = df.withColumn("sig", F.array_compact(_signature(F.col(f"{side}_words"), common)))
+    x = x.withColumn("heads", F.transform(who, lambda w: F.concat(F.lit("s"), F.left(w, F.lit(4)))))
     # Either end of a surname may be mistyped.
-    heads = lambda c: F.flatten(F.transform(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4), lambda w: F.array(F.concat(F.lit("s"), F.left(w, F.lit(4))), F.concat(F.lit("z"), F.right(w, F.lit(4))))))
-    e_sig, r_sig = _signature(F.col("e_words"), common), _signature(F.col("r_words"), common)
-    e_who, r_who = heads(F.col("e_who")), heads(F.coalesce("r_who", F.lit("")))
-    e_page, e_volume, e_year = _one(F.col("e_page"), "n"), _one(F.col("e_volume"), "n"), _one(F.col("e_year"), "y")
+    x = x.withColumn("ends", F.concat("heads", F.transform(who, lambda w: F.concat(F.lit("z"), F.right(w, F.lit(4))))))
+    x = x.withColumn("year", _one(F.col(f"{side}_year"), "y"))
     # Abbreviations and initials of a journal keep its first letter.
-    e_issue, r_issue = (_one(F.concat(F.col(f"{x}_year").cast("string"), F.left(F.col(f"{x}_journal"), F.lit(1))), "i") for x in "er")
-    numbers, r_year = F.transform("r_numbers", lambda x: F.concat(F.lit("n"), x)), _one(F.col("r_year"), "y")
+    x = x.withColumn("issue", _one(F.concat(F.col(f"{side}_year").cast("string"), F.left(F.col(f"{side}_journal"), F.lit(1))), "i"))
+    if side == "e":
+        x = x.withColumn("pages", _one(F.col("e_page"), "n")).withColumn("volumes", _one(F.col("e_volume"), "n")).withColumn("lone_pages", F.col("pages"))
+    else:
+        numbers = F.transform("r_numbers", lambda n: F.concat(F.lit("n"), n))
+        # Lines with a whole title are found by its words; the numbers of others are paired with each other.
+        x = x.withColumn("pages", numbers).withColumn("volumes", F.filter("pages", lambda n: F.length(n) <= 4)).withColumn("lone_pages", F.when(F.coalesce(F.length("r_title"), F.lit(0)) < 40, F.col("pages")))
+    x = x.withColumn("wide", F.when(F.size("sig") > 0, F.array(F.concat_ws("|", F.array_sort("sig")))))
+    x = x.withColumn("one", F.array(F.lit("w")))
+    pairs = [("wide", "one"), ("sig", "ends"), ("sig", "issue"), ("sig", "pages"), ("lone_pages", "volumes"), ("lone_pages", "heads"), ("lone_pages", "year")]
+    return x.select(key, F.explode(F.array_distinct(F.concat(*[_cross(a, b) for a, b in pairs]))).alias("band"))
 
-    def keys(sig: Column, who: Column, year: Column, issue: Column, page: Column, volume: Column) -> Column:
-        wide = F.when(sig.isNotNull(), F.array(F.concat_ws("|", F.slice(sig, 1, HASHES // 2)), F.concat_ws("|", F.slice(sig, HASHES // 2 + 1, HASHES // 2))))
-        return F.array_distinct(F.concat(_cross(wide, F.array(F.lit("w"))), _cross(sig, who), _cross(sig, issue), _cross(sig, page), _cross(page, volume), _cross(page, who), _cross(page, year)))
 
-    e = entries.select("entry", F.explode(keys(e_sig, e_who, e_year, e_issue, e_page, e_volume)).alias("key"))
-    r = refs.select("line", F.explode(keys(r_sig, r_who, r_year, r_issue, numbers, numbers)).alias("key"))
-    return r.join(e, "key").select("entry", "line").distinct()
+def candidates(entries: DataFrame, refs: DataFrame, common: list[str]) -> DataFrame:
+    """(``entry``, ``line``) pairs that share a band."""
+    return _bands(refs, "r", "line", common).join(_bands(entries, "e", "entry", common), "band").select("entry", "line").distinct()
 
 
 def features(pairs: DataFrame, entries: DataFrame, refs: DataFrame) -> DataFrame:
