@@ -15,15 +15,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from scholion.session import checkpoint, spread
+from scholion.session import checkpoint
 
 # What scanning confuses, right characters and misread ones, both ways.
 CONFUSIONS = [("m", "rn"), ("w", "vv"), ("d", "cl"), ("n", "ii"), ("u", "ii"), ("ti", "d"), ("li", "h"), ("fi", "h"), ("c", "("), ("l", "1"), ("i", "1"), ("l", "i"), ("o", "0"), ("s", "5"), ("b", "8"), ("g", "9"), ("z", "2"), ("c", "e"), ("t", "f"), ("h", "b"), ("y", "v"), ("g", "q"), ("a", "u"), ("n", "u"), ("m", "in"), ("h", "li"), ("l", "|"), ("i", "!"), ("t", "l"), ("o", "c"), ("o", "e"), ("b", "6"), ("a", "o"), ("r", "n"), ("h", "n"), ("k", "lc"), ("f", "i"), ("ri", "n"), ("rt", "n"), ("nn", "mi")]
@@ -120,19 +120,6 @@ def _edges(lines: list[str]) -> list[int]:
     return sorted({*filled[:EDGE], *filled[-EDGE:]})
 
 
-def edge_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc, page_id, line_no, mask) of the lines at the ends of pages; the mask also leaves out names in stamps."""
-    for b in batches:
-        out = []
-        for doc, page, text in zip(b["doc"], b["page_id"], b["text"]):
-            lines = text.split("\n")
-            for i in _edges(lines):
-                s = skeleton(re.sub(r"(?<=\s)[^\W\d_a-z][\w'’]*(?=\s)", " ", lines[i]) if re.search(r"[a-z]{3}.*[a-z]{3}", lines[i]) else lines[i])
-                if len(s) >= 8 and not re.match(r"\s*(?:Table|Figure|Tab|Fig|Abb)\w*\.?\s*\d", lines[i]):
-                    out.append((doc, page, i + 1, s))
-        yield pd.DataFrame(out, columns=["doc", "page_id", "line_no", "mask"])
-
-
 def _roman(s: str) -> int | None:
     if not s or any(c not in _ROMAN for c in s):
         return None
@@ -160,22 +147,24 @@ def _loose(line: str) -> set[int]:
     return {int(x.translate(_DIGITS)) for x in re.findall(r"^\s*([\dlIO]{1,5})(?=\s{2,})|(?<=\s\s)([\dlIO]{1,5})\s*$", line) for x in x if x and any(c.isdigit() for c in x)}
 
 
-def layout(pages: list[tuple[int, int, str, set[int]]]) -> dict[tuple[int, int], bool]:
-    """Which lines of one document are furniture; pages are (page_id, page, text, lines known as stamps), in order."""
-    split = [(pid, no, text.split("\n"), known) for pid, no, text, known in pages]
-    edges = {pid: _edges(lines) for pid, _, lines, _ in split}
+def layout(pages: list[tuple[int, int, str, set[int], set[int]]]) -> dict[tuple[int, int], bool]:
+    """Which lines of one document are furniture; pages are (page_id, page, text, lines known as stamps, lines that other pages have as text), in order."""
+    split = [(pid, no, text.split("\n"), known, prose) for pid, no, text, known, prose in pages]
+    edges = {pid: _edges(lines) for pid, _, lines, _, _ in split}
     n = len(split)
     seen: Counter = Counter()
     offsets: Counter = Counter()
-    for pid, no, lines, _ in split:
+    for pid, no, lines, _, _ in split:
         seen.update({skeleton(lines[i]) for i in edges[pid]})
         ends = {*edges[pid][:2], *edges[pid][-2:]}
         offsets.update({v - no for i in ends for v in numbers_in(lines[i])} | {v - no for i in ends for v in _loose(lines[i])})
     top = offsets.most_common(1)[0] if offsets else (None, 0)
     steady = top[0] if top[1] >= max(2, 0.4 * n) else None
-    heads = [s for s, k in seen.items() if len(s) >= 5 and k >= 2 and k >= 0.15 * n]
+    common = {skeleton(lines[i - 1]) for _, _, lines, _, prose in split for i in prose}
+    stamps = {skeleton(lines[i - 1]) for _, _, lines, known, _ in split for i in known}
+    heads = [s for s, k in seen.items() if len(s) >= 5 and (k >= 2 and k >= 0.15 * n and s not in common or s in stamps)]
     out: dict[tuple[int, int], bool] = {}
-    for k, (pid, no, lines, known) in enumerate(split):
+    for k, (pid, no, lines, known, prose) in enumerate(split):
         spots = edges[pid]
         for i in spots:
             line, s = lines[i], skeleton(lines[i])
@@ -194,7 +183,7 @@ def layout(pages: list[tuple[int, int, str, set[int]]]) -> dict[tuple[int, int],
                 caption = re.match(r"\s*(?:Table|Figure|Tab|Fig|Abb|[\dlI]+\.)\w*\.?\s", line) and not (steady is not None and any(v - no == steady for v in _loose(line)))
                 same = next((h for h in heads if h == s or len(h) >= 8 and abs(len(h) - len(s)) <= 3 and _close(h, s)), None)
                 paged = steady is not None and any(v - no == steady for v in _loose(line))
-                found = not caption and (same is not None or i + 1 in known or paged)
+                found = not caption and (i + 1 not in prose or paged) and (same is not None or i + 1 in known or paged)
             if found:
                 out[(pid, i + 1)] = True
         # The document's own title at the start is text, though it runs on as a head.
@@ -230,10 +219,11 @@ LINE = T.StructType([T.StructField(n, t) for n, t in (("doc", T.StringType()), (
 def document_lines(group: pd.DataFrame) -> pd.DataFrame:
     """All lines of one document (at most some dozen pages), each with its words and what it ends and begins with."""
     group = group.sort_values(["page", "page_id"]).drop_duplicates("page_id")
-    pages = [(int(i), int(p), t, {int(x) for x in k} if k is not None else set()) for i, p, t, k in zip(group["page_id"], group["page"], group["text"], group["known"])]
+    sets = [[{int(x) for x in k} if k is not None else set() for k in group[c]] for c in ("known", "prose")]
+    pages = list(zip(map(int, group["page_id"]), map(int, group["page"]), group["text"], *sets))
     furniture = layout(pages)
     out, seq = [], 0
-    for pid, no, text, _ in pages:
+    for pid, no, text, _, _ in pages:
         for i, line in enumerate(text.split("\n"), 1):
             seq += 1
             f = (pid, i) in furniture
@@ -247,9 +237,19 @@ def document_lines(group: pd.DataFrame) -> pd.DataFrame:
 def read_lines(raw_pages: DataFrame, recur: int = RECUR) -> DataFrame:
     """Every line of every page with its part in the layout; see :data:`LINE`."""
     p = raw_pages.select(F.coalesce("doc", F.concat(F.lit("\0"), F.col("page_id").cast("string"))).alias("doc"), "page_id", F.coalesce("page", F.lit(0)).cast("int").alias("page"), "text").where("page_id is not null and text is not null")
-    edge = checkpoint(spread(p).mapInPandas(edge_lines, "doc string, page_id bigint, line_no bigint, mask string"))
-    stamps = edge.groupBy("mask").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= recur).select("mask")
-    known = edge.join(stamps, "mask", "left_semi").groupBy("page_id").agg(F.collect_set("line_no").alias("known"))
+    filled = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
+    every = p.select("doc", "page_id", F.posexplode(filled).alias("pos", "x"), F.size(filled).alias("n"))
+    # What recurs in a line: its letters, without names in lines of small letters, so that stamps for different readers meet.
+    named = F.regexp_replace("x.line", r"(?<=\s)\p{Lu}[\p{L}'’]*(?=\s)", " ")
+    mask = F.lower(F.regexp_replace(F.when(F.col("x.line").rlike(r"\p{Ll}{3}.*\p{Ll}{3}"), named).otherwise(F.col("x.line")), r"[^\p{L}]+", ""))
+    masked = every.select("doc", "page_id", "x.line_no", ((F.col("pos") < EDGE) | (F.col("pos") >= F.col("n") - EDGE)).alias("edge"), mask.alias("mask")).where(F.length("mask") >= 8).withColumn("h", F.xxhash64("mask"))
+    # Partial counts by document first, so that a mask most pages share is no hot key.
+    by_doc = masked.groupBy("h", "doc").agg(F.count_if("edge").alias("at_edge"), F.count_if(~F.col("edge")).alias("inside"))
+    counts = by_doc.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.sum("at_edge").alias("at_edge"), F.sum("inside").alias("inside")).where("at_edge > 0")
+    role = F.when((F.col("docs") >= recur) & (F.col("at_edge") >= 9 * F.col("inside")), "stamp").when(F.col("inside") >= 2, "prose")
+    roles = counts.select("h", role.alias("role")).where("role is not null")
+    judged = masked.where("edge").join(roles, "h")
+    known = judged.groupBy("page_id").agg(F.collect_set(F.when(F.col("role") == "stamp", F.col("line_no"))).alias("known"), F.collect_set(F.when(F.col("role") == "prose", F.col("line_no"))).alias("prose"))
     return p.join(known, "page_id", "left").groupBy("doc").applyInPandas(document_lines, LINE)
 
 
@@ -301,8 +301,6 @@ def repairs(raw_pages: DataFrame) -> DataFrame:
     lines = checkpoint(read_lines(raw_pages))
     text = lines.where("not furniture and trim(text) <> ''")
     # Text lines in reading order, each with what follows it. Documents are small, so a window over one is as well.
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("doc").orderBy("seq")
     flow = text.withColumn("next_head", F.lead("head").over(w)).withColumn("next_page", F.lead("page_id").over(w)).withColumn("next_line", F.lead("line_no").over(w)).withColumn("last_divider", F.lag("divider").over(w))
     flow = checkpoint(flow.withColumn("first", F.regexp_extract(F.coalesce("next_head", F.lit("")), r"^([\p{L}\d(]+)", 1)))
