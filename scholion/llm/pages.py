@@ -40,24 +40,44 @@ def strip_accents(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+_SAME = str.maketrans({"(": "c", "0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "2": "z", "|": "l", "!": "l", "i": "l"})
+_GROUPS = (("lll", "m"), ("rn", "m"), ("ln", "m"), ("vv", "w"), ("ll", "n"), ("tl", "d"), ("cl", "d"), ("lh", "h"))
+# The same with those first that the others would spoil.
+_GROUPS_TOO = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("tl", "d"), ("ll", "n"))
+
+
 @lru_cache(maxsize=200_000)
-def fold(word: str) -> str:
-    """The form in which groups of characters that scanning takes for one, digits and accents fall together."""
-    w = strip_accents(word)
-    for a, b in (("(", "c"), ("0", "o"), ("1", "l"), ("5", "s"), ("8", "b"), ("|", "l"), ("!", "l"), ("rn", "m"), ("vv", "w"), ("ii", "n"), ("ti", "d"), ("cl", "d"), ("li", "h"), ("in", "m")):
+def level(word: str) -> str:
+    """The form without accents in which digits and the letters they are taken for fall together."""
+    return strip_accents(word).translate(_SAME)
+
+
+@lru_cache(maxsize=200_000)
+def fold(word: str, groups: tuple = _GROUPS) -> str:
+    """As :func:`level`, with groups of characters that scanning takes for one."""
+    w = level(word)
+    for a, b in groups:
         w = w.replace(a, b)
     return w
 
 
+_BLUR = str.maketrans("etfbhyvgquaonr", "cffhhvvqqaacnn")
+
+
 @lru_cache(maxsize=200_000)
 def blur(word: str) -> str:
     """As :func:`fold`, with all confusable letters in one class: for comparing lines."""
-    return fold(word).translate(str.maketrans("iectfbhyvgquaonr", "lceffhhvvqqaacnn"))
+    return fold(word).translate(_BLUR)
 
 
-def deletes(folded: str) -> list[str]:
-    """The folded form and every form with one character less: keys of the symmetric-delete index."""
-    return list({folded, *(folded[:i] + folded[i + 1 :] for i in range(len(folded)))}) if len(folded) > 3 else [folded]
+def deletes(word: str) -> list[str]:
+    """Keys of the symmetric-delete index: a word's forms whole, and all but the first with one character less."""
+    out = {fold(word)}
+    for form in {level(word), fold(word, _GROUPS_TOO)}:
+        out.add(form)
+        if len(form) > 2:
+            out.update(form[:i] + form[i + 1 :] for i in range(len(form)))
+    return list(out)
 
 
 _PAIRS = {(a, b): 0.3 for x, y in CONFUSIONS for a, b in ((x, y), (y, x))}
@@ -256,7 +276,7 @@ def read_lines(raw_pages: DataFrame, recur: int = RECUR) -> DataFrame:
 def _keys_udf():
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def keys(word: pd.Series) -> pd.Series:
-        return word.map(lambda w: deletes(fold(w)))
+        return word.map(deletes)
 
     return keys
 
@@ -285,7 +305,11 @@ def corrections(lexicon: DataFrame, most: float = 0.95) -> DataFrame:
     # Weighed only where the frequencies leave it open.
     near = pairs.where(worth & (~odd | (F.col("n") <= F.lit(3) + F.col("right_n") * 0.1))).withColumn("sure", sure).withColumn("cost", _distance_udf()("word", "right")).where(F.col("cost") <= most)
     near = near.where((F.length("word") > 2) | odd)
-    return near.groupBy("word").agg(F.min_by(F.struct("right", "sure"), F.struct("cost", -F.col("right_n"), "right")).alias("b")).select("word", "b.*")
+    best = near.groupBy("word").agg(F.min_by(F.struct("right", "sure"), F.struct("cost", -F.col("right_n"), "right")).alias("b")).select("word", "b.*")
+    # Numbers with letters among their digits that digits are taken for.
+    number = F.translate("word", "lioszb|!", "11052811")
+    figures = lexicon.where(F.col("word").rlike(r"^[\dliosb|!]*\d[\dliosb|!]*(?:[.,][\dliosb|!]+)?$|^[liosb|!]+[.,][liosb|!]*\d[\dliosb|!]*$") & F.col("word").rlike(r"[liosb|!]") & (F.length("word") >= 3) & (F.col("n") <= 20))
+    return best.unionByName(figures.select("word", number.alias("right"), F.lit(True).alias("sure")).join(best.select("word"), "word", "left_anti"))
 
 
 def repairs(raw_pages: DataFrame) -> DataFrame:
