@@ -116,7 +116,7 @@ _scalar("scalar_titles", "refs", "ref_id", {
 _scalar("scalar_keys", "entries", "entry_id", {
     "name_part": (lambda: S.key_name(F.col("surname")), r"coalesce(nullif(case when upper(regexp_replace(surname, '[^A-Za-z]', '', 'g')) = regexp_replace(surname, '[^A-Za-z]', '', 'g') then regexp_replace(surname, '[^A-Za-z]', '', 'g') else upper(left(regexp_replace(surname, '[^A-Za-z]', '', 'g'), 1)) || lower(substr(regexp_replace(surname, '[^A-Za-z]', '', 'g'), 2)) end, ''), 'Anon')"),
     "word_part": (lambda: S.key_word(F.col("title")), r"coalesce(upper(left(w, 1)) || substr(w, 2), 'Untitled')"),
-    "surname_cited": (lambda: S.cited_surname(F.regexp_replace("surname", r"[^\x20-\x7e]", "x")), r"coalesce(list_reduce(list_prepend('', regexp_extract_all(regexp_replace(surname, '[^\x20-\x7e]', 'x', 'g'), '[A-Z][A-Za-z''-]+')), lambda a, b: case when length(b) > length(a) then b else a end), null)"),
+    "surname_cited": (lambda: F.when(F.col("surname").isNotNull(), S.cited_surname(F.regexp_replace("surname", r"[^\x20-\x7e]", "x"))), r"if(surname is null, null, list_reduce(list_prepend('', regexp_extract_all(regexp_replace(surname, '[^\x20-\x7e]', 'x', 'g'), '[A-Z][A-Za-z''-]+')), lambda a, b: case when length(b) > length(a) then b else a end))"),
     "backend": (lambda: S.backend_of(F.col("qid")), "case when regexp_extract(qid, '^([a-z]+):', 1) = '' then 'zotero' when regexp_extract(qid, '^([a-z]+):', 1) in ('zotero', 'mendeley') then regexp_extract(qid, '^([a-z]+):', 1) end"),
     "local": (lambda: S.local_id(F.col("qid")), "regexp_replace(qid, '^(zotero|mendeley):', '')"),
     "page_no": (lambda: S.folio(F.col("firstpage")), r"try_cast(case when regexp_matches(firstpage, '^\d+-\d+$') then regexp_extract(firstpage, '-(\d+)$', 1) when regexp_matches(firstpage, '^[A-Z]?\d+$') then regexp_extract(firstpage, '(\d+)$', 1) end as int)"),
