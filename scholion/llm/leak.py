@@ -12,7 +12,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +26,19 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 1, 3, 4, 6), (0,
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+_hyphenated = re.compile(r"(?<=[^\W\d])[-‐‑¬\u00ad][^\S\n]*\n\s*(?=[^\W\d])")
+_mark = re.compile(r"[^\w\s]+|_+")
+
+
 def words(text: str) -> list[str]:
     """Words without case, layout and punctuation; marks inside a word vanish."""
-    text = unicodedata.normalize("NFKC", html.unescape(text)).lower()
-    text = re.sub(r"(?<=[^\W\d])[-‐¬­][^\S\n]*\n\s*(?=[^\W\d])", "-", text)
-    return [w for w in (re.sub(r"[\W_]+", "", t) for t in text.split()) if w]
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    if "\n" in text:
+        text = _hyphenated.sub("", text)
+    return _mark.sub("", text.lower()).split()
 
 
 def misspelled(a: str, b: str) -> bool:
@@ -90,35 +97,50 @@ class SeedIndex:
             h ^= h >> np.uint64(29)
         return h, known
 
-    def alignments(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place in the document less place in the item) of every seed hit."""
-        found: set[tuple[int, int]] = set()
+    def alignments(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place, item, place in the item) of every seed hit."""
+        found = []
         for mask, (keys, at) in zip(MASKS, self.seeds):
             h, known = self._hash(codes, mask)
-            if not len(h) or not len(keys):
+            spots = np.nonzero(known)[0]
+            if not len(spots) or not len(keys):
                 continue
-            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            for p in np.nonzero(known & (hi > lo))[0]:
-                found.update((int(k), int(p - q)) for k, q in at[lo[p] : hi[p]])
+            lo = np.searchsorted(keys, h[spots], "left")
+            there = keys[np.minimum(lo, len(keys) - 1)] == h[spots]
+            spots, lo = spots[there], lo[there]
+            hi = np.searchsorted(keys, h[spots], "right")
+            for p, a, b in zip(spots.tolist(), lo.tolist(), hi.tolist()):
+                found += [(p, k, q) for k, q in at[a:b].tolist()]
         return found
 
-    def overlaps(self, text: str, least: int) -> list[tuple[int, int]]:
-        """Items that the text holds, each with the words of its longest overlap."""
-        doc = words(text)
-        codes = np.fromiter((self.vocabulary.get(w, -1) for w in doc), dtype=np.int64, count=len(doc))
-        if (codes >= 0).sum() < 5:
-            return []
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for k, shift in self.alignments(codes):
-            by_item[k].append(shift)
-        out = []
-        for k, shifts in by_item.items():
-            runs = [r for s in shifts for r in self._runs(doc, codes, k, s)]
-            best = self._chain(runs)
-            q = self.question[k]
-            whole = q and any(r[1] - r[0] >= q and r[0] - r[2] <= len(self.words[k]) - q and r[1] - r[2] >= len(self.words[k]) for r in runs)
-            if best >= min(least, len(self.words[k])) or whole:
-                out.append((self.ids[k], best))
+    def overlaps(self, texts: list[str], least: int) -> list[list[tuple[int, int]]]:
+        """For each text the items that it holds, each with the words of its longest overlap.
+
+        Texts are hashed together, with gaps between them that no seed spans.
+        """
+        gap = max(m[-1] for m in MASKS) + 1
+        docs = [words(t) for t in texts]
+        get, flat, starts = self.vocabulary.get, [], []
+        for d in docs:
+            starts.append(len(flat))
+            flat += [get(w, -1) for w in d]
+            flat += [-1] * gap
+        every = np.array(flat, dtype=np.int64)
+        places = np.array(starts, dtype=np.int64)
+        hits: dict[int, dict[int, set[int]]] = {}
+        found = self.alignments(every)
+        owners = (np.searchsorted(places, np.array([p for p, _, _ in found], dtype=np.int64), "right") - 1).tolist() if found else []
+        for i, (p, k, q) in zip(owners, found):
+            hits.setdefault(i, {}).setdefault(k, set()).add(p - starts[i] - q)
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for i, by_item in hits.items():
+            doc, codes = docs[i], every[starts[i] : starts[i] + len(docs[i])]
+            for k, shifts in by_item.items():
+                runs = [r for s in shifts for r in self._runs(doc, codes, k, s)]
+                best, q, n = self._chain(runs), self.question[k], len(self.words[k])
+                whole = q and any(b - a >= q and a - s <= n - q and b - s >= n for a, b, s in runs)
+                if best >= min(least, n) or whole:
+                    out[i].append((self.ids[k], best))
         return out
 
     def _runs(self, doc: list[str], codes: np.ndarray, k: int, shift: int) -> list[tuple[int, int, int]]:
@@ -179,7 +201,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 14, block_words:
 
         def match(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = [(i, k, n) for i, t in zip(b["doc_id"], b["text"]) for k, n in index.value.overlaps(t, least)]
+                ids, texts, out = b["doc_id"].tolist(), b["text"].tolist(), []
+                for at in range(0, len(ids), 256):
+                    out += [(i, k, n) for i, found in zip(ids[at : at + 256], index.value.overlaps(texts[at : at + 256], least)) for k, n in found]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
 
         parts.append(d.mapInPandas(match, "doc_id bigint, item_id bigint, n_words int"))
