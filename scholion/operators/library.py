@@ -16,15 +16,17 @@ def minted_keys(docs: DataFrame, taken: DataFrame) -> DataFrame:
     id); after z follow two letters. A minted key that is taken, or that another base mints too,
     moves on past everything the base holds. Ids keep the key they once had.
     """
-    t = taken.select(F.col("key")).distinct()
-    used = t.withColumn("base", F.regexp_replace("key", r"[a-z]{1,2}$", "")).select("base", "key").unionByName(t.select(F.col("key").alias("base"), "key")).distinct()
+    # What a base can't mint: taken keys and other bases that read as it with a suffix.
+    bases = docs.select("base").distinct()
+    stripped = lambda n: F.when(F.col("key").rlike(f"[a-z]{{{n}}}$"), F.expr(f"left(key, length(key) - {n})"))
+    barred = taken.select("key").unionByName(bases.select(F.col("base").alias("key"))).distinct()
+    used = barred.select("key", F.explode(F.array_compact(F.array("key", stripped(1), stripped(2)))).alias("base")).join(bases, "base", "left_semi")
     w = Window.partitionBy("base").orderBy("created", "id")
     ranked = docs.withColumn("n", F.row_number().over(w) - 1)
     # Free suffixes of a base: as many candidates as it needs and holds, less the taken ones, in order.
     need = ranked.groupBy("base").agg(F.max("n").alias("most")).join(used.groupBy("base").agg(F.count(F.lit(1)).alias("held")), "base", "left").na.fill(0, ["held"])
     slots = need.select("base", F.explode(F.sequence(F.lit(0), F.col("most") + F.col("held"))).alias("k")).withColumn("key", F.concat("base", suffix(F.col("k"))))
-    other = docs.select(F.col("base").alias("key")).distinct()
-    free = slots.join(used.select("key").distinct(), "key", "left_anti").join(other, slots["key"] == other["key"], "left").where(other["key"].isNull() | (slots["key"] == slots["base"])).select(slots["base"], slots["k"], slots["key"])
+    free = slots.join(taken.select("key").distinct(), "key", "left_anti").join(bases.select(F.col("base").alias("key"), F.col("base").alias("own")), "key", "left").where(F.col("own").isNull() | (F.col("own") == F.col("base"))).select("base", "k", "key")
     order = Window.partitionBy("base").orderBy("k")
     placed = free.withColumn("n", F.row_number().over(order) - 1).select("base", "n", "key")
     return ranked.join(placed, ["base", "n"]).select("id", "key")
@@ -241,7 +243,7 @@ def accessions(texts: DataFrame, key: str, text: Column) -> DataFrame:
 
     Four characters that begin with a digit; years don't count.
     """
-    cue = r"(?i:pdb|protein data bank)(?:\s+(?:ids?|codes?|entry|entries|accession))*[\s:]*((?:[1-9][A-Za-z0-9]{3})(?:\s*(?:,|and|;)\s*[1-9][A-Za-z0-9]{3})*)\b"
+    cue = r"(?i)\b(?:pdb|protein data bank)(?:\s+(?:ids?|codes?|entry|entries|accession))*[\s:]*((?:[1-9][A-Za-z0-9]{3})(?:\s*(?:,|and|;)\s*[1-9][A-Za-z0-9]{3})*)\b"
     found = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(cue), 1)).alias("list")).select(key, F.explode(F.regexp_extract_all("list", F.lit(r"\b([1-9][A-Za-z0-9]{3})\b"), 1)).alias("acc"))
     return found.select(key, F.upper("acc").alias("acc")).where(~F.col("acc").rlike(r"^(19|20)\d\d$") & F.col("acc").rlike("[A-Z]")).groupBy(key, "acc").agg(F.count(F.lit(1)).alias("n"))
 

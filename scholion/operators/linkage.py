@@ -24,6 +24,9 @@ HASHES, COMMON_SHARE = 8, 0.01
 #: At most this many labelled pairs train the model, as many again calibrate it.
 SAMPLE = 5_000
 
+#: The two parts of each band; :func:`_bands` makes them.
+BANDS = [("wide", "one"), ("sig", "heads"), ("two", "tails"), ("two", "year"), ("sig", "pages"), ("lone_pages", "volumes"), ("pages", "heads"), ("solo", "tails"), ("solo", "year"), ("lone_pages", "year")]
+
 FEATURES = ["title_known", "title_sim", "title_low", "raw_share", "who_known", "who_sim", "year_same", "year_near", "year_off", "journal_known", "journal_sim", "volume_in", "page_in", "page_out", "kind_off", "numbers_off", "print_agrees", "all_agree"]
 
 
@@ -54,26 +57,30 @@ def read_entries(entries: DataFrame) -> DataFrame:
     return e.groupBy(*fields).agg(F.min("entry").alias("entry")).withColumn("e_words", _words(F.col("e_title")))
 
 
+def content(refs: DataFrame) -> DataFrame:
+    """Reference lines with the hash ``line`` of all that they say."""
+    fields = ["title", "author", "year", "journal", "raw", "doi"]
+    return refs.where("ref_id is not null").select("ref_id", *fields, F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in fields]).alias("line"))
+
+
 def read_refs(refs: DataFrame) -> DataFrame:
     """Reference lines as they are compared: one row per distinct content, under the hash ``line``."""
     raw = F.coalesce(F.col("raw"), F.lit(""))
     title = plain_title(F.regexp_replace("title", r"(?:…|\.\.\.|-)\s*$", ""))
-    plain_raw = plain_title(raw)
-    r = refs.select(
+    r = content(refs).drop("ref_id").dropDuplicates(["line"]).select(
+        "line",
         title.alias("r_title"),
-        plain_raw.alias("r_raw"),
+        plain_title(raw).alias("r_raw"),
         present(plain_name(F.regexp_replace("author", r"(?i)\bet al\b\.?", ""))).alias("r_who"),
         _year(F.col("year"), raw).alias("r_year"),
         present(plain_title(F.col("journal"))).alias("r_journal"),
         F.regexp_extract_all(F.lower(raw), F.lit(r"(?<![\p{L}\d])([a-z]?\d+)(?!\d)"), 1).alias("r_numbers"),
         plain_doi(F.col("doi")).alias("r_doi"),
-        "ref_id",
-    ).where("ref_id is not null")
-    fields = [c for c in r.columns if c != "ref_id"]
+    )
     # The year isn't a page or volume, unless its number stands there twice.
     is_year = lambda x: F.coalesce(x == F.col("r_year").cast("string"), F.lit(False))
     r = r.withColumn("r_numbers", F.array_distinct(F.filter("r_numbers", lambda x: ~is_year(x) | (F.size(F.filter("r_numbers", is_year)) > 1))))
-    return r.withColumn("line", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields if c != "r_numbers"])).withColumn("r_words", _words(F.coalesce(present(F.col("r_title")), F.col("r_raw"))))
+    return r.withColumn("r_words", _words(F.coalesce(present(F.col("r_title")), F.col("r_raw"))))
 
 
 def common_words(entries: DataFrame, share: float = COMMON_SHARE) -> list[str]:
@@ -114,8 +121,8 @@ def _bands(df: DataFrame, side: str, key: str, common: list[str]) -> DataFrame:
     who = F.filter(F.split(F.coalesce(F.col(f"{side}_who"), F.lit("")), " "), lambda w: F.length(w) >= 4)
     x = df.withColumn("sig", F.array_compact(_signature(F.col(f"{side}_words"), common)))
     x = x.withColumn("heads", F.transform(who, lambda w: F.concat(F.lit("s"), F.left(w, F.lit(4)))))
-    # Either end of a surname may be mistyped.
-    x = x.withColumn("ends", F.concat("heads", F.transform(who, lambda w: F.concat(F.lit("z"), F.right(w, F.lit(4))))))
+    # Either end of a surname may be mistyped; many share their last letters, so these take two words beside them.
+    x = x.withColumn("tails", F.transform(who, lambda w: F.concat(F.lit("z"), F.right(w, F.lit(4)))))
     x = x.withColumn("year", _one(F.col(f"{side}_year"), "y"))
     # Abbreviations and initials of a journal keep its first letter.
     x = x.withColumn("issue", _one(F.concat(F.col(f"{side}_year").cast("string"), F.left(F.col(f"{side}_journal"), F.lit(1))), "i"))
@@ -125,10 +132,10 @@ def _bands(df: DataFrame, side: str, key: str, common: list[str]) -> DataFrame:
         numbers = F.transform("r_numbers", lambda n: F.concat(F.lit("n"), n))
         # Lines with a whole title are found by its words; the numbers of others are paired with each other.
         x = x.withColumn("pages", numbers).withColumn("volumes", F.filter("pages", lambda n: F.length(n) <= 4)).withColumn("lone_pages", F.when(F.coalesce(F.length("r_title"), F.lit(0)) < 40, F.col("pages")))
-    x = x.withColumn("wide", F.when(F.size("sig") > 0, F.array(F.concat_ws("|", F.array_sort("sig")))))
-    x = x.withColumn("one", F.array(F.lit("w")))
-    pairs = [("wide", "one"), ("sig", "ends"), ("sig", "issue"), ("sig", "pages"), ("lone_pages", "volumes"), ("lone_pages", "heads"), ("lone_pages", "year")]
-    return x.select(key, F.explode(F.array_distinct(F.concat(*[_cross(a, b) for a, b in pairs]))).alias("band"))
+    x = x.withColumn("wide", F.when(F.size("sig") > 1, F.array(F.concat_ws("|", F.array_sort("sig")))))
+    x = x.withColumn("two", F.flatten(F.transform("sig", lambda v: F.transform(F.filter("sig", lambda w: w > v), lambda w: F.concat(v, F.lit("|"), w)))))
+    x = x.withColumn("solo", F.when(F.size("sig") == 1, F.col("sig"))).withColumn("one", F.array(F.lit("w")))
+    return x.select(key, F.explode(F.array_distinct(F.concat(*[_cross(a, b) for a, b in BANDS]))).alias("band"))
 
 
 def candidates(entries: DataFrame, refs: DataFrame, common: list[str]) -> DataFrame:
@@ -257,8 +264,7 @@ def match(entries: DataFrame, refs: DataFrame, least: float = 0.5) -> DataFrame:
     are ignored.
     """
     e = checkpoint(read_entries(entries))
-    every = read_refs(refs)
-    lines = checkpoint(every.drop("ref_id").dropDuplicates(["line"]))
+    lines = checkpoint(read_refs(refs))
     scored = checkpoint(features(candidates(e, lines, common_words(e)), e, lines))
     *weights, constant = model(scored)
     logit = F.lit(constant)
@@ -272,4 +278,4 @@ def match(entries: DataFrame, refs: DataFrame, least: float = 0.5) -> DataFrame:
     groups = works.groupBy("entry_a").agg(F.least(F.col("entry_a"), F.min("entry_b")).alias("least"))
     first = works.join(groups, "entry_a").select(F.col("entry_b").alias("entry"), "least").unionByName(groups.select(F.col("entry_a").alias("entry"), "least"))
     found = best.join(first, "entry", "left").select("line", F.coalesce("least", "entry").alias("entry_id"), "confidence")
-    return every.select("ref_id", "line").join(found, "line").groupBy("ref_id").agg(F.min("entry_id").alias("entry_id"), F.max("confidence").alias("confidence"))
+    return content(refs).select("ref_id", "line").join(found, "line").groupBy("ref_id").agg(F.min("entry_id").alias("entry_id"), F.max("confidence").alias("confidence"))

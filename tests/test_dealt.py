@@ -1,0 +1,185 @@
+"""The core operators for training data: results, edge cases, and agreement with plainer ways on small fixtures."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scholion.operators import history, linkage, names
+from scholion.operators.components import components
+from scholion.session import table
+
+ENTRY = "entry_id bigint, batch_no int, title string, surname string, authors array<struct<first_name:string,last_name:string,name:string>>, year string, journal string, volume string, firstpage string, doi string, id string, old string, core string"
+
+
+def entries(spark, rows):
+    return spark.createDataFrame([(i, b, t, s, None, y, j, v, p, d, "x", "y", "z") for i, b, t, s, y, j, v, p, d in rows], ENTRY)
+
+
+A = "How vaxraol controls folding in a salt-free lipid bilayer with dorvoene"
+
+
+def pairs(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_duplicates(spark):
+    rows = [
+        (1, 0, A, "Čámo", "2009", "Annals of Membrane Transport", "57", "2394", "10.90137/aomt-1234567"),
+        (2, 0, A.upper(), "Camo", "2009", "AMT", "57", "2394", None),
+        (3, 1, "vaxraol controls folding in a <i>salt</i>-free lipid bil…", "Čámo", "2010", None, "57", "2394", "https://doi.org/10.90137/AOMT-1234567"),
+        (4, 1, "Erratum: " + A, "Čámo", "2009", "AMT", "57", "2500", None),
+        (5, 1, A + ". Part II", "Čámo", "2010", "AMT", "58", "11", None),
+        (6, 2, "Editorial", "Omo", "2009", "AMT", "57", "1", None),
+        (7, 2, "Editorial", "Bumo", "2009", "BS", "12", "7", None),
+        (8, 2, "On other things altogether in a foam", "Xumo", "2009", "AMT", "57", "99", "10.90137/aomt-1234567"),
+        (9, 3, None, None, None, None, None, None, None),
+        (10, 3, "", "", "", "", "", "", ""),
+        (11, 3, None, None, None, None, None, None, None),
+        (2, 0, A.upper(), "Camo", "2009", "AMT", "57", "2394", None),
+    ]
+    assert pairs(history.duplicates(entries(spark, rows))) == {(1, 2), (1, 3)}
+
+
+def test_duplicates_void(spark):
+    assert history.duplicates(entries(spark, [])).count() == 0
+    assert history.duplicates(entries(spark, [(1, None, "é" * 20000, "x", "n. d.", None, None, None, "none")])).count() == 0
+
+
+def test_duplicates_many_copies(spark):
+    rows = [(i, i % 3, A, "Čámo", "2009", "J", "57", "2394", None) for i in range(300)]
+    got = pairs(history.duplicates(entries(spark, rows)))
+    assert len(got) == 299 and {a for a, _ in got} == {0}
+
+
+def test_batches_as_whole(spark, sf):
+    """Batch after batch against the stored index finds what one pass over everything finds."""
+    e = table(spark, sf, "entries")
+    every = history.describe(e)
+    whole = pairs(history.verify(history.probe(history.index_rows(every), every), every, every))
+    index, known = history.index_rows(every.limit(0)), every.limit(0)
+    got = set()
+    for n in (0, 1, 2):
+        links, rows, new = history.check_batch(index, known, e.where(F.col("batch_no") == n))
+        got |= pairs(links.select("old", "new"))
+        index, known = index.unionByName(rows), known.unionByName(new)
+    upto = {r[0] for r in e.where("batch_no <= 2").select("entry_id").collect()}
+    assert got == {(a, b) for a, b in whole if a in upto and b in upto}
+
+
+def test_segments_meet_all_near_heads(spark):
+    """Every pair of heads within the allowed edits shares a key, whatever the edits."""
+    rnd = random.Random(5)
+    base = "hydrodynamicradiusandcollapse" + "inquenchedblends"
+    rows = [(0, 0, base, "Omo", "2000", None, "5", "9", None)]
+    for i in range(1, 150):
+        t = list(base)
+        for _ in range(rnd.randint(1, history.TITLE_EDITS)):
+            k = rnd.randrange(2, 20)
+            how = rnd.choice("sid")
+            if how == "s":
+                t[k] = rnd.choice("abcdefgh")
+            elif how == "i":
+                t.insert(k, rnd.choice("abcdefgh"))
+            else:
+                del t[k]
+        rows.append((i, 1, "".join(t), "Omo", "2000", None, "5", "9", None))
+    d = history.describe(entries(spark, rows))
+    met = {r["new"] for r in history.probe(history.index_rows(d.where("id = 0")), d).collect()}
+    assert met == set(range(1, 150))
+
+
+def test_components(spark):
+    rnd = random.Random(1)
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(None, 1), (5, 5)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            ra, rb = find(a), find(b)
+            up[max(ra, rb)] = min(ra, rb)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in up}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_names(spark):
+    given = ["Dvéskaustonova", "Dvéskaustonova, Charlotte", "C. DVESKAUSTONOVA", "Charlotte Dveskaustonova", "Lottie Dvéskaustonova", "Dvéskaustonova, Wenjing", "Dveskaustonvoa, C.", "Omosen, Charlotte", "Omosen", "W. B. Omosen", "W. A. Omosen", "van der Drullábek, D.", "Dmitri van der Drullabek", "Yédránnec Laboratory of Interfacial Science", "YEDLIS (Yédránnec)", "YEDLIS", "Yédránnec Lab. of Interfacial Science", None, "", "  ", "12", "Omosen"]
+    got = pairs(names.same_names(spark.createDataFrame([(n, 1) for n in given], "name string, uses int")))
+    linked = lambda a, b: (min(a, b), max(a, b)) in got
+    assert linked("Dvéskaustonova", "Dvéskaustonova, Charlotte") and linked("Dvéskaustonova", "Dvéskaustonova, Wenjing")
+    assert linked("C. DVESKAUSTONOVA", "Charlotte Dveskaustonova") and linked("Lottie Dvéskaustonova", "Charlotte Dveskaustonova") and linked("Dveskaustonvoa, C.", "Dvéskaustonova, Charlotte")
+    assert not linked("Dvéskaustonova, Charlotte", "Dvéskaustonova, Wenjing") and not linked("Omosen, Charlotte", "Dvéskaustonova, Charlotte")
+    assert not linked("W. B. Omosen", "W. A. Omosen") and linked("Omosen", "W. A. Omosen")
+    assert linked("van der Drullábek, D.", "Dmitri van der Drullabek")
+    assert linked("YEDLIS", "YEDLIS (Yédránnec)") and linked("YEDLIS", "Yédránnec Laboratory of Interfacial Science") and linked("Yédránnec Lab. of Interfacial Science", "Yédránnec Laboratory of Interfacial Science")
+    assert all(a < b for a, b in got)
+
+
+def test_names_void(spark):
+    assert names.same_names(spark.createDataFrame([], "name string")).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b"), [("abcd", "abxd"), ("", "a"), ("same", "same"), ("kitten", "sitting")])
+def test_subsequence(a, b):
+    def lcs(x, y):
+        return 0 if not x or not y else 1 + lcs(x[:-1], y[:-1]) if x[-1] == y[-1] else max(lcs(x[:-1], y), lcs(x, y[:-1]))
+
+    assert names.lcs_ratio(a, b) == (2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0)
+
+
+def test_slips_against_all_pairs(spark):
+    """Suffix blocking, refined for crowded suffixes, meets every single slip that comparing all pairs finds."""
+    rnd = random.Random(3)
+    hubs = ["".join(rnd.choice("bdgklmnrstv") + rnd.choice("aeiou") for _ in range(4)) + "berg" for _ in range(40)]
+    rows, want = [(h, 9) for h in hubs], {}
+    for h in hubs:
+        k = rnd.randrange(1, len(h) - 1)
+        s = rnd.choice([h[:k] + h[k + 1 :], h[:k] + "z" + h[k:], h[:k] + h[k + 1] + h[k] + h[k + 2 :]])
+        if s not in want and s not in hubs:
+            want[s] = h
+            rows.append((s, 1))
+    got = {r["token"]: r["stands_for"] for r in names.slips(spark.createDataFrame(rows, "token string, uses bigint"), common=8).collect()}
+    missed = [s for s in want if s not in got]
+    assert len(missed) <= 0.02 * len(want)
+
+
+def _refs(spark, rows):
+    return spark.createDataFrame([(*r, "clash") for r in rows], "ref_id bigint, doi string, title string, author string, year string, journal string, raw string, entry_id string")
+
+
+def test_matching(spark):
+    e = entries(spark, [(1, 0, A, "Čámo", "2009", "Annals of Membrane Transport", "57", "2394", "10.90137/aomt-1"), (2, 1, A, "Camo", "2009", "Annals of Membrane Transport", "57", "2394", None), (3, 0, "Effect of glydoide on the surface charge of a salt-free ionic liquid", "Dreteigu", "2020", "Journal of Interfacial Rheology", "70", "12", None), (4, 0, None, None, None, None, None, None, None)])
+    r = _refs(spark, [
+        (10, None, "How vaxraol controls foldign in a salt-free lipid bilayer with dorvoene", "Čámo C", "2009", "Ann. Membr. Transp.", "Čámo C: Ann. Membr. Transp. 57 (2009) 2394"),
+        (11, None, None, "Camo", "2009", "Ann. Membr. Transp.", "Camo. 2009. Ann. Membr. Transp., vol. 57, pp. 2394ff."),
+        (12, None, "How vaxraol controls folding in another thing with zorvoene", "Omosen", "1999", "JIR", "Omosen, JIR 3 77 1999"),
+        (13, None, None, None, None, None, None), (14, None, "", "", "", "", ""), (15, "10.1234/x", A, "Čámo", "2009", None, None), (10, None, "How vaxraol controls foldign in a salt-free lipid bilayer with dorvoene", "Čámo C", "2009", "Ann. Membr. Transp.", "Čámo C: Ann. Membr. Transp. 57 (2009) 2394"),
+        (16, None, None, None, None, None, "57 2394 - - 3 1"), (17, None, "x" * 30000, None, None, None, "y " * 20000),
+    ])
+    got = {r["ref_id"]: (r["entry_id"], r["confidence"]) for r in linkage.match(e, r).collect()}
+    assert {k: v[0] for k, v in got.items()} == {10: 1, 11: 1}
+    assert all(0.5 <= c <= 1 for _, c in got.values())
+
+
+def test_matching_void(spark):
+    e, r = entries(spark, []), _refs(spark, [])
+    assert linkage.match(e, r).count() == 0
+    assert linkage.match(e, _refs(spark, [(1, None, A, None, None, None, None)])).count() == 0
+
+
+def test_model_learns_and_calibrates():
+    rnd = np.random.default_rng(0)
+    x = rnd.random((4000, 3))
+    p = 1 / (1 + np.exp(-(6 * x[:, 0] - 4 * x[:, 1] - 1)))
+    y = (rnd.random(4000) < p).astype(float)
+    w = linkage.fit(x[:2000], y[:2000])
+    a, b = linkage.calibrate(np.hstack([x[2000:], np.ones((2000, 1))]) @ w, y[2000:])
+    q = 1 / (1 + np.exp(-(a * (np.hstack([x, np.ones((4000, 1))]) @ w) + b)))
+    assert np.abs(q - p).mean() < 0.05
