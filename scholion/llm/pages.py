@@ -312,6 +312,44 @@ def corrections(lexicon: DataFrame, most: float = 0.95) -> DataFrame:
     return best.unionByName(figures.select("word", number.alias("right"), F.lit(True).alias("sure")).join(best.select("word"), "word", "left_anti"))
 
 
+def paragraphs(raw_pages: DataFrame) -> DataFrame:
+    """(``doc``, ``paragraph``, ``text``): continuous text across pages, furniture out, words joined and corrected.
+
+    A blank line or an indented one begins a paragraph, unless a word goes on
+    over it; so does a heading, caption or row of figures. Nulls and empty
+    tables as in :func:`repairs`.
+    """
+    lines = read_lines(raw_pages)
+    fixes = repairs(raw_pages).where("kind <> 'furniture'").groupBy("page_id", "line_no").agg(F.collect_set(F.when(F.col("kind") == "misread", F.struct("word", "right"))).alias("swaps"), F.max(F.col("kind") == "broken").alias("broken"))
+    x = lines.where("not furniture").select("doc", "page_id", "line_no", "seq", "text").join(fixes, ["page_id", "line_no"], "left")
+    return x.groupBy("doc").applyInPandas(_join_document, "doc string, paragraph int, text string")
+
+
+def _join_document(group: pd.DataFrame) -> pd.DataFrame:
+    """Paragraphs of one document from its lines."""
+    out: list[str] = []
+    blank, broken = True, False
+    for text, swaps, goes_on in group.sort_values("seq")[["text", "swaps", "broken"]].itertuples(index=False):
+        line = text.rstrip()
+        if not line.strip():
+            blank = blank or not broken
+            continue
+        for s in swaps if swaps is not None else []:
+            line = re.sub(rf"(?<![^\W\d_]){re.escape(s['word'])}(?![^\W\d_])", lambda m, r=s["right"]: r.capitalize() if m[0][:1].isupper() else r, line, flags=re.I)
+        apart = blank or line.startswith("  ") or bool(re.match(r"\s*(?:(?:Table|Figure)\s+\d|\d+\.\s+\S+$|[\d.,\s]+$)", line)) or bool(out) and bool(re.match(r"(?:(?:Table|Figure)\s+\d+\.|\d+\.\s+\S+$|[\d.,\s]+$)", out[-1]))
+        if out and broken:
+            out[-1] += line.strip()
+        elif out and (not apart or line.lstrip()[0].islower() and not re.search(r"[.!?:]$|^(?:Table|Figure)\s+\d", out[-1]) and not line.startswith("  ")):
+            out[-1] += ("" if out[-1].endswith("-") else " ") + line.strip()
+        else:
+            out.append(line.strip())
+        broken = goes_on is not None and goes_on == True  # noqa: E712  # may be null
+        if broken:
+            out[-1] = re.sub(rf"[{DIVIDERS}]\s*$", "", out[-1])
+        blank = False
+    return pd.DataFrame({"doc": [group["doc"].iloc[0]] * len(out), "paragraph": range(1, len(out) + 1), "text": out})
+
+
 def repairs(raw_pages: DataFrame) -> DataFrame:
     """Lines of pages with what has to be done: (``page_id``, ``line_no``, ``kind``, ``word``, ``right``).
 

@@ -4,10 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholion.llm import leak, residue, unify
+from scholion.llm import leak, mix, pages, residue, unify
 from scholion.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of scanned pages that need repair, with the kind of repair."""
+    return pages.repairs(table(spark, sf, "raw_pages")).select("page_id", "line_no", "kind").distinct()
+
+
+def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The continuous paragraphs of every scanned document."""
+    return pages.paragraphs(table(spark, sf, "raw_pages"))
+
+
+def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes in their one consistent form."""
+    return unify.unified(table(spark, sf, "findings"), "record_id", "quote", "quote").select("field_name", "row", "form")
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mixture, each with its source and repeats."""
+    return mix.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share that each source wants and reaches."""
+    return mix.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose quotes or titles read the same but aren't made of the same characters."""
     quotes = unify.unified(table(spark, sf, "findings"), "record_id", "quote", "quote")
@@ -25,5 +50,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_forms": p3_forms, "p7_mix": p7_mix, "p7_shares": p7_shares, "p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
