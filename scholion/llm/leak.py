@@ -13,6 +13,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,12 +42,14 @@ def words(text: str) -> list[str]:
     return _mark.sub("", text.lower()).split()
 
 
+@lru_cache(maxsize=100_000)
 def misspelled(a: str, b: str) -> bool:
     """Whether one word is the other with a letter or two wrong; words with digits are never misspelled ones."""
     n, m = len(a), len(b)
-    if abs(n - m) > 2 or max(n, m) < 3 or any(c.isdigit() for c in a + b):
-        return False
     most = 1 if max(n, m) < 6 else 2
+    # An edit changes at most two of the letters in use.
+    if abs(n - m) > 2 or max(n, m) < 3 or len(set(a) ^ set(b)) > 2 * most or any(c.isdigit() for c in a + b):
+        return False
     before, row = None, list(range(m + 1))
     for i in range(1, n + 1):
         last, row, prior = row, [i] + [0] * m, before
