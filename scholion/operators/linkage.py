@@ -25,7 +25,7 @@ HASHES, COMMON_SHARE = 8, 0.01
 SAMPLE = 5_000
 
 #: The two parts of each band; :func:`_bands` makes them.
-BANDS = [("wide", "one"), ("sig", "heads"), ("two", "tails"), ("two", "year"), ("sig", "pages"), ("lone_pages", "volumes"), ("pages", "heads"), ("solo", "tails"), ("solo", "year"), ("lone_pages", "year")]
+BANDS = [("wide", "one"), ("sig", "heads"), ("two", "year"), ("sig", "pages"), ("lone_pages", "volumes"), ("pages", "heads"), ("solo", "tails"), ("solo", "year"), ("lone_pages", "year")]
 
 FEATURES = ["title_known", "title_sim", "title_low", "raw_share", "who_known", "who_sim", "year_same", "year_near", "year_off", "journal_known", "journal_sim", "volume_in", "page_in", "page_out", "kind_off", "numbers_off", "print_agrees", "all_agree"]
 
@@ -145,7 +145,9 @@ def candidates(entries: DataFrame, refs: DataFrame, common: list[str]) -> DataFr
 
 def features(pairs: DataFrame, entries: DataFrame, refs: DataFrame) -> DataFrame:
     """Candidates with their similarity features."""
-    x = pairs.join(refs.drop("r_words"), "line").join(entries, "entry")
+    # A raw line is looked into only where it has no title or journal of its own; else it needn't be carried.
+    slim = refs.withColumn("r_raw", F.when((F.length("r_title") > 0) & F.col("r_journal").isNotNull(), "").otherwise(F.col("r_raw"))).drop("r_words")
+    x = pairs.join(slim, "line").join(entries.drop("e_words"), "entry").withColumn("e_words", _words(F.col("e_title")))
     a, b = F.replace(F.col("e_title"), F.lit(" "), F.lit("")), F.replace(F.coalesce("r_title", F.lit("")), F.lit(" "), F.lit(""))
     n, m = F.length(a), F.length(b)
     # A cut title is compared with as much of the whole one.

@@ -262,10 +262,10 @@ def j10_diff(s, d):
     return library.snapshot_diff(e.where("batch_no < 6"), e.where("batch_no > 0").withColumn("year", F.when(F.col("entry_id") % 5 == 0, "1999").otherwise(F.col("year"))), "entry_id", ["title", "year", "journal"])
 
 
-@query("q20_changes", "with o as (select entry_id, unnest([{'field': 'title', 'v': title}, {'field': 'year', 'v': year}], recursive := true) from entries), n as (select entry_id, unnest([{'field': 'title', 'v': upper(title)}, {'field': 'year', 'v': case when entry_id % 7 = 0 then null else year end}], recursive := true) from entries) select entry_id, field, o.v as before, n.v as \"after\" from o full join n using (entry_id, field) where o.v is distinct from n.v")
+@query("q20_changes", "with o as (select entry_id, unnest([{'field': 'title', 'v': title}, {'field': 'year', 'v': year}], recursive := true) from entries), n as (select entry_id, unnest([{'field': 'title', 'v': title || '.'}, {'field': 'year', 'v': case when entry_id % 7 = 0 then null else year end}], recursive := true) from entries) select entry_id, field, o.v as before, n.v as \"after\" from o full join n using (entry_id, field) where o.v is distinct from n.v")
 def q20_changes(s, d):
     e = table(s, d, "entries").select("entry_id", "title", "year")
-    return library.field_changes(e, e.withColumn("title", F.upper("title")).withColumn("year", F.when(F.col("entry_id") % 7 != 0, F.col("year"))), "entry_id", ["title", "year"])
+    return library.field_changes(e, e.withColumn("title", F.concat("title", F.lit("."))).withColumn("year", F.when(F.col("entry_id") % 7 != 0, F.col("year"))), "entry_id", ["title", "year"])
 
 
 @query("j15_siblings", f"with x as (select entry_id as id, coalesce({_K}, '') as k from entries), n as (select k, count(*) as n from x where k <> '' group by 1) select id, coalesce(n, 1) - 1 as siblings, case when coalesce(n, 1) > 1 then 'survivor exists' else 'last copy' end as verdict from x left join n using (k)")
