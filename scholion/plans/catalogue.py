@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scholion.functions import scalars as S
-from scholion.operators import ledger, library
+from scholion.operators import ledger, library, texts
 from scholion.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,3 +458,32 @@ def p47_failures(s, d):
 @query("props_json", "select event_id, try_cast(json_extract_string(props, '$.k') as int) as k from events")
 def props_json(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("q15_entities", "select entry_id, field, before, replace(replace(replace(replace(before, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') as \"after\" from (select entry_id, 'title' as field, title as before from entries union all select entry_id, 'journal', journal from entries) where before <> replace(replace(replace(replace(before, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")
+def q15_entities(s, d):
+    return texts.with_entities(table(s, d, "entries"), "entry_id", ["title", "journal"])
+
+
+@query("p21_quotes")
+def p21_quotes(s, d):
+    return table(s, d, "findings").where("quote is not null").select("record_id", texts.quote_column(F.col("quote")).alias("quote_form"))
+
+
+@query("p27_rotated")
+def p27_rotated(s, d):
+    return table(s, d, "raw_pages").select("page_id", texts.rotated_column(F.col("text")).alias("rotated"))
+
+
+@query("k3_index", "select citekey, year, title, case when pdf is null then '' when pdf then 'yes' else 'no' end as has_text from entries left join (select parent_qid, bool_or(content_type = 'application/pdf') as pdf from attachments group by 1) on parent_qid = qid")
+def k3_index(s, d):
+    from scholion.sources import writers
+
+    return writers.index_table(table(s, d, "entries"), table(s, d, "attachments"))
+
+
+@query("k1_bibliography")
+def k1_bibliography(s, d):
+    from scholion.sources import writers
+
+    return writers.bibliography_entry(table(s, d, "entries"))
