@@ -194,10 +194,14 @@ def banded_cluster(rows: DataFrame, part: str, value: str, page: str, band: int)
 
 
 def quartile_at(rows: DataFrame, part: str, value: str) -> DataFrame:
-    """[A22] The value at index n // 4 of the sorted values, by counting rows, not interpolating."""
-    w = Window.partitionBy(part).orderBy(value)
-    n = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(part, value).withColumn("i", F.row_number().over(w) - 1).join(n, part).where(F.col("i") == F.floor(F.col("n") / 4)).select(part, F.col(value).alias("q1"))
+    """[A22] The value at index n // 4 of the sorted values, by counting rows, not interpolating.
+
+    Values are counted before they are put in order, so a part that most rows
+    share takes no more than its distinct values.
+    """
+    counts = rows.groupBy(part, value).agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(part).orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy(part)))
+    return upto.where(F.col("upto") > F.floor(F.col("all") / 4)).groupBy(part).agg(F.min(value).alias("q1"))
 
 
 # -- text gates --------------------------------------------------------------
@@ -222,10 +226,9 @@ def content_share(lines: DataFrame, doc: str, page: str, line: str, least: int =
 def list_gate(refs: DataFrame) -> DataFrame:
     """Verdict over a parsed list per paper, in the order of the checks; refs have ``src_key``, ``author``, ``raw``, ``n`` (label)."""
     pointing = F.col("raw").rlike(r"(?i)\b(journal|review|proc|trans|lett|bull|ann|arch)") | F.col("raw").rlike(r"\d+\s*[:,(]\s*\d+")
-    g = refs.groupBy("src_key").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("author").isNotNull().cast("double")).alias("named"), F.avg(F.coalesce(pointing, F.lit(False)).cast("double")).alias("outward"), F.max("n").alias("top"),
-        F.element_at(F.array_sort(F.collect_list(F.length(F.coalesce("raw", F.lit(""))))), (F.floor(F.count(F.lit(1)) / 4) + 1).cast("int")).alias("q1"),
-    )
+    size = F.length(F.coalesce("raw", F.lit("")))
+    g = refs.groupBy("src_key").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("author").isNotNull().cast("double")).alias("named"), F.avg(F.coalesce(pointing, F.lit(False)).cast("double")).alias("outward"), F.max("n").alias("top"))
+    g = g.join(quartile_at(refs.select("src_key", size.alias("size")), "src_key", "size"), "src_key")
     return g.withColumn("verdict", F.when(F.col("named") < 0.55, "unnamed").when(F.col("outward") < 0.65, "inward").when(F.col("q1") > 450, "paragraphs").when(F.col("top") > 8 * F.col("n"), "labels").otherwise("sound"))
 
 

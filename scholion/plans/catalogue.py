@@ -294,13 +294,11 @@ def w11_ordinals(s, d):
     return table(s, d, "findings").groupBy("citekey").agg((F.max("ordinal") + 1).alias("next_ordinal"), F.count(F.lit(1)).alias("records"), (F.max("ordinal") - F.count_distinct("ordinal")).alias("missing"))
 
 
-@query("q14_stale", "with x as (select citekey as \"key\", md5(string_agg(text, '' order by doc_id)) as sha from documents where citekey is not null group by 1), r as (select citekey as \"key\", md5(string_agg(text, '' order by doc_id)) as sha from documents where citekey is not null and doc_id % 3 <> 0 group by 1) select \"key\", case when x.sha is null then 'gone' when r.sha is null then 'unread' when x.sha <> r.sha then 'stale' else 'ok' end as verdict from x full join r using (\"key\")")
+@query("q14_stale", "with x as (select doc_id as \"key\", left(sha256(text), 16) as sha from documents where lang is not null), r as (select doc_id as \"key\", left(sha256(replace(text, chr(160), ' ')), 16) as was from documents where section is not null) select \"key\", case when sha is null then 'gone' when was is null then 'unread' when sha <> was then 'stale' else 'ok' end as verdict from x full join r using (\"key\")")
 def q14_stale(s, d):
-    def sha(t: DataFrame) -> DataFrame:
-        return t.groupBy(F.col("citekey").alias("key")).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "")).alias("sha"))
-
-    docs = table(s, d, "documents").where("citekey is not null")
-    return library.staleness(sha(docs), sha(docs.where("doc_id % 3 <> 0")))
+    docs = table(s, d, "documents").withColumnRenamed("doc_id", "key")
+    now = docs.where("lang is not null").select("key", S.body_hash(F.col("text")).alias("sha"))
+    return library.staleness(now, docs.where("section is not null").select("key", S.body_hash(F.replace("text", F.lit("\u00a0"), F.lit(" "))).alias("sha")))
 
 
 @query("f13_skip", "with f as (select att_key as qid, md5 as filehash, filename as stem from attachments), st as (select att_key as qid, case when ord % 2 = 0 then md5 else md5 || 'x' end as was_hash, filename as was_stem, case when ord % 3 = 0 then 'failed' else 'ok' end as status, 2 + ord % 2 as rules from attachments where parent_qid is not null) select qid, case when status is null then 'new' when status not in ('ok', 'thin') then 'retry' when filehash is distinct from was_hash then 'changed' when stem is distinct from was_stem then 'moved' when rules < 3 then 'old rules' else 'skip' end as plan from f left join st using (qid)")
@@ -385,7 +383,7 @@ def a14_band(s, d):
 @query("a22_quartile", "select source, list_sort(list(n_chars))[(count(*) // 4 + 1)::int] as q1 from documents group by 1")
 def a22_quartile(s, d):
     x = table(s, d, "documents").withColumn("source", F.coalesce("source", F.lit("\0")))
-    return library.quartile_at(x, "source", "n_chars").withColumn("source", F.nullif("source", F.lit("\0")))
+    return library.quartile_at(x, "source", "n_chars").select(F.nullif("source", F.lit("\0")).alias("source"), "q1")
 
 
 # -- text gates, mining, marks -------------------------------------------------------
