@@ -22,6 +22,8 @@ from scholion.session import checkpoint
 
 #: Characters of a title's head that are indexed, and the edits allowed in the views.
 HEAD, TITLE_EDITS, SHORT_EDITS = 24, 2, 1
+#: Bits of an id (0 to 2**48 - 1) below the batch (0 to 32,767) in one number.
+_ID_BITS = 48
 
 _KIND = r"\b(erratum|corrigendum|correction|addendum|retraction|comment|reply|response|part\s+(?:\d+|[ivx]+)|supplement|[ivx]{2,})\b"
 
@@ -54,7 +56,7 @@ def _views() -> list[tuple[str, Column, int, int | None, list[Column]]]:
     place = F.concat_ws("|", "volume", "page")
     c = F.concat_ws("|", who, "volume", "page")
     return [
-        ("t", F.nullif(F.substring("core", 1, HEAD), F.lit("")), TITLE_EDITS, HEAD, [F.when(F.col("page").isNotNull() & F.col("volume").isNotNull(), place), F.concat("page", F.lit("|y"), "year"), F.concat(who, F.lit("|v"), "volume"), F.concat(who, F.lit("|y"), "year"), F.concat(who, F.lit("|p"), "page"), F.col("doi")]),
+        ("t", F.nullif(F.substring("core", 1, HEAD), F.lit("")), TITLE_EDITS, HEAD, [F.when(F.col("page").isNotNull() & F.col("volume").isNotNull(), place), F.concat("page", F.lit("|y"), "year"), F.concat(who, F.lit("|v"), "volume"), F.concat(who, F.lit("|y"), "year"), F.concat(who, F.lit("|p"), "page")]),
         ("d", F.col("doi"), SHORT_EDITS, None, [F.concat(F.lit("p"), "page"), F.concat(F.lit("s"), who), F.concat(F.lit("t"), F.substring("core", 1, 8))]),
         ("c", F.when(F.col("surname").isNotNull() & F.col("volume").isNotNull() & F.col("page").isNotNull(), c), SHORT_EDITS, None, [F.concat(F.lit("t"), F.substring("core", 1, 6)), F.concat(F.lit("y"), "year"), F.concat(F.lit("d"), "doi")]),
     ]
@@ -86,9 +88,10 @@ def _pieces(views: list, stored: bool) -> Column:
         for i in range(parts):
             # Lengths that a stored string may have, and the shifts that the edits before a segment allow.
             lengths = [0] if stored or head else range(-edits, edits + 1)
-            shifts = [0] if stored else range(-min(i, edits), min(i, edits) + 1) if head else range(-edits, edits + 1)
+            shifts = range(-min(i, edits), min(i, edits) + 1) if head and not stored else [0]
             start = lambda d, i=i, n=n: F.floor((n + d) * i / parts)  # noqa: E731, B023
-            options = [F.struct((n + d).alias("n"), (start(d) + k).alias("at"), (start(d, i + 1) - start(d)).alias("len")) for d in lengths for k in shifts]
+            # With one edit the first segment stays where it was, or the last one where it was counted from the end.
+            options = [F.struct((n + d).alias("n"), (start(d) + (k if head or not i else -d)).alias("at"), (start(d, i + 1) - start(d)).alias("len")) for d in lengths for k in shifts]
             keys.append(_taken(s, F.array(*options), f"{name}{i}"))
         pieces = F.when(s.isNotNull(), F.array_distinct(F.concat(*keys)))
         arrays.append(F.coalesce(_refined(pieces, support), none))
@@ -96,8 +99,13 @@ def _pieces(views: list, stored: bool) -> Column:
 
 
 def index_rows(described: DataFrame) -> DataFrame:
-    """The segment index of records: (``key``, ``id``, ``batch``); append these rows of every accepted batch."""
-    return described.select("id", "batch", F.explode(_pieces(_views(), True)).alias("key"))
+    """The segment index of records: (``key``, ``at``, the record's place in the order of arrival); append these rows of every accepted batch."""
+    return described.select(_at(), F.explode(_pieces(_views(), True)).alias("key"))
+
+
+def _at() -> Column:
+    """Batch and id in one number that orders as they do, so that less is shuffled."""
+    return (F.shiftleft(F.col("batch").cast("bigint"), _ID_BITS) + F.col("id")).alias("at")
 
 
 def probe(index: DataFrame, batch: DataFrame) -> DataFrame:
@@ -106,9 +114,9 @@ def probe(index: DataFrame, batch: DataFrame) -> DataFrame:
     Only the batch's own probes are shuffled besides the stored index; history
     itself isn't compared again.
     """
-    probes = batch.select(F.col("id").alias("new"), F.col("batch").alias("new_batch"), F.explode(_pieces(_views(), False)).alias("key"))
-    met = probes.join(index, "key").where((F.col("batch") < F.col("new_batch")) | ((F.col("batch") == F.col("new_batch")) & (F.col("id") < F.col("new"))))
-    return met.select(F.col("id").alias("old"), "new").distinct()
+    probes = batch.select(_at().alias("new_at"), F.explode(_pieces(_views(), False)).alias("key"))
+    met = probes.join(index, "key").where(F.col("at") < F.col("new_at")).select("at", "new_at").distinct()
+    return met.select(F.col("at").bitwiseAND((1 << _ID_BITS) - 1).alias("old"), F.col("new_at").bitwiseAND((1 << _ID_BITS) - 1).alias("new"))
 
 
 def _near(a: Column, b: Column, share: float) -> Column:
@@ -157,8 +165,8 @@ def duplicates(entries: DataFrame) -> DataFrame:
     gives what batch after batch would (see :func:`check_batch`). Records equal
     in every compared field form one class first, so many copies cost one probe.
 
-    Rows without ``entry_id`` are ignored, repeated rows of one id count once;
-    a null ``batch_no`` counts as 0. Records without title, DOI or place in
+    Rows without ``entry_id`` are ignored, repeated rows of one id count once
+    (ids and batches aren't negative; ids stay below 2**48); a null ``batch_no`` counts as 0. Records without title, DOI or place in
     print match nothing. Other columns may have any names. An empty table gives
     no row.
     """

@@ -90,6 +90,14 @@ def test_segments_meet_all_near_heads(spark):
     assert met == set(range(1, 150))
 
 
+def test_segments_meet_all_near_dois(spark):
+    """Every pair of DOIs one edit apart shares a key, wherever the edit is."""
+    base = "10.90137/aomt-932553646"
+    forms = [base[:k] + "7" + base[k:] for k in range(9, len(base) + 1)] + [base[:k] + base[k + 1 :] for k in range(9, len(base))] + [base[:k] + "z" + base[k + 1 :] for k in range(9, len(base))]
+    d = history.describe(entries(spark, [(0, 0, "zero words", None, None, None, None, "9", base)] + [(i + 1, 1, f"title{i}", None, None, None, None, "9", f) for i, f in enumerate(forms)]))
+    assert {r["new"] for r in history.probe(history.index_rows(d.where("id = 0")), d).collect()} == set(range(1, len(forms) + 1))
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(None, 1), (5, 5)]
