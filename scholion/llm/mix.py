@@ -150,7 +150,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     # At most BUCKETS rows a pattern: a small window over sums, not over documents.
     before = sums.withColumn("before", F.sum("in_bucket").over(w) - F.col("in_bucket")).withColumn("all", F.sum("in_bucket").over(Window.partitionBy("pattern")))
     m = (F.col("before") + F.col("inner") * F.col("in_bucket")) / F.col("all")
-    used = texts.join(F.broadcast(before), ["pattern", "bucket"]).withColumn("m", m).join(F.broadcast(spans), "pattern").withColumn("repeats", (F.ceil(F.col("b") - F.col("m")) - F.ceil(F.col("a") - F.col("m"))).cast("int")).where("repeats > 0")
+    used = texts.join(before, ["pattern", "bucket"]).withColumn("m", m).join(F.broadcast(spans), "pattern").withColumn("repeats", (F.ceil(F.col("b") - F.col("m")) - F.ceil(F.col("a") - F.col("m"))).cast("int")).where("repeats > 0")
     chosen = checkpoint(used.select("doc_id", "source", "repeats", "tokens"))
     reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"))
     there = every.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
