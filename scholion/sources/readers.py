@@ -23,7 +23,7 @@ def _values(body: str) -> dict[str, str]:
                 j += 1
                 if not depth:
                     break
-            out[m[1].lower()] = body[i + 1 : j - 1]
+            out[m[1].lower()] = body[i + 1 : j - (not depth)]
         elif body[i : i + 1] == '"':
             j = body.find('"', i + 1) + 1 or len(body)
             out[m[1].lower()] = body[i + 1 : j - 1]
@@ -42,7 +42,7 @@ def parse_bibliography(text: str) -> list[tuple[str, str, dict[str, str]]]:
         while j < len(text) and depth:
             depth += (text[j] == "{") - (text[j] == "}")
             j += 1
-        out.append((m[2], m[1].lower(), _values(text[m.end() : j - 1])))
+        out.append((m[2], m[1].lower(), _values(text[m.end() : j - (not depth)])))
     return out
 
 
