@@ -69,7 +69,7 @@ def split_pages(extracts: DataFrame, key: str = "stem", text: str = "body") -> D
     parts = F.split(body, r"<!-- p\. (?=\d+ -->)")
     x = extracts.select(F.col(key), F.posexplode(parts).alias("i", "part"), parts.alias("all")).where("i > 0")
     start = F.aggregate(F.slice("all", 1, F.col("i")), F.lit(0), lambda a, p: a + F.length(p) + 8) - 8
-    return x.select(key, F.regexp_extract("part", r"^(\d+) -->", 1).cast("int").alias("page"), start.alias("start"), F.trim(F.regexp_replace("part", r"^\d+ -->", "")).alias("text"))
+    return x.select(key, F.regexp_extract("part", r"^(\d+) -->", 1).cast("int").alias("page"), start.alias("start"), F.regexp_replace("part", r"^\d+ -->\s*|\s+$", "").alias("text"))
 
 
 def parse_findings(log: DataFrame, key: str = "citekey", text: str = "body") -> DataFrame:
