@@ -25,9 +25,12 @@ HASHES, COMMON_SHARE = 8, 0.01
 SAMPLE = 5_000
 
 #: The two parts of each band; :func:`_bands` makes them.
-BANDS = [("wide", "one"), ("sig", "heads"), ("two", "year"), ("sig", "pages"), ("lone_pages", "volumes"), ("pages", "heads"), ("solo", "tails"), ("solo", "year"), ("lone_pages", "year")]
+BANDS = [("wide", "one"), ("sig", "heads"), ("sig", "tails"), ("sig", "issues"), ("two", "years"), ("solo", "years"), ("ends", "one"), ("sig", "pages"), ("lone_pages", "volumes"), ("pages", "heads"), ("lone_pages", "year")]
 
-FEATURES = ["title_known", "title_sim", "title_low", "raw_share", "who_known", "who_sim", "year_same", "year_near", "year_off", "journal_known", "journal_sim", "volume_in", "page_in", "page_out", "kind_off", "numbers_off", "print_agrees", "all_agree"]
+#: Characters at either end of a title that are a key of their own.
+END = 24
+
+FEATURES = ["title_known", "title_sim", "title_low", "raw_share", "who_known", "who_sim", "year_same", "year_near", "year_off", "journal_known", "journal_sim", "volume_in", "page_in", "page_out", "kind_off", "numbers_off", "words_off", "print_agrees", "all_agree"]
 
 
 def _words(c: Column) -> Column:
@@ -121,11 +124,18 @@ def _bands(df: DataFrame, side: str, key: str, common: list[str]) -> DataFrame:
     who = F.filter(F.split(F.coalesce(F.col(f"{side}_who"), F.lit("")), " "), lambda w: F.length(w) >= 4)
     x = df.withColumn("sig", F.array_compact(_signature(F.col(f"{side}_words"), common)))
     x = x.withColumn("heads", F.transform(who, lambda w: F.concat(F.lit("s"), F.left(w, F.lit(4)))))
-    # Either end of a surname may be mistyped; many share their last letters, so these take two words beside them.
+    # Either end of a surname may be mistyped.
     x = x.withColumn("tails", F.transform(who, lambda w: F.concat(F.lit("z"), F.right(w, F.lit(4)))))
     x = x.withColumn("year", _one(F.col(f"{side}_year"), "y"))
+    # A year may be off by one; entries, which are fewer, take its neighbours too.
+    off = (-1, 0, 1) if side == "e" else (0,)
+    near = F.when(F.col(f"{side}_year").isNotNull(), F.array(*[(F.col(f"{side}_year") + k).cast("string") for k in off]))
+    x = x.withColumn("years", F.transform(near, lambda y: F.concat(F.lit("y"), y)))
     # Abbreviations and initials of a journal keep its first letter.
-    x = x.withColumn("issue", _one(F.concat(F.col(f"{side}_year").cast("string"), F.left(F.col(f"{side}_journal"), F.lit(1))), "i"))
+    x = x.withColumn("issues", F.when(F.col(f"{side}_journal").isNotNull(), F.transform(near, lambda y: F.concat(F.lit("i"), y, F.left(F.col(f"{side}_journal"), F.lit(1))))))
+    # Titles with few telling words, or none, meet by either end, so that one typo leaves the other.
+    bare = F.replace(F.col(f"{side}_title"), F.lit(" "), F.lit(""))
+    x = x.withColumn("ends", F.when(F.length(bare) >= END // 2, F.array(F.concat(F.lit("<"), F.left(bare, F.lit(END))), F.concat(F.lit(">"), F.right(bare, F.lit(END))))))
     if side == "e":
         x = x.withColumn("pages", _one(F.col("e_page"), "n")).withColumn("volumes", _one(F.col("e_volume"), "n")).withColumn("lone_pages", F.col("pages"))
     else:
@@ -176,6 +186,11 @@ def features(pairs: DataFrame, entries: DataFrame, refs: DataFrame) -> DataFrame
     page_in = F.coalesce(F.array_contains("r_numbers", F.col("e_page")), F.lit(False))
     kinds = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(_KIND), 1), " ")
     digits = lambda c: F.array_join(F.array_sort(F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)), " ")
+    kind_off = F.when(known, kinds(F.col("e_title")) != kinds(F.col("r_title"))).otherwise((F.length("r_raw") > 0) & (kinds(F.col("e_title")) != kinds(F.col("r_raw"))) & (raw_share > 0.5))
+    numbers_off = known & (digits(F.col("e_title")) != digits(F.col("r_title"))) & (cut == 0)
+    # A word that isn't there even misspelled, cut or joined: often another substance under the same pattern of title.
+    like = lambda w: F.exists("e_words", lambda v: v.startswith(w) | (F.levenshtein(w, v) <= F.greatest(F.lit(2), F.floor(F.length(w) / 4))))
+    words_off = known & F.exists(F.filter(F.split("r_title", " "), lambda w: F.length(w) >= 5), lambda w: ~F.contains(a, w) & ~like(w))
     f = {
         "title_known": known,
         "title_sim": F.when(known, title_sim).otherwise(0),
@@ -191,10 +206,11 @@ def features(pairs: DataFrame, entries: DataFrame, refs: DataFrame) -> DataFrame
         "volume_in": volume_in,
         "page_in": page_in,
         "page_out": has & F.col("e_page").isNotNull() & ~page_in,
-        "kind_off": F.when(known, kinds(F.col("e_title")) != kinds(F.col("r_title"))).otherwise((F.length("r_raw") > 0) & (kinds(F.col("e_title")) != kinds(F.col("r_raw"))) & (raw_share > 0.5)),
-        "numbers_off": known & (digits(F.col("e_title")) != digits(F.col("r_title"))) & (cut == 0),
+        "kind_off": kind_off,
+        "numbers_off": numbers_off,
+        "words_off": words_off,
         "print_agrees": page_in & volume_in,
-        "all_agree": ((known & (title_sim > 0.9)) | (~known & (raw_share > 0.85))) & ~(has & F.col("e_page").isNotNull() & ~page_in) & (~who_known | (who_sim > 0.7)) & F.coalesce(gap <= 1, F.lit(True)),
+        "all_agree": ~kind_off & ~numbers_off & ~words_off & ((known & (title_sim > 0.9)) | (~known & (raw_share > 0.85))) & ~(has & F.col("e_page").isNotNull() & ~page_in) & (~who_known | (who_sim > 0.7)) & F.coalesce(gap <= 1, F.lit(True)),
     }
     return x.select("entry", "line", "e_doi", "r_doi", *[c.cast("double").alias(k) for k, c in f.items()])
 
@@ -232,7 +248,7 @@ def calibrate(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 # The model used where the data hold too few labels to train one.
-PRIOR = dict(zip(FEATURES, [-6.0, 9.0, -4.0, 4.0, -2.0, 3.0, 1.0, 0.3, -3.0, -0.5, 1.0, 1.0, 3.0, -5.0, -4.0, -2.0, 2.0, 3.0]))
+PRIOR = dict(zip(FEATURES, [-6.0, 9.0, -4.0, 4.0, -2.0, 3.0, 1.0, 0.3, -3.0, -0.5, 1.0, 1.0, 3.0, -5.0, -4.0, -2.0, -2.0, 2.0, 3.0]))
 
 
 def model(scored: DataFrame, sample: int = SAMPLE, least: int = 50) -> list[float]:

@@ -176,6 +176,21 @@ def test_matching(spark):
     assert all(0.5 <= c <= 1 for _, c in got.values())
 
 
+def test_bands_survive_one_typo(spark):
+    """Lines with one telling word left meet their entry by the surname's tail, by a year off by one, or by an end of the title."""
+    title = "Hydrodynamic radius and collapse of vaxraol"
+    e = linkage.read_entries(entries(spark, [(1, 0, title, "Dreteigu", "2009", "Annals of Foam", None, None, None), (2, 0, "On the whole and the rest", "Omo", "1990", None, None, None, None)]))
+    broken = "Hydrodynamik radius and kollapse of waxraol"
+    refs = _refs(spark, [
+        (1, None, "Hydrodynamik radius und collapse of vaxraol", "Xreteigu", None, None, None),
+        (2, None, broken, None, "2010", "Ann Foam", None), (3, None, "Hydrodynamik radius and collapse of vaxraol", None, "2008", None, None),
+        (4, None, "On the whole and the rest", None, None, None, None), (5, None, broken, None, "2012", "Ann Foam", None),
+    ])
+    r, named = linkage.read_refs(refs), {r["line"]: r["ref_id"] for r in linkage.content(refs).collect()}
+    got = {(x["entry"], named[x["line"]]) for x in linkage.candidates(e, r, ["the", "whole", "and", "rest"]).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 4)}
+
+
 def test_matching_void(spark):
     e, r = entries(spark, []), _refs(spark, [])
     assert linkage.match(e, r).count() == 0
