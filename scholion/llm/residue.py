@@ -2,15 +2,16 @@
 
 Segments (lines and sentences) of all records are aligned on what is constant
 in them. A delimited name such as ``{{title}}`` is the value of an induced slot
-when the records that share its frame (the words around it) differ at that
-place, or when no frame of at least ``fixed_min`` records holds that same value
-as its constant; a value that never changes in its frame is ordinary text about
-templates. Whole-page messages are segments that recur, numbers and codes
+when the records that share its frame (the words around it), filled ones
+included, differ at that place, or when no frame of at least ``fixed_min``
+distinct texts holds that same value as its constant; a value that hardly ever
+changes in its frame is ordinary text about templates. Whole-page messages are segments that recur, numbers and codes
 masked, on pages that hold nothing else but a title and navigation.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -103,10 +104,34 @@ def _may_cue(low: str) -> bool:
     return any(a in low for a in _CUE_ANCHORS) or _status.search(low) is not None
 
 
+def _id(text: str) -> int:
+    """A number for what a cleaned text says, spaces aside."""
+    return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def fillings(frames: list[tuple[str, str]]):
+    """One pass for (``before``, ``after``, ``same``): the texts that have other words than a delimited name between a frame's words."""
+    # Up to twelve words of one sentence.
+    filled = [(b, a, re.compile(rf"(?<!\S){re.escape(b)} ?((?:(?![.!?] )[^\n ])+(?: (?:(?![.!?] )[^\n ])+){{0,11}}?) ?{re.escape(a)}(?!\S)")) for b, a in frames]
+
+    def pass_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for raw in batch["text"]:
+                # Words of a frame stand in the raw text too, unless it has entities.
+                if "&" not in raw and not any(b.split(" ")[-1] in raw for b, _, _ in filled):
+                    continue
+                text = _clean(raw)
+                out += [(b, a, _id(text)) for b, a, x in filled if b in text and a in text and any(not _slot.search(m[1]) for m in x.finditer(text))]
+            yield pd.DataFrame(out, columns=["before", "after", "same"])
+
+    return pass_over
+
+
 def evidence(longest: int):
     """All that one pass over a record yields, in rows of one shape.
 
-    ``slot``: a delimited name with its frame; ``filler``: the record holds
+    ``slot``: a delimited name with its frame, ``same`` for equal texts; ``filler``: the record holds
     filler; ``segment``: a segment of a record of at most ``longest`` characters
     in which any cue was found, masked, with its cues and its place.
     """
@@ -118,26 +143,28 @@ def evidence(longest: int):
                 low = raw.lower()
                 if _marks.search(raw):
                     text = _clean(raw)
-                    out += [(i, "slot", *_context(text, m), m.group(), 0, False) for m in _slot.finditer(text)]
+                    out += [(i, "slot", *_context(text, m), m.group(), 0, False, _id(text)) for m in _slot.finditer(text)]
                 if _may_fill(low) and any(map(is_filler, _segments(_clean(raw)))):
-                    out.append((i, "filler", "", "", "", 0, False))
+                    out.append((i, "filler", "", "", "", 0, False, None))
                 if len(raw) <= 4 * longest and _may_cue(low) and len(text := _clean(raw)) <= longest and _cue.search(text):
                     first = (_lines(text) or [""])[0]
                     for s in _segments(text):
                         title = s == first and not re.search(r"[.!?。！？…]$", s) and len(s) < 300
                         nav = "|" in s or "©" in s or len(s.split()) <= 5 and len(s) < 40 and not re.search(r"[.!?。！？]$", s)
-                        out.append((i, "segment", _code.sub("0", s).lower(), "", "", len({m.lower() for m in _cue.findall(s)}), title or nav))
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "before", "after", "value", "cues", "around"])
+                        out.append((i, "segment", _code.sub("0", s).lower(), "", "", len({m.lower() for m in _cue.findall(s)}), title or nav, None))
+            yield pd.DataFrame(out, columns=["doc_id", "kind", "before", "after", "value", "cues", "around", "same"]).astype({"same": "Int64"})
 
     return pass_over
 
 
-def residue(documents: DataFrame, doc: str = "doc_id", text: str = "text", fixed_min: int = 3, repeat_min: int = 2, beside: int = 150) -> DataFrame:
+def residue(documents: DataFrame, doc: str = "doc_id", text: str = "text", fixed_min: int = 3, fixed_share: float = 0.9, repeat_min: int = 2, beside: int = 150) -> DataFrame:
     """Records to exclude, as (``doc_id``, ``reason``), a row per reason.
 
     Reasons: ``slot`` (an unfilled slot), ``filler`` (default or filler text)
     and ``page`` (an error, failed-load or scripts-required page). ``fixed_min``
-    records with one constant value in a frame make that value ordinary text;
+    distinct texts with one constant delimited name in a frame make that name
+    ordinary text, if they are at least ``fixed_share`` of the texts that have
+    the frame with anything in it;
     ``repeat_min`` is in how many records a message must recur, unless the record
     shows several cues; ``beside`` is how many characters of recurring text that
     is neither message, title nor navigation such a page may hold.
@@ -148,10 +175,16 @@ def residue(documents: DataFrame, doc: str = "doc_id", text: str = "text", fixed
     """
     d = spread(documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null"))
     # One pass over the texts; its rows are few, and are kept so that the pass isn't made again.
-    found = checkpoint(d.mapInPandas(evidence(8 * beside), "doc_id bigint, kind string, before string, after string, value string, cues int, around boolean"))
+    found = checkpoint(d.mapInPandas(evidence(8 * beside), "doc_id bigint, kind string, before string, after string, value string, cues int, around boolean, same bigint"))
     slots = found.where("kind = 'slot'")
-    frames = slots.groupBy("before", "after").agg(F.countDistinct("value").alias("values"), F.count_distinct("doc_id").alias("records"))
-    fixed = frames.where((F.col("values") == 1) & (F.col("records") >= fixed_min) & (F.col("before") != "") & (F.col("after") != ""))
+    frames = slots.groupBy("before", "after").agg(F.countDistinct("value").alias("values"), F.count_distinct("same").alias("texts"))
+    steady = frames.where((F.col("values") == 1) & (F.col("texts") >= fixed_min) & (F.col("before") != "") & (F.col("after") != ""))
+    # Other words in the same place of other texts prove a slot open. Few frames are in question, so they go to every task.
+    asked = [(r["before"], r["after"]) for r in steady.select("before", "after").toLocalIterator()]
+    fixed = steady
+    if asked:
+        others = d.select("text").mapInPandas(fillings(asked), "before string, after string, same bigint").groupBy("before", "after").agg(F.count_distinct("same").alias("others"))
+        fixed = steady.join(others, ["before", "after"], "left").where(F.col("texts") >= fixed_share * (F.col("texts") + F.coalesce("others", F.lit(0))))
     open_slots = slots.join(fixed, ["before", "after"], "left_anti").select("doc_id").distinct().withColumn("reason", F.lit("slot"))
 
     filler = found.where("kind = 'filler'").select("doc_id").distinct().withColumn("reason", F.lit("filler"))

@@ -219,6 +219,15 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_slots_by_texts_and_filled_records(spark):
+    """A page fetched three times keeps its slot, as does a template that other records fill; a quoted name stays text."""
+    docs = ["A slow melt. See __doi__ for all details."] * 3
+    docs += [f"Record {w}. Cite as ${{key}} in your work." for w in ("a b", "c d", "e f")] + [f"Record {w}. Cite as {w} in your work." for w in ("Omo 2009", "10.1/x.5", "Bumo")]
+    docs += [f"In {w} the name {{{{title}}}} stands for the title." for w in ("one", "two", "three")] + ["The name was kept. One stands for the other."]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert rows(residue.residue(df)) == {(i, "slot") for i in range(6)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).limit(5).collect() is not None
