@@ -19,8 +19,10 @@ def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes in their one consistent form."""
-    return unify.unified(table(spark, sf, "findings"), "record_id", "quote", "quote").select("field_name", "row", "form")
+    """Quotes and titles in their one consistent form."""
+    quotes = unify.unified(table(spark, sf, "findings"), "record_id", "quote", "quote")
+    titles = unify.unified(table(spark, sf, "entries"), "entry_id", "title", "title")
+    return quotes.unionByName(titles).select("field_name", "row", "form")
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:

@@ -228,6 +228,13 @@ def test_slots_by_texts_and_filled_records(spark):
     assert rows(residue.residue(df)) == {(i, "slot") for i in range(6)}
 
 
+def test_forms_of_quotes_and_titles(spark, sf):
+    """Every quote and every title gets its form."""
+    got = queries.p3_forms(spark, sf).groupBy("field_name").count().collect()
+    want = {"quote": spark.read.parquet(f"{sf}/findings.parquet").where("quote is not null and record_id is not null").count(), "title": spark.read.parquet(f"{sf}/entries.parquet").where("title is not null and entry_id is not null").count()}
+    assert {r["field_name"]: r["count"] for r in got} == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).limit(5).collect() is not None
