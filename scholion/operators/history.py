@@ -50,15 +50,17 @@ def describe(entries: DataFrame) -> DataFrame:
     )
 
 
-def _views() -> list[tuple[str, Column, int, int | None, list[Column]]]:
-    """View, string, edits allowed, fixed head or None, and the fields that refine its keys."""
+def _views() -> list[tuple[str, Column, int, int | None, list[Column], str | None]]:
+    """View, string, edits allowed, fixed head or None, the fields that refine its keys, and a column with more of them."""
     who = F.substring("surname", 1, 4)
     place = F.concat_ws("|", "volume", "page")
     c = F.concat_ws("|", who, "volume", "page")
     return [
-        ("t", F.nullif(F.substring("core", 1, HEAD), F.lit("")), TITLE_EDITS, HEAD, [F.when(F.col("page").isNotNull() & F.col("volume").isNotNull(), place), F.concat("page", F.lit("|y"), "year"), F.concat(who, F.lit("|v"), "volume"), F.concat(who, F.lit("|y"), "year"), F.concat(who, F.lit("|p"), "page")]),
-        ("d", F.col("doi"), SHORT_EDITS, None, [F.concat(F.lit("p"), "page"), F.concat(F.lit("s"), who), F.concat(F.lit("t"), F.substring("core", 1, 8))]),
-        ("c", F.when(F.col("surname").isNotNull() & F.col("volume").isNotNull() & F.col("page").isNotNull(), c), SHORT_EDITS, None, [F.concat(F.lit("t"), F.substring("core", 1, 6)), F.concat(F.lit("y"), "year"), F.concat(F.lit("d"), "doi")]),
+        ("t", F.nullif(F.substring("core", 1, HEAD), F.lit("")), TITLE_EDITS, HEAD, [F.when(F.col("page").isNotNull() & F.col("volume").isNotNull(), place), F.concat("page", F.lit("|y"), "year"), F.concat(who, F.lit("|v"), "volume"), F.concat(who, F.lit("|y"), "year"), F.concat(who, F.lit("|p"), "page"), F.concat("volume", F.lit("|vy"), "year")], "heads"),
+        # Whole titles, refined with one field each, so that a title which many works share is no hot key.
+        ("w", F.when(F.length("core") >= HEAD, F.col("core")), 0, None, [F.concat(F.lit("y"), "year"), F.concat(F.lit("v"), "volume"), F.concat(F.lit("p"), "page")], "tails"),
+        ("d", F.col("doi"), SHORT_EDITS, None, [F.concat(F.lit("p"), "page"), F.concat(F.lit("s"), who), F.concat(F.lit("t"), F.substring("core", 1, 8))], None),
+        ("c", F.when(F.col("surname").isNotNull() & F.col("volume").isNotNull() & F.col("page").isNotNull(), c), SHORT_EDITS, None, [F.concat(F.lit("t"), F.substring("core", 1, 6)), F.concat(F.lit("y"), "year"), F.concat(F.lit("d"), "doi")], None),
     ]
 
 
@@ -70,9 +72,16 @@ def _taken(s: Column, options: Column, view: str) -> Column:
     )
 
 
-def _refined(pieces: Column, support: list[Column]) -> Column:
+def _named(described: DataFrame) -> DataFrame:
+    """Records with either end of each word of their names: given names and particles may stand before a surname or not."""
+    words = F.filter(F.split(F.coalesce("surname", F.lit("")), " "), lambda w: F.length(w) >= 4)
+    return described.withColumn("heads", F.array_distinct(F.transform(words, lambda w: F.concat(F.lit("h"), F.left(w, F.lit(4)))))).withColumn("tails", F.array_distinct(F.transform(words, lambda w: F.concat(F.lit("z"), F.right(w, F.lit(4))))))
+
+
+def _refined(pieces: Column, support: list[Column], more: str | None) -> Column:
     """Keys of the substrings, each refined with every supporting field that is known."""
     fields = F.filter(F.array(*support), lambda x: x.isNotNull())
+    fields = F.concat(fields, F.col(more)) if more else fields
     # The substrings stand outside, so they are taken once a record; the fields within are plain columns.
     return F.flatten(F.transform(pieces, lambda p: F.transform(fields, lambda r: F.xxhash64(p["v"], p["n"], p["piece"], r))))
 
@@ -81,7 +90,7 @@ def _pieces(views: list, stored: bool) -> Column:
     """Array of keys of one record: its own segments, or all substrings that may meet a stored one."""
     none = F.array().cast("array<bigint>")
     arrays = []
-    for name, s, edits, head, support in views:
+    for name, s, edits, head, support, more in views:
         parts = edits + 1
         n = F.length(s)
         keys = []
@@ -94,13 +103,13 @@ def _pieces(views: list, stored: bool) -> Column:
             options = [F.struct((n + d).alias("n"), (start(d) + (k if head or not i else -d)).alias("at"), (start(d, i + 1) - start(d)).alias("len")) for d in lengths for k in shifts]
             keys.append(_taken(s, F.array(*options), f"{name}{i}"))
         pieces = F.when(s.isNotNull(), F.array_distinct(F.concat(*keys)))
-        arrays.append(F.coalesce(_refined(pieces, support), none))
+        arrays.append(F.coalesce(_refined(pieces, support, more), none))
     return F.array_distinct(F.concat(*arrays))
 
 
 def index_rows(described: DataFrame) -> DataFrame:
     """The segment index of records: (``key``, ``at``, the record's place in the order of arrival); append these rows of every accepted batch."""
-    return described.select(_at(), F.explode(_pieces(_views(), True)).alias("key"))
+    return _named(described).select(_at(), F.explode(_pieces(_views(), True)).alias("key"))
 
 
 def _at() -> Column:
@@ -114,7 +123,7 @@ def probe(index: DataFrame, batch: DataFrame) -> DataFrame:
     Only the batch's own probes are shuffled besides the stored index; history
     itself isn't compared again.
     """
-    probes = batch.select(_at().alias("new_at"), F.explode(_pieces(_views(), False)).alias("key"))
+    probes = _named(batch).select(_at().alias("new_at"), F.explode(_pieces(_views(), False)).alias("key"))
     met = probes.join(index, "key").where(F.col("at") < F.col("new_at")).select("at", "new_at").distinct()
     return met.select(F.col("at").bitwiseAND((1 << _ID_BITS) - 1).alias("old"), F.col("new_at").bitwiseAND((1 << _ID_BITS) - 1).alias("new"))
 

@@ -53,6 +53,12 @@ def test_duplicates_many_copies(spark):
     assert len(got) == 299 and {a for a, _ in got} == {0}
 
 
+def test_duplicates_without_a_common_place(spark):
+    """Equal titles meet though given names, particles or missing fields leave no place in print or start of the name in common."""
+    rows = [(1, 0, A, "Chokoberg", "2009", None, "57", "2394", None), (2, 1, A, "Katherine Chokoberg", "2009", None, "57", None, None), (3, 1, A + " und foam", "Omosen", "2001", None, None, None, None), (4, 2, A + " und foam", "C. Omosen", None, None, None, None, None), (5, 2, A + " und gel", "Yauvauyan", "2001", None, None, None, None), (6, 3, A + " und gel", "Xauvauyan", None, None, None, None, None)]
+    assert pairs(history.duplicates(entries(spark, rows))) == {(1, 2), (3, 4), (5, 6)}
+
+
 def test_batches_as_whole(spark, sf):
     """Batch after batch against the stored index finds what one pass over everything finds."""
     e = table(spark, sf, "entries")
