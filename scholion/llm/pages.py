@@ -289,11 +289,13 @@ def _distance_udf():
     return far
 
 
-def corrections(lexicon: DataFrame, most: float = 0.95) -> DataFrame:
+def corrections(lexicon: DataFrame, most: float = 0.95, numbers: DataFrame | None = None) -> DataFrame:
     """(``word``, ``right``, ``sure``): misread words with the word they stand for, from a lexicon (``word``, ``n``).
 
     Sure ones are too rare beside the right word to be words of their own; the
-    others need context.
+    others need context. ``numbers`` (``word``, ``n``) counts numbers as they are
+    rightly read: a form found often is a misread number if it takes a small
+    share of its number's occurrences.
     """
     keyed = lexicon.where(F.length("word").between(2, 40)).select("word", "n", F.explode(_keys_udf()("word")).alias("key"))
     right = keyed.where((F.col("n") >= 3) & ~F.col("word").rlike(r"[\d(|!]")).select(F.col("word").alias("right"), F.col("n").alias("right_n"), "key")
@@ -308,8 +310,13 @@ def corrections(lexicon: DataFrame, most: float = 0.95) -> DataFrame:
     best = near.groupBy("word").agg(F.min_by(F.struct("right", "sure"), F.struct("cost", -F.col("right_n"), "right")).alias("b")).select("word", "b.*")
     # Numbers with letters among their digits that digits are taken for.
     number = F.translate("word", "lioszb|!", "11052811")
-    figures = lexicon.where(F.col("word").rlike(r"^[\dliosb|!]*\d[\dliosb|!]*(?:[.,][\dliosb|!]+)?$|^[liosb|!]+[.,][liosb|!]*\d[\dliosb|!]*$") & F.col("word").rlike(r"[liosb|!]") & (F.length("word") >= 3) & (F.col("n") <= 20))
-    return best.unionByName(figures.select("word", number.alias("right"), F.lit(True).alias("sure")).join(best.select("word"), "word", "left_anti"))
+    figures = lexicon.where(F.col("word").rlike(r"^[\dliosb|!]*\d[\dliosb|!]*(?:[.,][\dliosb|!]+)?$|^[liosb|!]+[.,][liosb|!]*\d[\dliosb|!]*$") & F.col("word").rlike(r"[liosb|!]") & (F.length("word") >= 3)).select("word", "n", number.alias("right"))
+    # Rare forms need no evidence; others are judged by share, so that none is lost as the corpus grows.
+    if numbers is not None:
+        figures = figures.join(numbers.select(F.col("word").alias("right"), F.col("n").alias("right_n")), "right", "left").where((F.col("n") <= 20) | (F.col("n") <= F.coalesce("right_n", F.lit(0)) * 0.3))
+    else:
+        figures = figures.where(F.col("n") <= 20)
+    return best.unionByName(figures.select("word", "right", F.lit(True).alias("sure")).join(best.select("word"), "word", "left_anti"))
 
 
 def paragraphs(raw_pages: DataFrame) -> DataFrame:
@@ -372,7 +379,8 @@ def repairs(raw_pages: DataFrame) -> DataFrame:
     lexicon = checkpoint(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     # Compounds as they stand within lines.
     compounds = text.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\d])(\p{L}[\p{L}\d()]*-\p{L}[\p{L}\d()]*)(?=[\s.,;:)])"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    right_of = checkpoint(corrections(lexicon))
+    numbers = text.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\d.,|!])(\d+(?:[.,]\d+)?)(?![\p{L}\d|!])"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    right_of = checkpoint(corrections(lexicon, numbers=numbers))
 
     ends = flow.where(F.col("tail").isNotNull() & (F.length("first") > 0) & (F.length("tail") >= 1)).select("page_id", "line_no", "next_page", "next_line", "tail", "divider", "first", F.concat("tail", F.lower("first")).alias("joined"), F.concat("tail", F.lit("-"), F.lower("first")).alias("compound"))
     count_of = lambda df, name, alias: df.select(F.col("word").alias(name), F.col("n").alias(alias))

@@ -42,6 +42,13 @@ def test_furniture_broken_misread(spark):
     assert {x for x in got if x[2] != "furniture"} == {(3, 3, "misread"), (3, 5, "broken")}
 
 
+def test_misread_numbers_by_share(spark):
+    """A misread number is listed however often it occurs, if its number occurs far more often; a frequent form without one stays."""
+    lexicon = spark.createDataFrame([("4o4", 30), ("28s", 50), ("2o5", 2)], "word string, n bigint")
+    numbers = spark.createDataFrame([("404", 900), ("285", 60)], "word string, n bigint")
+    assert {(r["word"], r["right"]) for r in pages.corrections(lexicon, numbers=numbers).collect()} == {("4o4", "404"), ("2o5", "205")}
+
+
 def test_compounds_stay(spark):
     def change(n, lines):
         lines[2] = "The pulsed-field gradient of the resin and the membrane, pulsed-"
