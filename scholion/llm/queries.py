@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholion.llm import leak, mix, pages, residue, unify
+from scholion.llm import history, leak, linkage, mix, names, pages, residue, unify
 from scholion.session import table
 
 
@@ -52,5 +53,21 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_forms": p3_forms, "p7_mix": p7_mix, "p7_shares": p7_shares, "p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every later entry of a work with the work's first entry."""
+    return history.duplicates(table(spark, sf, "entries")).select("entry_a", "entry_b")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Spellings of names that stand for the same person or organisation."""
+    every = table(spark, sf, "entries").select(F.col("surname").alias("name")).unionByName(table(spark, sf, "refs").select(F.col("author").alias("name")))
+    return names.same_names(every).select("name_a", "name_b")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The entry that each reference line without DOI describes."""
+    return linkage.match(table(spark, sf, "entries"), table(spark, sf, "refs")).select("entry_id", "ref_id")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_forms": p3_forms, "p7_mix": p7_mix, "p7_shares": p7_shares, "p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
