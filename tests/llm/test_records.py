@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion.llm import history, linkage, names
-from scholion.session import table
+from scholion.session import checkpoint, table
 
 ENTRY = "entry_id bigint, batch_no int, title string, surname string, authors array<struct<first_name:string,last_name:string,name:string>>, year string, journal string, volume string, firstpage string, doi string, id string, old string, core string"
 
@@ -172,7 +172,8 @@ def test_bands_survive_one_typo(spark):
         (2, None, broken, None, "2010", "Ann Foam", None), (3, None, "Hydrodynamik radius and collapse of vaxraol", None, "2008", None, None),
         (4, None, "On the whole and the rest", None, None, None, None), (5, None, broken, None, "2012", "Ann Foam", None),
     ])
-    r, named = linkage.read_refs(refs), {r["line"]: r["ref_id"] for r in linkage.content(refs).collect()}
+    r = checkpoint(linkage.read_refs(refs))
+    named = {r["line"]: r["ref_id"] for r in linkage.content(refs).join(r, "same").collect()}
     got = {(x["entry"], named[x["line"]]) for x in linkage.candidates(e, r, ["the", "whole", "and", "rest"]).collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (2, 4)}
 
