@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ from scholion.session import checkpoint, spread
 
 #: Where the public tokenizer's ranks are, and how finely a pattern's documents are ordered.
 RANKS, BUCKETS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 4096
+#: Up to so many intervals (a pattern and a source each) are sent to every executor; more are joined by a shuffle.
+SPANS = 100_000
 # Fixed value: the pattern by which byte-level vocabularies of this kind split a text.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -130,7 +133,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     wanted = {r["source"]: (r["share"], r["repeats"]) for r in targets.where("source is not null").groupBy(F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_").alias("source")).agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("repeats")).collect()}
     every = checkpoint(counted(documents, ranks))
     usable = sorted(s for s, (share, repeats) in wanted.items() if share > 0 and repeats > 0)
-    texts = every.where(F.col("source").isin(usable)).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("pattern"))
+    texts = every.where(F.col("source").isin(usable)).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.to_json(F.array_sort(F.collect_set("source"))).alias("pattern"))
     bucket, inner = _place(seed)
     texts = checkpoint(texts.where("tokens > 0").withColumn("bucket", bucket).withColumn("inner", inner))
     # A pattern is a set of sources with a target, so there are few; sums only reach the driver.
@@ -138,7 +141,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     size = total if total is not None else sum(supply.values())
     shares = sum(wanted[s][0] for s in usable) or 1.0
     quotas = {s: round(size * wanted[s][0] / max(shares, sum(x for x, _ in wanted.values()))) for s in usable}
-    flow = min_cost_flow(supply, quotas, {p: set(p.split("|")) for p in supply}, {s: wanted[s][1] for s in usable}) if supply else {}
+    flow = min_cost_flow(supply, quotas, {p: set(json.loads(p)) for p in supply}, {s: wanted[s][1] for s in usable}) if supply else {}
     intervals, line = [], {}
     for (p, s), tokens in sorted(flow.items()):
         a = line.get(p, 0.0)
@@ -150,7 +153,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     # At most BUCKETS rows a pattern: a small window over sums, not over documents.
     before = sums.withColumn("before", F.sum("in_bucket").over(w) - F.col("in_bucket")).withColumn("all", F.sum("in_bucket").over(Window.partitionBy("pattern")))
     m = (F.col("before") + F.col("inner") * F.col("in_bucket")) / F.col("all")
-    used = texts.join(before, ["pattern", "bucket"]).withColumn("m", m).join(F.broadcast(spans), "pattern").withColumn("repeats", (F.ceil(F.col("b") - F.col("m")) - F.ceil(F.col("a") - F.col("m"))).cast("int")).where("repeats > 0")
+    used = texts.join(before, ["pattern", "bucket"]).withColumn("m", m).join(F.broadcast(spans) if len(intervals) <= SPANS else spans, "pattern").withColumn("repeats", (F.ceil(F.col("b") - F.col("m")) - F.ceil(F.col("a") - F.col("m"))).cast("int")).where("repeats > 0")
     chosen = checkpoint(used.select("doc_id", "source", "repeats", "tokens"))
     reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"))
     there = every.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scholion.session import checkpoint
+from scholion.session import checkpoint, looked_up
 
 # What scanning confuses, right characters and misread ones, both ways.
 CONFUSIONS = [("m", "rn"), ("w", "vv"), ("d", "cl"), ("n", "ii"), ("u", "ii"), ("ti", "d"), ("li", "h"), ("fi", "h"), ("c", "("), ("l", "1"), ("i", "1"), ("l", "i"), ("o", "0"), ("s", "5"), ("b", "8"), ("g", "9"), ("z", "2"), ("c", "e"), ("t", "f"), ("h", "b"), ("y", "v"), ("g", "q"), ("a", "u"), ("n", "u"), ("m", "in"), ("h", "li"), ("l", "|"), ("i", "!"), ("t", "l"), ("o", "c"), ("o", "e"), ("b", "6"), ("a", "o"), ("r", "n"), ("h", "n"), ("k", "lc"), ("f", "i"), ("ri", "n"), ("rt", "n"), ("nn", "mi")]
@@ -34,6 +35,10 @@ _DIGITS = str.maketrans("lIiOoSsBZz|!", "111005582211")
 
 #: Lines at either end of a page that can be furniture; documents in which a line must recur to be a stamp or journal.
 EDGE, RECUR = 3, 4
+#: The share of all numbers up to which a form like ``4o4`` is a misread number, though its number isn't found.
+STRAY = 1 / 5000
+#: How often a form must be found to count as a word; how many bigrams must speak for a right word where the read one is a word too.
+WORD, EVIDENCE = 5, 10
 
 
 def strip_accents(text: str) -> str:
@@ -70,13 +75,17 @@ def blur(word: str) -> str:
     return fold(word).translate(_BLUR)
 
 
-def deletes(word: str) -> list[str]:
-    """Keys of the symmetric-delete index: a word's forms whole, and all but the first with one character less."""
-    out = {fold(word)}
+def _key(form: str) -> int:
+    return zlib.crc32(form.encode("utf-8", "replace")) << 8 | len(form) & 255
+
+
+def deletes(word: str) -> list[int]:
+    """Keys of the symmetric-delete index: a word's forms whole, and all but the first with one character less; as numbers, whatever a word's length."""
+    out = {_key(fold(word))}
     for form in {level(word), fold(word, _GROUPS_TOO)}:
-        out.add(form)
+        out.add(_key(form))
         if len(form) > 2:
-            out.update(form[:i] + form[i + 1 :] for i in range(len(form)))
+            out.update(_key(form[:i] + form[i + 1 :]) for i in range(len(form)))
     return list(out)
 
 
@@ -86,9 +95,17 @@ _PAIRS = {(a, b): 0.3 for x, y in CONFUSIONS for a, b in ((x, y), (y, x))}
 @lru_cache(maxsize=200_000)
 def distance(read: str, right: str, most: float = 1.3) -> float:
     """Weighted edit distance: a confusion or a stray accent costs 0.3, any other edit 1."""
-    n, m = len(read), len(right)
-    if abs(n - m) > 3:
+    if abs(len(read) - len(right)) > 3:
         return 9.0
+    # Equal ends cost nothing; a character of them is kept, for groups that reach into it.
+    short = min(len(read), len(right))
+    k = next((i for i in range(short) if read[i] != right[i]), short)
+    read, right = read[max(0, k - 1) :], right[max(0, k - 1) :]
+    short = min(len(read), len(right)) - 1
+    k = next((i for i in range(short) if read[-1 - i] != right[-1 - i]), max(0, short))
+    if k > 1:
+        read, right = read[: 1 - k], right[: 1 - k]
+    n, m = len(read), len(right)
     rows = [[9.0] * (m + 1) for _ in range(n + 1)]
     rows[0][0] = 0.0
     for i in range(n + 1):
@@ -116,6 +133,10 @@ def units(text: str) -> list[str]:
     out = []
     for token in text.split():
         token = token.strip("\"'“”„«»‘’.,;:!?%*…")
+        if token.isalpha():
+            if len(token) > 1:
+                out.append(token.lower())
+            continue
         for x in re.split(r"[-‐‑–—/=]+", token):
             if "(" in x and ")" in x:
                 parts = re.split(r"[()]+", x)
@@ -140,6 +161,10 @@ def _edges(lines: list[str]) -> list[int]:
     return sorted({*filled[:EDGE], *filled[-EDGE:]})
 
 
+# What a page number is called.
+_PAGE_WORDS = {blur(w) for w in ("page", "seite", "pag.", "pagina", "página", "p.")}
+
+
 def _roman(s: str) -> int | None:
     if not s or any(c not in _ROMAN for c in s):
         return None
@@ -197,7 +222,7 @@ def layout(pages: list[tuple[int, int, str, set[int], set[int]]]) -> dict[tuple[
                 last = i == spots[-1] or i == spots[0]
                 lonely = not any(numbers_in(lines[j]) and len(lines[j].split()) == 1 for j in (i - 1, i + 1) if 0 <= j < len(lines))
                 found = fits or decorated or last and lonely and not re.search(r"\.\d", line)
-            elif re.fullmatch(r"\W*(?:page|seite|pag\w*|p\.)\s*[\dlIO]+(?:\s*(?:of|von|/|de)\s*[\dlIO]+)?\W*", strip_accents(line).lower().strip()) or re.match(r"\s*[PF][ao]g[ec]\s+[\dlIO]+\s+[o0c][ft]\s+[\dlIO]+\s*$", line):
+            elif (m := re.fullmatch(r"\W*([^\W\d_]+\.?)\s*[\dlIO]+(?:\s*(?:[^\W\d_]\w{1,2}|0\w|de|/)\s*[\dlIO]+)?\W*", line.strip())) and blur(m[1].lower()) in _PAGE_WORDS:
                 found = True
             elif at_end and s:
                 caption = re.match(r"\s*(?:Table|Figure|Tab|Fig|Abb|[\dlI]+\.)\w*\.?\s", line) and not (steady is not None and any(v - no == steady for v in _loose(line)))
@@ -230,28 +255,42 @@ def _close(a: str, b: str) -> bool:
 def _is_title(lines: list[str], i: int, seen: Counter) -> bool:
     """A line in mixed case at the start, alone in its form: not a head that other pages carry as well."""
     line = lines[i].strip()
-    return seen[skeleton(line)] <= 1 and not re.search(r"\s{3,}|\d{3,}|\bet al\b|:\s|\(\d{4}\)", line) and not line.isupper() and any(c.islower() for c in line) and bool(re.search(r"\bin detail\b|^[^\W\d_a-z]", line))
-
-
-LINE = T.StructType([T.StructField(n, t) for n, t in (("doc", T.StringType()), ("page_id", T.LongType()), ("page", T.IntegerType()), ("line_no", T.LongType()), ("seq", T.LongType()), ("furniture", T.BooleanType()), ("text", T.StringType()), ("words", T.ArrayType(T.StringType())), ("tail", T.StringType()), ("head", T.StringType()), ("divider", T.StringType()))])
-
-
-def document_lines(group: pd.DataFrame) -> pd.DataFrame:
-    """All lines of one document (at most some dozen pages), each with its words and what it ends and begins with."""
-    group = group.sort_values(["page", "page_id"]).drop_duplicates("page_id")
-    sets = [[{int(x) for x in k} if k is not None else set() for k in group[c]] for c in ("known", "prose")]
-    pages = list(zip(map(int, group["page_id"]), map(int, group["page"]), group["text"], *sets))
-    furniture = layout(pages)
-    out, seq = [], 0
-    for pid, no, text, _, _ in pages:
+    return seen[skeleton(line)] <= 1 and not re.search(r"\s{3,}|\d{3,}|\bet al\b|:\s|\(\d{4}\)", line) and not line.isupper() and any(c.islower() for c in line) and bool(re.search(r"^[^\W\d_a-z]", line))
+
+
+LINE = T.StructType([T.StructField(n, t) for n, t in (("doc", T.StringType()), ("page_id", T.LongType()), ("line_no", T.LongType()), ("seq", T.LongType()), ("furniture", T.BooleanType()), ("text", T.StringType()), ("words", T.ArrayType(T.StringType())), ("tail", T.StringType()), ("divider", T.StringType()), ("continued", T.BooleanType()), ("first", T.StringType()), ("next_page", T.LongType()), ("next_line", T.LongType()))])
+_TAIL = re.compile(rf"([^\W\d_][\w()]*)([{DIVIDERS}]?)$")
+_HEAD = re.compile(r"\s*([^\W_][\w()]*)")
+_FIRST = re.compile(r"[^\W_(]*(?:\([^\W_(]*)*")
+
+
+def document_lines(pages: pd.DataFrame, roles: pd.DataFrame) -> pd.DataFrame:
+    """All lines of one document (at most some dozen pages), each with its words, what it ends with, and what the next text line begins with."""
+    if not len(pages):
+        return pd.DataFrame(columns=[f.name for f in LINE])
+    pages = pages.sort_values(["page", "page_id"]).drop_duplicates("page_id")
+    known: dict[tuple[int, str], set[int]] = {}
+    for pid, no, role in roles[["page_id", "line_no", "role"]].itertuples(index=False):
+        known.setdefault((pid, role), set()).add(int(no))
+    split = [(int(pid), int(no), text, known.get((pid, "stamp"), set()), known.get((pid, "prose"), set())) for pid, no, text in pages[["page_id", "page", "text"]].itertuples(index=False)]
+    furniture = layout(split)
+    doc, out, seq, last = pages["doc"].iloc[0], [], 0, None
+    for pid, _, text, _, _ in split:
         for i, line in enumerate(text.split("\n"), 1):
             seq += 1
-            f = (pid, i) in furniture
-            bare = line.rstrip()
-            m = re.search(rf"([^\W\d_][\w()]*)([{DIVIDERS}]?)$", bare)
-            h = re.match(r"\s*([^\W_][\w()]*)", line)
-            out.append((group["doc"].iloc[0], pid, no, i, seq, f, line, units(line), m[1].lower() if m else None, h[1] if h else None, m[2] if m else None))
-    return pd.DataFrame(out, columns=[f.name for f in LINE])
+            if (pid, i) in furniture or not line.strip():
+                out.append([doc, pid, i, seq, (pid, i) in furniture, line, [], None, None, False, "", None, None])
+                continue
+            m = _TAIL.search(line.rstrip())
+            row = [doc, pid, i, seq, False, line, units(line), m[1].lower() if m else None, m[2] if m else None, False, "", None, None]
+            # The line before goes on here.
+            if last is not None:
+                h = _HEAD.match(line)
+                last[-3:] = [_FIRST.match(h[1])[0] if h else "", pid, i]
+                row[9] = bool(last[8])
+            out.append(row)
+            last = row
+    return pd.DataFrame(out, columns=[f.name for f in LINE]).astype({"next_page": "Int64", "next_line": "Int64"})
 
 
 def read_lines(raw_pages: DataFrame, recur: int = RECUR) -> DataFrame:
@@ -262,19 +301,20 @@ def read_lines(raw_pages: DataFrame, recur: int = RECUR) -> DataFrame:
     # What recurs in a line: its letters, without names in lines of small letters, so that stamps for different readers meet.
     named = F.regexp_replace("x.line", r"(?<=\s)\p{Lu}[\p{L}'’]*(?=\s)", " ")
     mask = F.lower(F.regexp_replace(F.when(F.col("x.line").rlike(r"\p{Ll}{3}.*\p{Ll}{3}"), named).otherwise(F.col("x.line")), r"[^\p{L}]+", ""))
-    masked = every.select("doc", "page_id", "x.line_no", ((F.col("pos") < EDGE) | (F.col("pos") >= F.col("n") - EDGE)).alias("edge"), mask.alias("mask")).where(F.length("mask") >= 8).withColumn("h", F.xxhash64("mask"))
+    # Read twice, so kept: a hash and a place a line.
+    masked = checkpoint(every.select("doc", "page_id", "x.line_no", ((F.col("pos") < EDGE) | (F.col("pos") >= F.col("n") - EDGE)).alias("edge"), mask.alias("mask")).where(F.length("mask") >= 8).select("doc", "page_id", "line_no", "edge", F.xxhash64("mask").alias("h")))
     # Partial counts by document first, so that a mask most pages share is no hot key.
     by_doc = masked.groupBy("h", "doc").agg(F.count_if("edge").alias("at_edge"), F.count_if(~F.col("edge")).alias("inside"))
     counts = by_doc.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.sum("at_edge").alias("at_edge"), F.sum("inside").alias("inside")).where("at_edge > 0")
     role = F.when((F.col("docs") >= recur) & (F.col("at_edge") >= 9 * F.col("inside")), "stamp").when(F.col("inside") >= 2, "prose")
-    roles = counts.select("h", role.alias("role")).where("role is not null")
-    judged = masked.where("edge").join(roles, "h")
-    known = judged.groupBy("page_id").agg(F.collect_set(F.when(F.col("role") == "stamp", F.col("line_no"))).alias("known"), F.collect_set(F.when(F.col("role") == "prose", F.col("line_no"))).alias("prose"))
-    return p.join(known, "page_id", "left").groupBy("doc").applyInPandas(document_lines, LINE)
+    roles = checkpoint(counts.select("h", role.alias("role")).where("role is not null"))
+    judged = looked_up(masked.where("edge").select("doc", "page_id", "line_no", "h"), roles, "h", "inner").select("doc", "page_id", "line_no", "role")
+    # Pages and what is known of their lines meet by document: the text is shuffled once.
+    return p.groupBy("doc").cogroup(judged.groupBy("doc")).applyInPandas(document_lines, LINE)
 
 
 def _keys_udf():
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(word: pd.Series) -> pd.Series:
         return word.map(deletes)
 
@@ -289,17 +329,19 @@ def _distance_udf():
     return far
 
 
-def corrections(lexicon: DataFrame, most: float = 0.95, numbers: DataFrame | None = None) -> DataFrame:
-    """(``word``, ``right``, ``sure``): misread words with the word they stand for, from a lexicon (``word``, ``n``).
+def corrections(lexicon: DataFrame, most: float = 0.95, numbers: DataFrame | None = None, margin: float = 0.3) -> DataFrame:
+    """(``word``, ``right``, ``sure``, ``rivals``): misread words with the words they may stand for, from a lexicon (``word``, ``n``).
 
     Sure ones are too rare beside the right word to be words of their own; the
-    others need context. ``numbers`` (``word``, ``n``) counts numbers as they are
-    rightly read: a form found often is a misread number if it takes a small
-    share of its number's occurrences.
+    others need context, and so does the choice where ``rivals``, the words that
+    cost at most ``margin`` more than the cheapest, are several. ``place`` orders
+    them by cost and frequency. ``numbers`` (``word``, ``n``) counts numbers as they
+    are rightly read: a form is a misread number if it takes a small share of its
+    number's occurrences, or of all numbers where that one isn't found.
     """
-    keyed = lexicon.where(F.length("word").between(2, 40)).select("word", "n", F.explode(_keys_udf()("word")).alias("key"))
+    keyed = lexicon.where(F.length("word") >= 2).select("word", "n", F.explode(_keys_udf()("word")).alias("key"))
     right = keyed.where((F.col("n") >= 3) & ~F.col("word").rlike(r"[\d(|!]")).select(F.col("word").alias("right"), F.col("n").alias("right_n"), "key")
-    pairs = keyed.join(right, "key").where((F.col("word") != F.col("right")) & (F.col("right_n") > F.col("n")) & (F.abs(F.length("word") - F.length("right")) <= 2)).select("word", "n", "right", "right_n").distinct()
+    pairs = keyed.hint("merge").join(right, "key").where((F.col("word") != F.col("right")) & (F.col("right_n") > F.col("n")) & (F.abs(F.length("word") - F.length("right")) <= 2)).select("word", "n", "right", "right_n").distinct()
     odd = F.col("word").rlike(r"\p{L}[\d(|!]|[\d(|!]\p{L}")
     # A misreading takes a small share of its word's occurrences; digits among letters give it away.
     sure = odd | (F.col("n") <= F.lit(2) + F.col("right_n") * 0.02)
@@ -307,16 +349,19 @@ def corrections(lexicon: DataFrame, most: float = 0.95, numbers: DataFrame | Non
     # Weighed only where the frequencies leave it open.
     near = pairs.where(worth & (~odd | (F.col("n") <= F.lit(3) + F.col("right_n") * 0.1))).withColumn("sure", sure).withColumn("cost", _distance_udf()("word", "right")).where(F.col("cost") <= most)
     near = near.where((F.length("word") > 2) | odd)
-    best = near.groupBy("word").agg(F.min_by(F.struct("right", "sure"), F.struct("cost", -F.col("right_n"), "right")).alias("b")).select("word", "b.*")
+    # A word's candidates are few: they share nearly all of its letters.
+    ranked = near.groupBy("word").agg(F.array_sort(F.collect_set(F.struct("cost", (-F.col("right_n")).alias("order"), "right", "sure"))).alias("c"))
+    kept = F.filter("c", lambda x: x["cost"] <= F.element_at("c", 1)["cost"] + margin)
+    best = ranked.withColumn("c", kept).select("word", F.posexplode("c").alias("place", "x"), F.size("c").alias("rivals")).select("word", "x.right", F.col("x.sure").alias("sure"), "rivals", "place")
     # Numbers with letters among their digits that digits are taken for.
     number = F.translate("word", "lioszb|!", "11052811")
     figures = lexicon.where(F.col("word").rlike(r"^[\dliosb|!]*\d[\dliosb|!]*(?:[.,][\dliosb|!]+)?$|^[liosb|!]+[.,][liosb|!]*\d[\dliosb|!]*$") & F.col("word").rlike(r"[liosb|!]") & (F.length("word") >= 3)).select("word", "n", number.alias("right"))
-    # Rare forms need no evidence; others are judged by share, so that none is lost as the corpus grows.
     if numbers is not None:
-        figures = figures.join(numbers.select(F.col("word").alias("right"), F.col("n").alias("right_n")), "right", "left").where((F.col("n") <= 20) | (F.col("n") <= F.coalesce("right_n", F.lit(0)) * 0.3))
-    else:
-        figures = figures.where(F.col("n") <= 20)
-    return best.unionByName(figures.select("word", "right", F.lit(True).alias("sure")).join(best.select("word"), "word", "left_anti"))
+        # Shares only, so that a form is judged alike whatever the size of the corpus.
+        every = numbers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))
+        figures = figures.hint("merge").join(numbers.select(F.col("word").alias("right"), F.col("n").alias("right_n")), "right", "left").crossJoin(F.broadcast(every)).where(F.col("n") <= 2 + F.coalesce("right_n", F.lit(0)) * 0.3 + F.col("every") * STRAY)
+    figures = figures.select("word", "right", F.lit(True).alias("sure"), F.lit(1).alias("rivals"), F.lit(0).alias("place"))
+    return best.unionByName(figures.hint("merge").join(best.select("word"), "word", "left_anti"))
 
 
 def paragraphs(raw_pages: DataFrame) -> DataFrame:
@@ -326,9 +371,9 @@ def paragraphs(raw_pages: DataFrame) -> DataFrame:
     over it; so does a heading, caption or row of figures. Nulls and empty
     tables as in :func:`repairs`.
     """
-    lines = read_lines(raw_pages)
-    fixes = repairs(raw_pages).where("kind <> 'furniture'").groupBy("page_id", "line_no").agg(F.collect_set(F.when(F.col("kind") == "misread", F.struct("word", "right"))).alias("swaps"), F.max(F.col("kind") == "broken").alias("broken"))
-    x = lines.where("not furniture").select("doc", "page_id", "line_no", "seq", "text").join(fixes, ["page_id", "line_no"], "left")
+    lines = checkpoint(read_lines(raw_pages))
+    fixes = _repairs(lines).where("kind <> 'furniture'").groupBy("page_id", "line_no").agg(F.collect_set(F.when(F.col("kind") == "misread", F.struct("word", "right"))).alias("swaps"), F.max(F.col("kind") == "broken").alias("broken"))
+    x = lines.where("not furniture").select("doc", "page_id", "line_no", "seq", "text").hint("merge").join(fixes, ["page_id", "line_no"], "left")
     return x.groupBy("doc").applyInPandas(_join_document, "doc string, paragraph int, text string")
 
 
@@ -367,61 +412,61 @@ def repairs(raw_pages: DataFrame) -> DataFrame:
     repeated under its id counts once. A page without ``doc`` is a document of
     its own. Empty tables give no row; other columns are ignored.
     """
-    lines = checkpoint(read_lines(raw_pages))
-    text = lines.where("not furniture and trim(text) <> ''")
-    # Text lines in reading order, each with what follows it. Documents are small, so a window over one is as well.
-    w = Window.partitionBy("doc").orderBy("seq")
-    flow = text.withColumn("next_head", F.lead("head").over(w)).withColumn("next_page", F.lead("page_id").over(w)).withColumn("next_line", F.lead("line_no").over(w)).withColumn("last_divider", F.lag("divider").over(w))
-    flow = checkpoint(flow.withColumn("first", F.regexp_extract(F.coalesce("next_head", F.lit("")), r"^([\p{L}\d(]+)", 1)))
+    return _repairs(checkpoint(read_lines(raw_pages)))
 
-    words = flow.select("page_id", "line_no", F.posexplode("words").alias("at", "word"), F.size("words").alias("size"), (F.length("divider") > 0).alias("divided"), (F.length(F.coalesce("last_divider", F.lit(""))) > 0).alias("continued"))
-    whole = words.where(~((F.col("at") == F.col("size") - 1) & F.col("divided")) & ~((F.col("at") == 0) & F.col("continued")))
+
+def _repairs(lines: DataFrame) -> DataFrame:
+    """:func:`repairs` of lines that were read and kept."""
+    text = lines.where("not furniture and trim(text) <> ''")
+    words = text.select("page_id", "line_no", F.posexplode("words").alias("at", "word"), F.size("words").alias("size"), (F.length("divider") > 0).alias("divided"), "continued")
+    whole = words.where(~((F.col("at") == F.col("size") - 1) & F.coalesce("divided", F.lit(False))) & ~((F.col("at") == 0) & F.col("continued")))
     lexicon = checkpoint(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     # Compounds as they stand within lines.
-    compounds = text.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\d])(\p{L}[\p{L}\d()]*-\p{L}[\p{L}\d()]*)(?=[\s.,;:)])"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    numbers = text.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\d.,|!])(\d+(?:[.,]\d+)?)(?![\p{L}\d|!])"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    compounds = text.where(F.contains("text", F.lit("-"))).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\d])(\p{L}[\p{L}\d()]*-\p{L}[\p{L}\d()]*)(?=[\s.,;:)])"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    numbers = checkpoint(text.where(F.col("text").rlike(r"\d")).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\d.,|!])(\d+(?:[.,]\d+)?)(?![\p{L}\d|!])"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     right_of = checkpoint(corrections(lexicon, numbers=numbers))
-
-    ends = flow.where(F.col("tail").isNotNull() & (F.length("first") > 0) & (F.length("tail") >= 1)).select("page_id", "line_no", "next_page", "next_line", "tail", "divider", "first", F.concat("tail", F.lower("first")).alias("joined"), F.concat("tail", F.lit("-"), F.lower("first")).alias("compound"))
-    count_of = lambda df, name, alias: df.select(F.col("word").alias(name), F.col("n").alias(alias))
-    fixed = right_of.select(F.col("word").alias("joined"), F.col("right").alias("joined_right"))
-    # A whole word may be misread as well, so its correction counts for it; plural and case are as they stand.
-    tried = checkpoint(
-        ends.join(count_of(lexicon, "joined", "whole_n"), "joined", "left")
-        .join(count_of(compounds, "compound", "compound_n"), "compound", "left")
-        .join(count_of(lexicon, "tail", "tail_n"), "tail", "left")
-        .join(lexicon.select(F.col("word").alias("first_low"), F.col("n").alias("first_n")), F.lower("first") == F.col("first_low"), "left")
-        .drop("first_low")
-    )
+    best_of = right_of.where("place = 0")
+
+    ends = text.where(F.col("tail").isNotNull() & (F.length("first") > 0) & (F.length("tail") >= 1)).select("page_id", "line_no", "next_page", "next_line", "tail", "divider", "first", F.concat("tail", F.lower("first")).alias("joined"), F.concat("tail", F.lit("-"), F.lower("first")).alias("compound"))
+    # Distinct forms of line ends are looked up once each, all in one table of counts.
+    counts = lexicon.select("word", "n", F.lit(0).alias("k")).unionByName(compounds.select("word", "n", F.lit(1).alias("k")))
+    asked = ends.select(F.explode(F.array(F.struct(F.col("joined").alias("word"), F.lit(0).alias("k")), F.struct(F.col("tail").alias("word"), F.lit(0).alias("k")), F.struct(F.lower("first").alias("word"), F.lit(0).alias("k")), F.struct(F.col("compound").alias("word"), F.lit(1).alias("k")))).alias("x")).select("x.*").distinct()
+    found = checkpoint(asked.hint("merge").join(counts, ["word", "k"]).withColumn("h", F.xxhash64("word", "k")).select("h", "n"))
+    tried = ends
+    for name, col, k in (("whole_n", F.col("joined"), 0), ("compound_n", F.col("compound"), 1), ("tail_n", F.col("tail"), 0), ("first_n", F.lower("first"), 0)):
+        tried = looked_up(tried.withColumn("h", F.xxhash64(col, F.lit(k))), found.withColumnRenamed("n", name), "h", "left").drop("h")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     lower_first = F.col("first").rlike(r"^[\p{Ll}\d(]") | (F.upper("first") == F.col("first"))
-    both_words = (n("tail_n") >= 5) & (n("first_n") >= 5)
+    both_words = (n("tail_n") >= WORD) & (n("first_n") >= WORD)
     by_mark = (F.length("divider") > 0) & lower_first & (F.col("first").rlike(r"^\P{N}")) & (((n("whole_n") > 0) & (n("whole_n") >= n("compound_n"))) | ((n("compound_n") == 0) & (n("whole_n") == 0) & (~both_words | (F.col("divider") != "-"))))
     no_mark = (F.length("divider") == 0) & F.col("first").rlike(r"^\p{Ll}") & (n("whole_n") >= 3) & (n("tail_n") <= 1 + n("whole_n") * 0.05) & (n("first_n") <= 2 + n("whole_n") * 0.5) & (F.length("tail") >= 2)
     broken = checkpoint(tried.where(by_mark | no_mark).select("page_id", "line_no", "next_page", "next_line", "tail", "first", "joined"))
 
     # Misread words: those within lines, and those divided over two, by where the fault lies.
-    within = words.join(right_of, "word")
-    sure = within.where("sure").select("page_id", "line_no", "at", "word", "right")
-    rest = within.where("not sure").select("page_id", "line_no", "at", "word", "right")
-    bigrams = flow.select("page_id", "line_no", F.expr("transform(sequence(0, greatest(size(words) - 2, 0)), i -> struct(i as at, get(words, i) as a, get(words, i + 1) as b))").alias("g")).select("page_id", "line_no", F.explode("g").alias("g")).select("page_id", "line_no", "g.*").where("a is not null and b is not null")
-    open_words = rest.select("word", "right").distinct()
-    # Only bigrams of words in question are counted: both the read and the right form.
-    asked = checkpoint(open_words.select("word").unionByName(open_words.select(F.col("right").alias("word"))).distinct())
-    left_n = bigrams.join(asked.withColumnRenamed("word", "b"), "b", "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    right_n = bigrams.join(asked.withColumnRenamed("word", "a"), "a", "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    r = rest.join(bigrams.select("page_id", "line_no", (F.col("at") + 1).alias("at"), F.col("a").alias("before")), ["page_id", "line_no", "at"], "left").join(bigrams.select("page_id", "line_no", "at", F.col("b").alias("after")), ["page_id", "line_no", "at"], "left")
-    for side, counts, own in (("l", left_n, "before"), ("r", right_n, "after")):
-        for name, col in (("w", "word"), ("c", "right")):
-            keys = counts.select(F.col("a").alias(own), F.col("b").alias(col), F.col("n").alias(f"{side}{name}")) if side == "l" else counts.select(F.col("a").alias(col), F.col("b").alias(own), F.col("n").alias(f"{side}{name}"))
-            r = r.join(keys, [own, col], "left")
-    in_context = r.where((n("lc") + n("rc") >= 10) & (n("lc") + n("rc") >= 20 * (n("lw") + n("rw") - 1)) & (n("lw") + n("rw") <= 4)).select("page_id", "line_no", "at", "word", "right")
-    parts = broken.select("page_id", "line_no", "next_page", "next_line", "tail", "joined").join(fixed, "joined")
+    around = text.select("page_id", "line_no", F.posexplode("words").alias("at", "word"), F.col("words").alias("line")).select("page_id", "line_no", "at", "word", F.expr("get(line, at - 1)").alias("before"), F.expr("get(line, at + 1)").alias("after"))
+    within = checkpoint(looked_up(around, right_of, "word", "inner"))
+    plain = within.where("sure and rivals = 1").select("page_id", "line_no", "at", "word", "right")
+    open_ = within.where("not sure or rivals > 1")
+    # Bigrams of the words in question, read and right ones, with either neighbour; counted for those neighbours only.
+    forms = open_.select("before", "after", F.explode(F.array("word", "right")).alias("form"))
+    pair = lambda a, b, side: F.xxhash64(a, b, F.lit(side))
+    wanted = checkpoint(forms.select(F.explode(F.array(pair("before", "form", 0), pair("form", "after", 1))).alias("h")).distinct())
+    met = around.select(F.explode(F.array_compact(F.array(F.when(F.col("before").isNotNull(), pair("before", "word", 0)), F.when(F.col("after").isNotNull(), pair("word", "after", 1))))).alias("h"))
+    bigrams = checkpoint(looked_up(met, wanted, "h", "inner").groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    r = open_
+    for name, h in (("lw", pair("before", "word", 0)), ("rw", pair("word", "after", 1)), ("lc", pair("before", "right", 0)), ("rc", pair("right", "after", 1))):
+        r = looked_up(r.withColumn("h", h), bigrams.withColumnRenamed("n", name), "h", "left").drop("h")
+    right_n, read_n = n("lc") + n("rc"), n("lw") + n("rw")
+    # Context decides whether an open one is a misreading, and which of several words it stands for.
+    fits = (F.col("sure")) | ((right_n >= EVIDENCE) & (right_n >= 20 * (read_n - 1)))
+    chosen = r.where(fits).groupBy("page_id", "line_no", "at", "word").agg(F.max_by("right", F.struct(right_n, -F.col("place"))).alias("right"))
+    parts = broken.select("page_id", "line_no", "next_page", "next_line", "tail", "joined")
+    parts = looked_up(parts, best_of.select(F.col("word").alias("joined"), F.col("right").alias("joined_right")), "joined", "inner")
     in_tail = ~F.col("joined_right").startswith(F.col("tail"))
     divided = parts.select(F.when(in_tail, F.col("page_id")).otherwise(F.col("next_page")).alias("page_id"), F.when(in_tail, F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"), F.lit(-1).alias("at"), F.col("joined").alias("word"), F.col("joined_right").alias("right"))
     # Fragments beside a division aren't words and are judged with their whole only.
     cut = broken.select("page_id", "line_no", F.col("tail").alias("word")).unionByName(broken.select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"), F.lower("first").alias("word")))
-    misread = sure.unionByName(in_context).join(cut, ["page_id", "line_no", "word"], "left_anti").unionByName(divided)
+    misread = plain.unionByName(chosen).hint("merge").join(cut, ["page_id", "line_no", "word"], "left_anti").unionByName(divided)
     return (
         lines.where("furniture").select("page_id", "line_no", F.lit("furniture").alias("kind"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("right"))
         .unionByName(broken.select("page_id", "line_no", F.lit("broken").alias("kind"), F.col("tail").alias("word"), F.col("joined").alias("right")))

@@ -1,11 +1,15 @@
 """Template residue and error-page text.
 
-Segments (lines and sentences) of all records are aligned on what is constant
-in them. A delimited name such as ``{{title}}`` is the value of an induced slot
-when the records that share its frame (the words around it), filled ones
-included, differ at that place, or when no frame of at least ``fixed_min``
-distinct texts holds that same value as its constant; a value that hardly ever
-changes in its frame is ordinary text about templates. Whole-page messages are segments that recur, numbers and codes
+Records of one template agree in the words around a slot and differ in what
+fills it. A first pass lists what may have been left in a slot: names between
+the delimiters of template languages, names by shape alone (capitals or words
+joined by underscores, other marks around a word), and blanks, each with its
+frame: the words before and behind it in its line. A second pass aligns all
+records on those frames and lists the values that stand there. A frame whose
+values differ from text to text is an induced slot, and a name or blank in it was
+left unfilled. A delimited name is open too where no frame shows it to be
+ordinary text (the frame's constant in nearly all of at least ``fixed_min``
+distinct texts). Whole-page messages are segments that recur, numbers and codes
 masked, on pages that hold nothing else but a title and navigation.
 """
 
@@ -16,6 +20,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +51,23 @@ CUES = (
 )
 
 _slot = re.compile(SLOT)
+# By shape alone: names in capitals or joined by underscores, names between marks that aren't those of sentences, blanks before a mark or between brackets or quotes.
+_shape = re.compile(r"(?<![\w/.@-])(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z]{2,}|[a-z]+(?:_[a-z0-9]+)+|[a-z]+[A-Z][A-Za-z]+)(?![\w/@-])|(?<!\S)[*|:$#@~^=%]{1,3}[^\W\d_][\w .-]{0,38}?[*|:$#@~^=%]{1,3}(?![\w*|:$#@~^=%])|(?<=\w) (?=[,.;](?:\s|$))|\(\s*\)|\[\s*\]|\"\s*\"|“\s*”")
+_name = re.compile(rf"(?:{SLOT}|{_shape.pattern}|\s*)$")
 _default = re.compile(rf"(?:{DEFAULTS})[\s.…!:]*", re.I)
 _cue = re.compile(CUES, re.I | re.M)
 _code = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+(?:[.,]\d+)*", re.I)
 _end = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
+_odd = re.compile(r"[^\S\n ]|  ")
+
+#: Words on either side that make a frame, the most words of a value, and how many frames are aligned in one pass over the records.
+SIDE, VALUE, FRAMES = 2, 12, 100_000
 
 
 def _clean(text: str) -> str:
-    return re.sub(r"[^\S\n]+", " ", html.unescape(text) if "&" in text else text).strip()
+    if "&" in text:
+        text = html.unescape(text)
+    return (re.sub(r"[^\S\n]+", " ", text) if _odd.search(text) else text).strip()
 
 
 def _lines(text: str) -> list[str]:
@@ -77,8 +91,9 @@ def is_filler(segment: str) -> bool:
     return "lorem ipsum" in segment.lower() and len(words) < 80 or len(long) >= 5 and sum(w in LOREM for w in long) >= 0.35 * len(long) and len(set(words)) < 0.97 * len(words) + 1 and sum(w in LOREM for w in set(long)) >= 3
 
 
-def _context(text: str, m: re.Match) -> tuple[str, str]:
-    left, right = text[: m.start()].rsplit("\n", 1)[-1].split()[-2:], text[m.end() :].split("\n", 1)[0].split()[:2]
+def _context(text: str, a: int, b: int) -> tuple[str, str]:
+    """Up to :data:`SIDE` words before and behind a place, within its line."""
+    left, right = text[text.rfind("\n", 0, a) + 1 : a].split()[-SIDE:], text[b : text.find("\n", b) if text.find("\n", b) >= 0 else len(text)].split()[:SIDE]
     return " ".join(left), " ".join(right)
 
 
@@ -88,75 +103,109 @@ _ANCHORS = (
     *(f"{v} {d}" for v in ("type", "insert", "enter", "write", "put", "add") for d in ("the", "your", "a")), "to follow", "to come", "coming soon",
     "blindtext", "mustertext", "platzhaltertext", "beispieltext", "texto de", "text de", "texte factice", "texte de", "texte à", "placeholder text", "dummy text", "sample text", "filler text", "replace this", "xx", "____", "здесь", "позже", "ここに", "ダミー", "準備中",
 )
-_CUE_ANCHORS = (
-    "script", "skript", "cookie", "browser", "navegador", "navigateur", "браузер", "ブラウザ", "http", "status", "code", "error:", "error 4", "error 5", "error at", "error has", "error, ", "error. ", "fehler", "erreur", "ошибка", "エラー", "not found", "not here", "introuvable", "nicht gefunden", "no encontrad", "не найден", "見つかりません", "timed out", "timeout", "too many requests", "busy", "try again", "went wrong",
-    "could not be", "cannot be", "no se pudo", "n'a pas pu", "konnte nicht", "не удалось", "できません", "maintenance", "wartung", "mantenimiento", "обслуживани", "メンテナンス", "connection re", "access to", "access denied", "is refused", "no rights", "forbidden", "permission", "session has", "sign in", "log in", "robot", "captcha", "traceback", "exception", "unavailable", "<fault>", "cancelled after", "no record matches", "fehlgeschlagen", "loading", "failed", "unable to load",
-)
 _again = re.compile(r"(?:^|[\n.!?。])\W*(\w+)(?:\W+\1\b){3}", re.I)
-_status = re.compile(r"^\W*[45]\d\d\b", re.M)
 
 
 def _may_fill(low: str) -> bool:
     return any(a in low for a in _ANCHORS) or len(LOREM.intersection(low.split())) >= 3 or "lorem ipsum" in low or _again.search(low) is not None
 
 
-def _may_cue(low: str) -> bool:
-    return any(a in low for a in _CUE_ANCHORS) or _status.search(low) is not None
-
-
 def _id(text: str) -> int:
     """A number for what a cleaned text says, spaces aside."""
     return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def fillings(frames: list[tuple[str, str]]):
-    """One pass for (``before``, ``after``, ``same``): the texts that have other words than a delimited name between a frame's words."""
-    # Up to twelve words of one sentence.
-    filled = [(b, a, re.compile(rf"(?<!\S){re.escape(b)} ?((?:(?![.!?] )[^\n ])+(?: (?:(?![.!?] )[^\n ])+){{0,11}}?) ?{re.escape(a)}(?!\S)")) for b, a in frames]
+    """One pass for (``before``, ``after``, ``value``, ``same``): what stands in the given frames, in every text.
+
+    ``value`` is a hash, or 0 for a name or blank that may have been left there.
+    """
+    by_left: dict[str, list[str]] = {}
+    for b, a in frames:
+        by_left.setdefault(b, []).append(a)
 
     def pass_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ahocorasick.Automaton()
+        for b in by_left:
+            found.add_word(b, b)
+        found.make_automaton()
         for batch in batches:
-            out = []
+            out = set()
             for raw in batch["text"]:
-                # Words of a frame stand in the raw text too, unless it has entities.
-                if "&" not in raw and not any(b.split(" ")[-1] in raw for b, _, _ in filled):
-                    continue
                 text = _clean(raw)
-                out += [(b, a, _id(text)) for b, a, x in filled if b in text and a in text and any(not _slot.search(m[1]) for m in x.finditer(text))]
-            yield pd.DataFrame(out, columns=["before", "after", "same"])
+                same = None
+                for end, b in found.iter(text):
+                    # Whole words only, and a value of one sentence that ends before the words behind.
+                    if end + 1 < len(text) and text[end + 1] == "\n" or end >= len(b) and not text[end - len(b)].isspace():
+                        continue
+                    stop = text.find("\n", end)
+                    rest = text[end + 1 : stop if stop >= 0 else len(text)][:600]
+                    for a in by_left[b]:
+                        at = re.search(("(?<!\\w)" if a[:1].isalnum() else "") + re.escape(a) + ("(?!\\w)" if a[-1:].isalnum() else ""), rest) if a else None
+                        value = rest[: at.start()].strip() if at else ""
+                        if at is None or len(value.split()) > VALUE or re.search(r"[.!?] ", value):
+                            continue
+                        same = _id(text) if same is None else same
+                        out.add((b, a, 0 if _name.match(value) else _id(value) or 1, same))
+            yield pd.DataFrame(list(out), columns=["before", "after", "value", "same"])
 
     return pass_over
 
 
-def evidence(longest: int):
+def evidence(beside: int):
     """All that one pass over a record yields, in rows of one shape.
 
-    ``slot``: a delimited name with its frame, ``same`` for equal texts; ``filler``: the record holds
-    filler; ``segment``: a segment of a record of at most ``longest`` characters
-    in which any cue was found, masked, with its cues and its place.
+    ``slot``: a delimited name with its frame, ``same`` for equal texts; ``shape``:
+    a name by shape, or a blank, with its frame; ``filler``: the record holds
+    filler; ``segment``: a segment of a record that is but messages, title and
+    navigation, with at most ``beside`` characters of anything else, masked, with
+    its cues and its place.
     """
 
     def pass_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, raw in zip(b["doc_id"], b["text"]):
-                low = raw.lower()
-                if _marks.search(raw):
-                    text = _clean(raw)
-                    out += [(i, "slot", *_context(text, m), m.group(), 0, False, _id(text)) for m in _slot.finditer(text)]
-                if _may_fill(low) and any(map(is_filler, _segments(_clean(raw)))):
+                text = _clean(raw)
+                low = text.lower()
+                own = None
+                for kind, found in (("slot", _slot.finditer(text) if _marks.search(text) else ()), ("shape", _shape.finditer(text))):
+                    for m in found:
+                        before, after = _context(text, m.start(), m.end())
+                        # Shapes need words on both sides to be aligned by.
+                        if kind == "slot" or before and after and len(before) + len(after) >= 6:
+                            own = own or _id(text)
+                            out.append((i, kind, before, after, m.group(), 0, False, own))
+                if _may_fill(low) and any(map(is_filler, _segments(text))):
                     out.append((i, "filler", "", "", "", 0, False, None))
-                if len(raw) <= 4 * longest and _may_cue(low) and len(text := _clean(raw)) <= longest and _cue.search(text):
-                    first = (_lines(text) or [""])[0]
-                    for s in _segments(text):
-                        title = s == first and not re.search(r"[.!?。！？…]$", s) and len(s) < 300
-                        nav = "|" in s or "©" in s or len(s.split()) <= 5 and len(s) < 40 and not re.search(r"[.!?。！？]$", s)
-                        out.append((i, "segment", _code.sub("0", s).lower(), "", "", len({m.lower() for m in _cue.findall(s)}), title or nav, None))
+                out += [(i, "segment", mask, "", "", cues, around, None) for mask, cues, around in _page(text, beside)]
             yield pd.DataFrame(out, columns=["doc_id", "kind", "before", "after", "value", "cues", "around", "same"]).astype({"same": "Int64"})
 
     return pass_over
 
 
+def _page(text: str, beside: int) -> list[tuple[str, int, bool]]:
+    """Segments (mask, cues, whether title or navigation) of a text that may be a message page, read until there is too much else; else none."""
+    out, other, cued, first = [], 0, False, True
+    for x in text.split("\n"):
+        for s in _end.split(x.strip()):
+            s = s.strip()
+            if not s:
+                continue
+            title = first and not re.search(r"[.!?。！？…]$", s) and len(s) < 300
+            nav = "|" in s or "©" in s or len(s.split()) <= 5 and len(s) < 40 and not re.search(r"[.!?。！？]$", s)
+            first = False
+            cues = {m.lower() for m in _cue.findall(s)}
+            mask = _code.sub("0", s).lower()
+            cued = cued or bool(cues)
+            if not cues and not title and not nav:
+                other += len(mask)
+                if other > beside:
+                    return []
+            out.append((mask, len(cues), title or nav))
+    return out if cued else []
+
+
 def residue(documents: DataFrame, doc: str = "doc_id", text: str = "text", fixed_min: int = 3, fixed_share: float = 0.9, repeat_min: int = 2, beside: int = 150) -> DataFrame:
     """Records to exclude, as (``doc_id``, ``reason``), a row per reason.
 
@@ -164,41 +213,56 @@ def residue(documents: DataFrame, doc: str = "doc_id", text: str = "text", fixed
     and ``page`` (an error, failed-load or scripts-required page). ``fixed_min``
     distinct texts with one constant delimited name in a frame make that name
     ordinary text, if they are at least ``fixed_share`` of the texts that have
-    the frame with anything in it;
+    the frame with anything in it; a frame in which as many texts hold values of
+    their own is a slot, so that names by shape and blanks in it are open too.
     ``repeat_min`` is in how many records a message must recur, unless the record
-    shows several cues; ``beside`` is how many characters of recurring text that
-    is neither message, title nor navigation such a page may hold.
+    shows several cues; ``beside`` is how many characters that are neither message,
+    title nor navigation such a page may hold, all of them recurring.
 
     Null or empty texts and an empty table give no row. Repeated rows of one id
     give one row a reason. Other columns are ignored; ``doc`` and ``text`` name
-    the columns used. Texts of any length are read whole.
+    the columns used. Texts of any length are read whole, but for pages, which
+    are read until they hold too much else to be one.
     """
     d = spread(documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null"))
     # One pass over the texts; its rows are few, and are kept so that the pass isn't made again.
-    found = checkpoint(d.mapInPandas(evidence(8 * beside), "doc_id bigint, kind string, before string, after string, value string, cues int, around boolean, same bigint"))
-    slots = found.where("kind = 'slot'")
-    frames = slots.groupBy("before", "after").agg(F.countDistinct("value").alias("values"), F.count_distinct("same").alias("texts"))
-    steady = frames.where((F.col("values") == 1) & (F.col("texts") >= fixed_min) & (F.col("before") != "") & (F.col("after") != ""))
-    # Other words in the same place of other texts prove a slot open. Few frames are in question, so they go to every task.
-    asked = [(r["before"], r["after"]) for r in steady.select("before", "after").toLocalIterator()]
-    fixed = steady
-    if asked:
-        others = d.select("text").mapInPandas(fillings(asked), "before string, after string, same bigint").groupBy("before", "after").agg(F.count_distinct("same").alias("others"))
-        fixed = steady.join(others, ["before", "after"], "left").where(F.col("texts") >= fixed_share * (F.col("texts") + F.coalesce("others", F.lit(0))))
-    open_slots = slots.join(fixed, ["before", "after"], "left_anti").select("doc_id").distinct().withColumn("reason", F.lit("slot"))
+    found = checkpoint(d.mapInPandas(evidence(beside), "doc_id bigint, kind string, before string, after string, value string, cues int, around boolean, same bigint"))
+    slots, shapes = found.where("kind = 'slot'"), found.where("kind = 'shape'")
+    frames = slots.groupBy("before", "after").agg(F.count_distinct("value").alias("values"), F.count_distinct("same").alias("texts"))
+    steady = checkpoint(frames.where((F.col("values") == 1) & (F.col("texts") >= fixed_min) & (F.col("before") != "") & (F.col("after") != "")))
+    # Records are aligned on the frames in question, so many a pass.
+    asked = checkpoint(steady.select("before", "after").unionByName(shapes.select("before", "after")).distinct().withColumn("part", F.pmod(F.xxhash64("before", "after"), F.lit(1 << 30))))
+    n = asked.count()
+    blocks = -(-n // FRAMES)
+    parts = [d.select("text").mapInPandas(fillings([(r["before"], r["after"]) for r in asked.where(F.col("part") % blocks == k).toLocalIterator()]), "before string, after string, value bigint, same bigint") for k in range(blocks)]
+    if parts:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        # Distinct values a frame and texts that hold them, pre-aggregated by value.
+        by_value = every.where("value <> 0").groupBy("before", "after", "value").agg(F.count_distinct("same").alias("texts"))
+        filled = checkpoint(by_value.groupBy("before", "after").agg(F.count(F.lit(1)).alias("fillings"), F.sum("texts").alias("others")))
+        fixed = steady.hint("merge").join(filled, ["before", "after"], "left").where(F.col("texts") >= fixed_share * (F.col("texts") + F.coalesce("others", F.lit(0)))).select("before", "after")
+        # Values of their own: nearly as many as texts, where a phrase of the language would bring the same again.
+        varied = filled.where((F.col("fillings") >= fixed_min) & (2 * F.col("fillings") >= F.col("others")))
+        left = shapes.groupBy("before", "after").agg(F.count_distinct("same").alias("left_texts"))
+        induced = left.hint("merge").join(varied, ["before", "after"]).where(F.col("left_texts") <= F.col("others")).select("before", "after")
+        open_ = slots.hint("merge").join(fixed, ["before", "after"], "left_anti").select("doc_id").unionByName(shapes.hint("merge").join(induced, ["before", "after"], "left_semi").select("doc_id"))
+    else:
+        open_ = slots.select("doc_id")
+    open_slots = open_.distinct().withColumn("reason", F.lit("slot"))
 
     filler = found.where("kind = 'filler'").select("doc_id").distinct().withColumn("reason", F.lit("filler"))
 
     # Whole-page messages. Pre-aggregated on a hash: in how many records a mask occurs.
     segments = found.where("kind = 'segment'").select("doc_id", F.col("before").alias("mask"), "cues", "around").withColumn("h", F.xxhash64("mask"))
-    judged = segments.join(segments.groupBy("h").agg(F.count_distinct("doc_id").alias("records")), "h")
+    judged = segments.hint("merge").join(segments.groupBy("h").agg(F.count_distinct("doc_id").alias("records")), "h")
     repeated, cued, size = F.col("records") >= repeat_min, F.col("cues") > 0, F.length("mask")
     page = judged.groupBy("doc_id").agg(
         F.count_if(cued & repeated).alias("messages"),
         F.sum("cues").alias("cues"),
         F.count_if(~(F.col("around") | cued | repeated)).alias("content"),
-        F.coalesce(F.sum(F.when(~(F.col("around") | cued), size)), F.lit(0)).alias("companions"),
-        F.sum(size).alias("size"),
+        F.coalesce(F.sum(F.when(~F.col("around"), size)), F.lit(0)).alias("size"),
     )
-    pages = page.where((F.col("content") == 0) & (F.col("companions") <= beside) & (F.col("size") <= 6 * beside) & ((F.col("messages") > 0) | (F.col("cues") > 1))).select("doc_id", F.lit("page").alias("reason"))
+    pages = page.where((F.col("content") == 0) & (F.col("size") <= 6 * beside) & ((F.col("messages") > 0) | (F.col("cues") > 1))).select("doc_id", F.lit("page").alias("reason"))
     return open_slots.unionByName(filler).unionByName(pages)

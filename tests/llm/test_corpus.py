@@ -49,6 +49,32 @@ def test_misread_numbers_by_share(spark):
     assert {(r["word"], r["right"]) for r in pages.corrections(lexicon, numbers=numbers).collect()} == {("4o4", "404"), ("2o5", "205")}
 
 
+def test_numbers_whatever_the_count(spark):
+    """Twenty or more occurrences of a misread number change nothing while its share stays."""
+    numbers = spark.createDataFrame([("100", 1000), ("101", 1000)], "word string, n bigint")
+    for n in (20, 21, 200):
+        lexicon = spark.createDataFrame([("l00", n), ("l01", n)], "word string, n bigint")
+        assert {r["right"] for r in pages.corrections(lexicon, numbers=numbers).collect()} == {"100", "101"}
+
+
+def test_long_words_are_corrected(spark):
+    word = "poly" + "methyl" * 8 + "ether"
+    lexicon = spark.createDataFrame([(word, 90), (word.replace("ether", "cther"), 1), ("m" * 3000, 1)], "word string, n bigint")
+    assert {(r["word"], r["right"]) for r in pages.corrections(lexicon).collect()} == {(word.replace("ether", "cther"), word)}
+
+
+def test_context_chooses(spark):
+    """Of two words that a misread one may stand for, the neighbours pick."""
+    def change(n, lines):
+        lines[2:2] = ["the warm bath was hot and the warm bath was hot", "a long path was cut and a long path was cut"] * 3
+        if n == 5:
+            lines[2] = "the warm 8ath was hot and the warm bath was hot"
+        return lines
+
+    got = {(r["page_id"], r["line_no"], r["right"]) for r in pages.repairs(book(spark, change)).where("kind = 'misread'").collect()}
+    assert got == {(5, 3, "bath")}
+
+
 def test_compounds_stay(spark):
     def change(n, lines):
         lines[2] = "The pulsed-field gradient of the resin and the membrane, pulsed-"
@@ -235,6 +261,35 @@ def test_slots_by_texts_and_filled_records(spark):
     assert rows(residue.residue(df)) == {(i, "slot") for i in range(6)}
 
 
+@pytest.mark.parametrize("left", [("ORDER_NO", "CITY"), ("", ""), ("*|ORDERNO|*", ":city:"), ("orderNo", "city_name")])
+def test_slots_by_alignment(spark, left):
+    """Names in no template language's notation, and blanks, are found where filled records differ; the same shapes in other text stay."""
+    fill = lambda no, city: f"Dear reader, we thank you for it. Your order {no}, placed on paper, was sent to {city}, as agreed upon. It will come soon to you."
+    docs = [fill(f"A{k}7", w) for k, w in enumerate("Bern Paris Rome Oslo Kiel Graz Brno Pisa".split())] + [fill(*left) + f" Note {k}." for k in range(3)]
+    docs += ["The value MAX_LEN was set by the user. The mRNA of the cell , as shown, grows.", "The DNA and the mRNA of pH 7 differ, () and [] aside."]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert rows(residue.residue(df)) == {(i, "slot") for i in (8, 9, 10)}
+
+
+def test_pages_under_long_navigation(spark):
+    nav = "\n".join(f"Menu item {k}" for k in range(400))
+    message = "404 - the page is not found here. Please enable JavaScript in your browser."
+    docs = [nav + "\n" + message, "On foams\n" + nav + "\n" + message + "\n" + nav, message + " But this text has a lot of other things to say about foams and gels. " * 6]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert rows(residue.residue(df)) == {(0, "page"), (1, "page")}
+
+
+@pytest.mark.parametrize("text", ["Text to\u00a0follow.", "Content coming\u00a0soon", "Lorem&nbsp;ipsum", "Text to  follow.", "See &#123;&#123;title&#125;&#125; here"])
+def test_residue_in_odd_spaces(spark, text):
+    assert residue.residue(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).count() == 1
+
+
+def test_sources_with_any_name(spark):
+    targets = spark.createDataFrame([("a|b", 0.5, 1), ('c"[', 0.5, 1)], "source string, target_share double, max_repeats int")
+    d = spark.createDataFrame([(1, "x y z", "a|b"), (2, "u v w", 'c"['), (3, "x y z", 'c"[')], "doc_id bigint, text string, source string")
+    assert sorted(r["source"] for r in mix.mixture(d, targets)[0].collect()) == ["a|b", 'c"[']
+
+
 def test_forms_of_quotes_and_titles(spark, sf):
     """Every quote and every title gets its form."""
     got = queries.p3_forms(spark, sf).groupBy("field_name").count().collect()
