@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "scholion", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -40,6 +41,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(df: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int = 200_000) -> DataFrame:
+    """``df`` joined with a kept table that may be small.
+
+    The table's rows are counted; up to ``rows`` of them are sent to every
+    executor, more are joined by a sort and merge, so that a table that grows
+    with the data never reaches the driver, however well it was compressed.
+    Give it tables of short rows that :func:`checkpoint` wrote.
+    """
+    if small.count() <= rows:
+        return df.join(F.broadcast(small), on, how)
+    return df.hint("merge").join(small.hint("merge"), on, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the scan has fewer partitions than there are; else unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
