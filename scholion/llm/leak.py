@@ -69,8 +69,10 @@ class SeedIndex:
     def __init__(self, items: list[tuple[int, str]], common: set[str]):
         self.ids, self.words, self.question = [], [], []
         for i, text in items:
-            lines = [x for x in (text or "").split("\n") if x.strip() and " ".join(words(x)) not in common]
-            parts = [words(re.sub(r"^\s*\w{1,12}:", "", x)) for x in lines]
+            lines = [x for x in (text or "").split("\n") if x.strip()]
+            # An instruction opens the item; the question at its end may have a label.
+            lines = lines[1:] if len(lines) > 2 and lines[0].strip() in common else lines
+            parts = [words(x if k + 1 < len(lines) else re.sub(r"^\s*\w{1,12}:", "", x)) for k, x in enumerate(lines)]
             self.ids.append(i)
             self.words.append([w for p in parts for w in p])
             self.question.append(len(parts[-1]) if len(parts) > 1 else 0)
@@ -179,8 +181,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 14, block_words:
     """Documents that hold a passage of an item: (``doc_id``, ``item_id``, ``n_words``).
 
     ``least`` words in a row (about fifteen) count as a leak, fewer only where they are the
-    whole question or item. Lines that at least three items share are
-    instructions and never count. The items' seeds are sent to the executors in
+    whole question or item. A line that opens items of three lines or more with
+    different lines behind it is an instruction and never counts; a passage that
+    several questions share does. The items' seeds are sent to the executors in
     blocks of about ``block_words`` words, so what is broadcast has a bound
     whatever the number of items; each block is matched with all documents.
 
@@ -191,15 +194,15 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 14, block_words:
     own = items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     size = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6
     blocks = max(1, -(-size // block_words))
-    line = F.trim(F.col("line"))
-    shared = own.select("item_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length(line) > 0).groupBy(line.alias("line")).agg(F.count_distinct("item_id").alias("n")).where("n >= 3")
-    # As many shared lines can exist as a third of the items' lines; kept to the same bound by blocks below.
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    opening = own.select(lines.alias("lines")).where("size(lines) > 2").select(F.col("lines")[0].alias("line"), F.xxhash64(F.col("lines")[1]).alias("behind"))
+    shared = opening.groupBy("line").agg(F.count_distinct("behind").alias("n")).where("n > 1")
+    # Only those that open items of a block are fetched with it.
     d = spread(documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
     parts = []
     for k in range(blocks):
         block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else own
-        mine = block.select(F.explode(F.split("text", "\n")).alias("line")).select(line.alias("line")).distinct()
-        common = {" ".join(words(r["line"])) for r in shared.join(mine, "line", "left_semi").toLocalIterator()}
+        common = {r["line"] for r in shared.join(block.select(lines.alias("lines")).select(F.try_element_at("lines", F.lit(1)).alias("line")), "line", "left_semi").toLocalIterator()}
         index = spark.sparkContext.broadcast(SeedIndex(sorted({(r["item_id"], r["text"]) for r in block.toLocalIterator()}), common))
 
         def match(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:

@@ -19,6 +19,7 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -53,11 +54,12 @@ CUES = (
 _slot = re.compile(SLOT)
 # By shape alone: names in capitals or joined by underscores, names between marks that aren't those of sentences, blanks before a mark or between brackets or quotes.
 _shape = re.compile(r"(?<![\w/.@-])(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z]{2,}|[a-z]+(?:_[a-z0-9]+)+|[a-z]+[A-Z][A-Za-z]+)(?![\w/@-])|(?<!\S)[*|:$#@~^=%]{1,3}[^\W\d_][\w .-]{0,38}?[*|:$#@~^=%]{1,3}(?![\w*|:$#@~^=%])|(?<=\w) (?=[,.;](?:\s|$))|\(\s*\)|\[\s*\]|\"\s*\"|“\s*”")
-_name = re.compile(rf"(?:{SLOT}|{_shape.pattern}|\s*)$")
 _default = re.compile(rf"(?:{DEFAULTS})[\s.…!:]*", re.I)
 _cue = re.compile(CUES, re.I | re.M)
 _code = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+(?:[.,]\d+)*", re.I)
 _end = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
+_token = re.compile(r"\w+|[^\w\s]")
+_capitals = re.compile(r"[A-Z]{2,}$")
 _odd = re.compile(r"[^\S\n ]|  ")
 
 #: Words on either side that make a frame, the most words of a value, and how many frames are aligned in one pass over the records.
@@ -92,9 +94,11 @@ def is_filler(segment: str) -> bool:
 
 
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    """Up to :data:`SIDE` words before and behind a place, within its line."""
-    left, right = text[text.rfind("\n", 0, a) + 1 : a].split()[-SIDE:], text[b : text.find("\n", b) if text.find("\n", b) >= 0 else len(text)].split()[:SIDE]
-    return " ".join(left), " ".join(right)
+    """The :data:`SIDE` words or marks before and behind a place, as they are written, within its line."""
+    left = list(_token.finditer(text, max(text.rfind("\n", 0, a) + 1, a - 80), a))[-SIDE:]
+    stop = text.find("\n", b)
+    right = list(islice(_token.finditer(text, b, stop if stop >= 0 else len(text)), SIDE))
+    return text[left[0].start() : left[-1].end()] if left else "", text[right[0].start() : right[-1].end()] if right else ""
 
 
 # What has to be there for a delimited name, a default or a cue to match: cheap tests that spare most texts the patterns.
@@ -118,15 +122,15 @@ def _id(text: str) -> int:
 def fillings(frames: list[tuple[str, str]]):
     """One pass for (``before``, ``after``, ``value``, ``same``): what stands in the given frames, in every text.
 
-    ``value`` is a hash, or 0 for a name or blank that may have been left there.
+    ``value`` is a hash, or 0 where nothing stands there or something that may have been left: a value that holds a name.
     """
-    by_left: dict[str, list[str]] = {}
+    rights: dict[str, dict[int, set[str]]] = {}
     for b, a in frames:
-        by_left.setdefault(b, []).append(a)
+        rights.setdefault(b, {}).setdefault(len(a), set()).add(a)
 
     def pass_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = ahocorasick.Automaton()
-        for b in by_left:
+        for b in rights:
             found.add_word(b, b)
         found.make_automaton()
         for batch in batches:
@@ -135,18 +139,21 @@ def fillings(frames: list[tuple[str, str]]):
                 text = _clean(raw)
                 same = None
                 for end, b in found.iter(text):
-                    # Whole words only, and a value of one sentence that ends before the words behind.
-                    if end + 1 < len(text) and text[end + 1] == "\n" or end >= len(b) and not text[end - len(b)].isspace():
+                    at, begin = end + 1, end + 1 - len(b)
+                    if begin and text[begin].isalnum() and text[begin - 1].isalnum() or at < len(text) and b[-1].isalnum() and text[at].isalnum():
                         continue
-                    stop = text.find("\n", end)
-                    rest = text[end + 1 : stop if stop >= 0 else len(text)][:600]
-                    for a in by_left[b]:
-                        at = re.search(("(?<!\\w)" if a[:1].isalnum() else "") + re.escape(a) + ("(?!\\w)" if a[-1:].isalnum() else ""), rest) if a else None
-                        value = rest[: at.start()].strip() if at else ""
-                        if at is None or len(value.split()) > VALUE or re.search(r"[.!?] ", value):
-                            continue
-                        same = _id(text) if same is None else same
-                        out.add((b, a, 0 if _name.match(value) else _id(value) or 1, same))
+                    stop = text.find("\n", at, at + 300)
+                    # A value of one sentence: up to so many words and marks, with the words behind at their ends.
+                    for t in islice(_token.finditer(text, at, stop if stop >= 0 else min(len(text), at + 300)), VALUE + 1):
+                        k = t.start()
+                        for size, those in rights[b].items():
+                            a = text[k : k + size]
+                            if a in those and not (a[-1].isalnum() and text[k + size : k + size + 1].isalnum()):
+                                value = text[at:k].strip()
+                                same = _id(text) if same is None else same
+                                out.add((b, a, 0 if not value or _shape.search(value) or _slot.search(value) else _id(value) or 1, same))
+                        if t.group() in ".!?" and text[t.end() : t.end() + 1].isspace():
+                            break
             yield pd.DataFrame(list(out), columns=["before", "after", "value", "same"])
 
     return pass_over
@@ -156,7 +163,7 @@ def evidence(beside: int):
     """All that one pass over a record yields, in rows of one shape.
 
     ``slot``: a delimited name with its frame, ``same`` for equal texts; ``shape``:
-    a name by shape, or a blank, with its frame; ``filler``: the record holds
+    a name by shape, or a blank, with its frame (``cues`` is 1 for mere capitals); ``filler``: the record holds
     filler; ``segment``: a segment of a record that is but messages, title and
     navigation, with at most ``beside`` characters of anything else, masked, with
     its cues and its place.
@@ -172,10 +179,11 @@ def evidence(beside: int):
                 for kind, found in (("slot", _slot.finditer(text) if _marks.search(text) else ()), ("shape", _shape.finditer(text))):
                     for m in found:
                         before, after = _context(text, m.start(), m.end())
-                        # Shapes need words on both sides to be aligned by.
-                        if kind == "slot" or before and after and len(before) + len(after) >= 6:
+                        # Shapes need words on both sides to be aligned by, and capitals words that aren't.
+                        plain = kind == "shape" and _capitals.match(m.group()) is not None
+                        if kind == "slot" or before and after and len(before) + len(after) >= 6 and not (plain and (before.isupper() or after.isupper())):
                             own = own or _id(text)
-                            out.append((i, kind, before, after, m.group(), 0, False, own))
+                            out.append((i, kind, before, after, m.group(), int(plain), False, own))
                 if _may_fill(low) and any(map(is_filler, _segments(text))):
                     out.append((i, "filler", "", "", "", 0, False, None))
                 out += [(i, "segment", mask, "", "", cues, around, None) for mask, cues, around in _page(text, beside)]
@@ -231,7 +239,9 @@ def residue(documents: DataFrame, doc: str = "doc_id", text: str = "text", fixed
     frames = slots.groupBy("before", "after").agg(F.count_distinct("value").alias("values"), F.count_distinct("same").alias("texts"))
     steady = checkpoint(frames.where((F.col("values") == 1) & (F.col("texts") >= fixed_min) & (F.col("before") != "") & (F.col("after") != "")))
     # Records are aligned on the frames in question, so many a pass.
-    asked = checkpoint(steady.select("before", "after").unionByName(shapes.select("before", "after")).distinct().withColumn("part", F.pmod(F.xxhash64("before", "after"), F.lit(1 << 30))))
+    # Words in capitals are most often acronyms: they are asked about where their frame recurs.
+    shaped = shapes.groupBy("before", "after").agg(F.count_distinct("same").alias("texts"), F.min("cues").alias("plain")).where((F.col("plain") == 0) | (F.col("texts") > 1))
+    asked = checkpoint(steady.select("before", "after").unionByName(shaped.select("before", "after")).distinct().withColumn("part", F.pmod(F.xxhash64("before", "after"), F.lit(1 << 30))))
     n = asked.count()
     blocks = -(-n // FRAMES)
     parts = [d.select("text").mapInPandas(fillings([(r["before"], r["after"]) for r in asked.where(F.col("part") % blocks == k).toLocalIterator()]), "before string, after string, value bigint, same bigint") for k in range(blocks)]

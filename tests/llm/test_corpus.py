@@ -183,6 +183,14 @@ def test_leaks_against_brute_force(spark):
     assert blocks == got
 
 
+@pytest.mark.parametrize("instruction", ["", "Read this and answer.\n"])
+def test_a_passage_with_several_questions(spark, instruction):
+    passage = " ".join(f"{w}{k}" for k, w in enumerate(["gel", "foam", "resin", "plateau"] * 10))
+    it = spark.createDataFrame([(k, f"{instruction}{passage}\nQuestion: why does the {w} grow so fast here?") for k, w in enumerate(("gel", "foam", "resin"))] + [(9, "Read this and answer.\nA lot of other words stand in this one.\nQuestion: what else?")], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, "before " + passage + " after"), (2, "Read this and answer. Nothing else.")], "doc_id bigint, text string")
+    assert rows(leak.leaks(d, it).select("doc_id", "item_id")) == {(1, 0), (1, 1), (1, 2)}
+
+
 def test_leaks_void(spark):
     d = spark.createDataFrame([(1, "some text", "x")], DOC)
     assert leak.leaks(d.limit(0), items(spark)).count() == 0
