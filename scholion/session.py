@@ -24,19 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder is made, but only in a local session;
+    on a cluster each machine would write to its own disk.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="scholion-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary one is made. A compressed table takes a
-    fraction of what checkpointed rows do, later reads take only the columns
-    they need, and it outlives any executor.
+    A compressed table takes a fraction of what checkpointed rows do, later reads
+    take only the columns they need, and it outlives any executor.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholion-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
