@@ -53,14 +53,38 @@ CUES = (
 
 _slot = re.compile(SLOT)
 # By shape alone: names in capitals or joined by underscores, names between marks that aren't those of sentences, blanks before a mark or between brackets or quotes.
-_shape = re.compile(r"(?<![\w/.@-])(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z]{2,}|[a-z]+(?:_[a-z0-9]+)+|[a-z]+[A-Z][A-Za-z]+)(?![\w/@-])|(?<!\S)[*|:$#@~^=%]{1,3}[^\W\d_][\w .-]{0,38}?[*|:$#@~^=%]{1,3}(?![\w*|:$#@~^=%])|(?<=\w) (?=[,.;](?:\s|$))|\(\s*\)|\[\s*\]|\"\s*\"|“\s*”")
+# Each begins with few characters, so that a text is searched fast.
+_SHAPES = [
+    re.compile(r"[A-Z]{2,}[A-Z0-9]*(?:_[A-Z0-9]+)*(?![\w/@-])|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+(?![\w/@-])"),
+    re.compile(r"[*|:$#@~^=%]{1,3}[^\W\d_][\w .-]{0,38}?[*|:$#@~^=%]{1,3}(?![\w*|:$#@~^=%])"),
+    re.compile(r" (?=[,.;](?:\s|$))"),
+    re.compile(r"\(\s*\)|\[\s*\]|\"\s*\"|“\s*”"),
+]
+_JOINED = re.compile(r"(?<![\w/.@-])(?:[a-z]+(?:_[a-z0-9]+)+|[a-z]+[A-Z][A-Za-z]+)(?![\w/@-])")
+_bump, _bracket = re.compile(r"[A-Z](?<=[a-z].)"), re.compile(r"[(\[\"“]\s*[)\]\"”]")
+
+
+def shapes(text: str) -> Iterator[re.Match]:
+    """What may have been left in a slot, told by its shape."""
+    for k, shape in enumerate(_SHAPES):
+        if k == 3 and not _bracket.search(text):
+            continue
+        for m in shape.finditer(text):
+            before = text[m.start() - 1] if m.start() else " "
+            if (not (before.isalnum() or before in "_/.@-"), before.isspace(), before.isalnum(), True)[k]:
+                yield m
+    if "_" in text or _bump.search(text):
+        yield from _JOINED.finditer(text)
+
+
 _default = re.compile(rf"(?:{DEFAULTS})[\s.…!:]*", re.I)
 _cue = re.compile(CUES, re.I | re.M)
 _code = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+(?:[.,]\d+)*", re.I)
 _end = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _token = re.compile(r"\w+|[^\w\s]")
 _capitals = re.compile(r"[A-Z]{2,}$")
-_odd = re.compile(r"[^\S\n ]|  ")
+_ODD = ("  ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_odd = re.compile(r"[^\S\n\x00-\x7f]")
 
 #: Words on either side that make a frame, the most words of a value, and how many frames are aligned in one pass over the records.
 SIDE, VALUE, FRAMES = 2, 12, 100_000
@@ -69,7 +93,8 @@ SIDE, VALUE, FRAMES = 2, 12, 100_000
 def _clean(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
-    return (re.sub(r"[^\S\n]+", " ", text) if _odd.search(text) else text).strip()
+    odd = any(c in text for c in _ODD) or not text.isascii() and _odd.search(text)
+    return (re.sub(r"[^\S\n]+", " ", text) if odd else text).strip()
 
 
 def _lines(text: str) -> list[str]:
@@ -107,7 +132,18 @@ _ANCHORS = (
     *(f"{v} {d}" for v in ("type", "insert", "enter", "write", "put", "add") for d in ("the", "your", "a")), "to follow", "to come", "coming soon",
     "blindtext", "mustertext", "platzhaltertext", "beispieltext", "texto de", "text de", "texte factice", "texte de", "texte à", "placeholder text", "dummy text", "sample text", "filler text", "replace this", "xx", "____", "здесь", "позже", "ここに", "ダミー", "準備中",
 )
-_again = re.compile(r"(?:^|[\n.!?。])\W*(\w+)(?:\W+\1\b){3}", re.I)
+_CUE_ANCHORS = (
+    "script", "skript", "cookie", "browser", "navegador", "navigateur", "браузер", "ブラウザ", "http", "status", "code", "error:", "error 4", "error 5", "error at", "error has", "error, ", "error. ", "fehler", "erreur", "ошибка", "エラー", "not found", "not here", "introuvable", "nicht gefunden", "no encontrad", "не найден", "見つかりません", "timed out", "timeout", "too many requests", "busy", "try again", "went wrong",
+    "could not be", "cannot be", "no se pudo", "n'a pas pu", "konnte nicht", "не удалось", "できません", "maintenance", "wartung", "mantenimiento", "обслуживани", "メンテナンス", "connection re", "access to", "access denied", "is refused", "no rights", "forbidden", "permission", "session has", "sign in", "log in", "robot", "captcha", "traceback", "exception", "unavailable", "<fault>", "cancelled after", "no record matches", "fehlgeschlagen", "loading", "failed", "unable to load",
+)
+_again = re.compile(r"(?:^|[\n.!?。])\W{0,9}(\w+)\W+\1\W+\1\W+\1\b", re.I)
+
+
+_status = re.compile(r"^\W*[45]\d\d\b", re.M)
+
+
+def _may_cue(low: str) -> bool:
+    return any(a in low for a in _CUE_ANCHORS) or _status.search(low) is not None
 
 
 def _may_fill(low: str) -> bool:
@@ -151,7 +187,7 @@ def fillings(frames: list[tuple[str, str]]):
                             if a in those and not (a[-1].isalnum() and text[k + size : k + size + 1].isalnum()):
                                 value = text[at:k].strip()
                                 same = _id(text) if same is None else same
-                                out.add((b, a, 0 if not value or _shape.search(value) or _slot.search(value) else _id(value) or 1, same))
+                                out.add((b, a, 0 if not value or next(shapes(value), None) or _slot.search(value) else _id(value) or 1, same))
                         if t.group() in ".!?" and text[t.end() : t.end() + 1].isspace():
                             break
             yield pd.DataFrame(list(out), columns=["before", "after", "value", "same"])
@@ -176,7 +212,7 @@ def evidence(beside: int):
                 text = _clean(raw)
                 low = text.lower()
                 own = None
-                for kind, found in (("slot", _slot.finditer(text) if _marks.search(text) else ()), ("shape", _shape.finditer(text))):
+                for kind, found in (("slot", _slot.finditer(text) if _marks.search(text) else ()), ("shape", shapes(text))):
                     for m in found:
                         before, after = _context(text, m.start(), m.end())
                         # Shapes need words on both sides to be aligned by, and capitals words that aren't.
@@ -184,7 +220,7 @@ def evidence(beside: int):
                         if kind == "slot" or before and after and len(before) + len(after) >= 6 and not (plain and (before.isupper() or after.isupper())):
                             own = own or _id(text)
                             out.append((i, kind, before, after, m.group(), int(plain), False, own))
-                if _may_fill(low) and any(map(is_filler, _segments(text))):
+                if _may_fill(low) and any(is_filler(x) for x in _segments(text) if _may_fill(x.lower())):
                     out.append((i, "filler", "", "", "", 0, False, None))
                 out += [(i, "segment", mask, "", "", cues, around, None) for mask, cues, around in _page(text, beside)]
             yield pd.DataFrame(out, columns=["doc_id", "kind", "before", "after", "value", "cues", "around", "same"]).astype({"same": "Int64"})
@@ -194,23 +230,44 @@ def evidence(beside: int):
 
 def _page(text: str, beside: int) -> list[tuple[str, int, bool]]:
     """Segments (mask, cues, whether title or navigation) of a text that may be a message page, read until there is too much else; else none."""
+    # First without cues, which most texts lack where there is too much else: one search over what was read.
+    return _segments_of_page(text, beside, True) and _segments_of_page(text, beside, False)
+
+
+def _each_segment(text: str) -> Iterator[str]:
+    """Segments one by one, so that a text is split no further than it is read."""
+    a = 0
+    while a < len(text):
+        z = text.find("\n", a)
+        z = len(text) if z < 0 else z
+        for m in _end.finditer(text, a, z):
+            if text[a : m.start()].strip():
+                yield text[a : m.start()].strip()
+            a = m.end()
+        if text[a:z].strip():
+            yield text[a:z].strip()
+        a = z + 1
+
+
+def _segments_of_page(text: str, beside: int, glance: bool) -> list[tuple[str, int, bool]]:
     out, other, cued, first = [], 0, False, True
-    for x in text.split("\n"):
-        for s in _end.split(x.strip()):
-            s = s.strip()
-            if not s:
-                continue
-            title = first and not re.search(r"[.!?。！？…]$", s) and len(s) < 300
-            nav = "|" in s or "©" in s or len(s.split()) <= 5 and len(s) < 40 and not re.search(r"[.!?。！？]$", s)
-            first = False
-            cues = {m.lower() for m in _cue.findall(s)}
-            mask = _code.sub("0", s).lower()
-            cued = cued or bool(cues)
-            if not cues and not title and not nav:
-                other += len(mask)
-                if other > beside:
+    for s in _each_segment(text):
+        title = first and s[-1] not in ".!?。！？…" and len(s) < 300
+        nav = "|" in s or "©" in s or len(s) < 40 and s[-1] not in ".!?。！？" and len(s.split()) <= 5
+        first = False
+        cues = set() if glance else {m.lower() for m in _cue.findall(s)}
+        mask = _code.sub("0", s).lower()
+        cued = cued or bool(cues)
+        out.append((s if glance else mask, len(cues), title or nav))
+        if not cues and not title and not nav:
+            other += len(mask)
+            if other > beside:
+                if not glance:
                     return []
-            out.append((mask, len(cues), title or nav))
+                break
+    if glance:
+        read = "\n".join(x for x, _, _ in out)
+        return out if _may_cue(read.lower()) and _cue.search(read) else []
     return out if cued else []
 
 
