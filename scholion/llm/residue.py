@@ -19,7 +19,7 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import ahocorasick
 import pandas as pd
@@ -119,11 +119,11 @@ def is_filler(segment: str) -> bool:
 
 
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    """The :data:`SIDE` words or marks before and behind a place, as they are written, within its line."""
-    left = list(_token.finditer(text, max(text.rfind("\n", 0, a) + 1, a - 80), a))[-SIDE:]
-    stop = text.find("\n", b)
-    right = list(islice(_token.finditer(text, b, stop if stop >= 0 else len(text)), SIDE))
-    return text[left[0].start() : left[-1].end()] if left else "", text[right[0].start() : right[-1].end()] if right else ""
+    """The :data:`SIDE` words or marks before and behind a place, as they are written; where its line has fewer, with the line's end."""
+    start, stop = text.rfind("\n", 0, a), text.find("\n", b)
+    left = list(_token.finditer(text, max(start + 1, a - 80), a))[-SIDE:]
+    right = list(islice(_token.finditer(text, b, stop), SIDE))
+    return text[left[0].start() if len(left) == SIDE else start : left[-1].end() if left else start + 1], text[right[0].start() if right else stop : right[-1].end() if len(right) == SIDE else stop + 1]
 
 
 # What has to be there for a delimited name, a default or a cue to match: cheap tests that spare most texts the patterns.
@@ -172,7 +172,7 @@ def fillings(frames: list[tuple[str, str]]):
         for batch in batches:
             out = set()
             for raw in batch["text"]:
-                text = _clean(raw)
+                text = f"\n{_clean(raw)}\n"
                 same = None
                 for end, b in found.iter(text):
                     at, begin = end + 1, end + 1 - len(b)
@@ -180,15 +180,15 @@ def fillings(frames: list[tuple[str, str]]):
                         continue
                     stop = text.find("\n", at, at + 300)
                     # A value of one sentence: up to so many words and marks, with the words behind at their ends.
-                    for t in islice(_token.finditer(text, at, stop if stop >= 0 else min(len(text), at + 300)), VALUE + 1):
-                        k = t.start()
+                    spots = (t.start() for t in islice(_token.finditer(text, at, stop if stop >= 0 else at + 300), VALUE + 1))
+                    for k in chain(spots, (stop,) if stop >= 0 else ()):
                         for size, those in rights[b].items():
                             a = text[k : k + size]
                             if a in those and not (a[-1].isalnum() and text[k + size : k + size + 1].isalnum()):
                                 value = text[at:k].strip()
                                 same = _id(text) if same is None else same
                                 out.add((b, a, 0 if not value or next(shapes(value), None) or _slot.search(value) else _id(value) or 1, same))
-                        if t.group() in ".!?" and text[t.end() : t.end() + 1].isspace():
+                        if text[k] in ".!?" and text[k + 1 : k + 2].isspace():
                             break
             yield pd.DataFrame(list(out), columns=["before", "after", "value", "same"])
 
@@ -211,13 +211,18 @@ def evidence(beside: int):
             for i, raw in zip(b["doc_id"], b["text"]):
                 text = _clean(raw)
                 low = text.lower()
-                own = None
-                for kind, found in (("slot", _slot.finditer(text) if _marks.search(text) else ()), ("shape", shapes(text))):
+                own, framed, taken = None, f"\n{text}\n", []
+                for kind, found in (("slot", _slot.finditer(framed) if _marks.search(text) else ()), ("shape", shapes(framed))):
                     for m in found:
-                        before, after = _context(text, m.start(), m.end())
+                        # What is a slot already isn't told by its shape again.
+                        if kind == "slot":
+                            taken.append(m.span())
+                        elif any(a < m.end() and m.start() < z for a, z in taken):
+                            continue
+                        before, after = _context(framed, m.start(), m.end())
                         # Shapes need words on both sides to be aligned by, and capitals words that aren't.
                         plain = kind == "shape" and _capitals.match(m.group()) is not None
-                        if kind == "slot" or before and after and len(before) + len(after) >= 6 and not (plain and (before.isupper() or after.isupper())):
+                        if kind == "slot" or before.strip() and after.strip() and len(before) + len(after) >= 6 and not (plain and (before.isupper() or after.isupper())):
                             own = own or _id(text)
                             out.append((i, kind, before, after, m.group(), int(plain), False, own))
                 if _may_fill(low) and any(is_filler(x) for x in _segments(text) if _may_fill(x.lower())):
@@ -294,7 +299,7 @@ def residue(documents: DataFrame, doc: str = "doc_id", text: str = "text", fixed
     found = checkpoint(d.mapInPandas(evidence(beside), "doc_id bigint, kind string, before string, after string, value string, cues int, around boolean, same bigint"))
     slots, shapes = found.where("kind = 'slot'"), found.where("kind = 'shape'")
     frames = slots.groupBy("before", "after").agg(F.count_distinct("value").alias("values"), F.count_distinct("same").alias("texts"))
-    steady = checkpoint(frames.where((F.col("values") == 1) & (F.col("texts") >= fixed_min) & (F.col("before") != "") & (F.col("after") != "")))
+    steady = checkpoint(frames.where((F.col("values") == 1) & (F.col("texts") >= fixed_min) & F.col("before").rlike(r"\S") & F.col("after").rlike(r"\S")))
     # Records are aligned on the frames in question, so many a pass.
     # Words in capitals are most often acronyms: they are asked about where their frame recurs.
     shaped = shapes.groupBy("before", "after").agg(F.count_distinct("same").alias("texts"), F.min("cues").alias("plain")).where((F.col("plain") == 0) | (F.col("texts") > 1))
