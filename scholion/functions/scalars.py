@@ -8,11 +8,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholion.functions.text import fold
+from scholion.functions.text import deaccent, fold
 
 # Words without weight in titles, and those skipped for a key.
-LIGHT_WORDS = ("with", "from", "that", "this", "into", "over", "under", "between", "their", "study", "using", "based")
-KEY_SKIP = ("a", "an", "the", "on", "of", "in", "for", "and", "to", "with", "from", "by", "at", "how", "is", "are", "der", "die", "das")
+LIGHT_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with", "its", "their", "using", "via", "into", "between")
+KEY_SKIP = ("a", "an", "the", "on", "of", "in", "for", "and", "to", "with", "at", "by", "from", "into", "via", "is", "are", "as", "using", "toward", "towards")
+# How a reference names a venue, a volume with pages, and an author.
+VENUE = (
+    r"(?i)\b(?:Journal|Jnl|Proc\.?|Proceedings|Rev\.?|Review|Trans\.?|Bull\.?|Ann\.?|Acta|Arch\.?|Chem|Phys|Biol|Biochem|Biophys|Med\.|Sci\.?|Soc\.?|Nature|Science|Cell|Lancet|Polym|Macromol|Mater|Eng|Lett|Commun|Res\."
+    r"|Press|Wiley|Springer|Elsevier|Academic|Pergamon|Plenum|Dekker|McGraw|Blackwell|Oxford|Cambridge|Prentice|Publisher|Publishing|eds?\.|editors?|Vol\.|pp?\.|Thesis|Dissertation|University|Univ\.)"
+)
+VOLUME_PAGES = r"\b\d{1,4}\s*[:,]\s*\d{1,5}\s*[-–]\s*\d{1,5}\b"
+AUTHOR = r"[A-Z][a-z]{2,}(?:,\s*|\s+)(?:[A-Z]\.\s*){1,4}|[A-Z][a-z]{2,}\s+[A-Z](?:\s+[A-Z])*\b(?![A-Z])|[A-Z][a-z]{2,}\s+[A-Z]{1,3},|[A-Z]{3,},\s*[A-Z]\.|(?:[A-Z]\.\s*){1,3}[A-Z][a-z]{2,}"
+# Phrases by which a failed run is told, in the order they are tested.
+INTERRUPTED = ("keyboardinterrupt",)
+NETWORK = ("could not reach", "connectionerror", "connecttimeout", "readtimeout", "max retries", "name or service not known", "temporary failure in name resolution", "connection reset", "connection refused")
+AUTH = ("refused the key", "no zotero credentials", "needs both api_key and user_id", "invalid key", "403", "401", "no documents returned")
 BACKENDS = ("zotero", "mendeley")
 
 
@@ -46,14 +57,35 @@ def title_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))
 
 
+def title_ascii(c: Column) -> Column:
+    """[P6] Without accents, lower case, everything but ASCII letters and digits a space: what titles are compared by in Q2."""
+    return F.trim(F.regexp_replace(F.lower(deaccent(c)), r"[^a-z0-9 ]+", " "))
+
+
+def title_ascii_key(c: Column) -> Column:
+    """[P6] ASCII letters and digits only."""
+    return F.regexp_replace(F.lower(deaccent(c)), r"[^a-z0-9]+", "")
+
+
+def word_set(c: Column) -> Column:
+    """[P6, J13] The distinct words of a title, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(title_ascii(c), r" +"), lambda w: w != "")))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """[U2] Share of the first word set that the second one holds; an empty set has none."""
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
+
+
 def title_key(c: Column) -> Column:
     """[P6] Letters and digits only, script kept."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
 
 
 def significant(c: Column) -> Column:
-    """[P7] Distinct words longer than three characters that carry meaning, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), " "), lambda w: (F.length(w) > 3) & ~w.isin(*LIGHT_WORDS))))
+    """[P7] Distinct words longer than three characters that carry meaning, sorted; accents don't count, other scripts' letters part words."""
+    plain = title_ascii(c)
+    return F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda w: (F.length(w) > 3) & ~w.isin(*LIGHT_WORDS))))
 
 
 def year_first(c: Column) -> Column:
@@ -72,17 +104,39 @@ def last_name(c: Column) -> Column:
 
 
 def key_name(c: Column) -> Column:
-    """[P11] Name part of a key: letters only; capitals stay, else first letter large; none: Anon."""
-    letters = F.regexp_replace(c, r"[^A-Za-z]", "")
-    shaped = F.when(F.upper(letters) == letters, letters).otherwise(F.concat(F.upper(F.left(letters, F.lit(1))), F.lower(F.substring(letters, 2, 200))))
+    """[P11] Name part of a key: ASCII letters only; capitals stay, else first letter large; none: Anon."""
+    letters = F.regexp_replace(deaccent(c), r"[^A-Za-z]", "")
+    shaped = F.when(F.upper(letters) == letters, letters).otherwise(F.concat(F.upper(F.left(letters, F.lit(1))), F.lower(F.substring(letters, 2, 1 << 30))))
     return F.coalesce(F.nullif(shaped, F.lit("")), F.lit("Anon"))
 
 
+def first_person(*people: Column) -> Column:
+    """[P11] The name a key is made of: the first author's, else the first editor's; last name before single-field name before first name. Lists that hold no letters fall through."""
+    named = [F.coalesce(*[F.nullif(F.trim(F.try_element_at(p, F.lit(1))[f]), F.lit("")) for f in ("last_name", "name", "first_name")]) for p in people]
+    return F.coalesce(*[F.when(deaccent(n).rlike("[A-Za-z]"), n) for n in named])
+
+
 def key_word(c: Column) -> Column:
     """[P12] Title part of a key: first telling word of more than two letters, else the first word, else Untitled."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z]+", " "), " "), lambda w: w != "")
-    word = F.coalesce(F.try_element_at(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*KEY_SKIP)), F.lit(1)), F.try_element_at(words, F.lit(1)))
-    return F.coalesce(F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 200)), F.lit("Untitled"))
+    words = F.filter(F.split(F.regexp_replace(deaccent(c), r"[^A-Za-z]+", " "), " "), lambda w: w != "")
+    word = F.coalesce(F.try_element_at(F.filter(words, lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*KEY_SKIP)), F.lit(1)), F.try_element_at(words, F.lit(1)))
+    return F.coalesce(F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, 2, 1 << 30))), F.lit("Untitled"))
+
+
+def bib_author(c: Column) -> Column:
+    """[P14] Surname of the first of several names joined by `` and ``: before a comma, else the last word."""
+    first = F.trim(F.split(c, r" and ")[0])
+    return F.nullif(F.trim(F.when(F.contains(first, F.lit(",")), F.split(first, ",")[0]).otherwise(F.element_at(F.split(first, r"\s+"), -1))), F.lit(""))
+
+
+def key_surname(c: Column) -> Column:
+    """[P14] The letters of a key before its first digit."""
+    return F.regexp_extract(c, r"^([^\d]*)", 1)
+
+
+def outside(page: Column, first: Column, last: Column) -> Column:
+    """[P24] Whether a page is outside an article's range; without a range nothing is."""
+    return F.coalesce((page < first) | (page > last), F.lit(False))
 
 
 def cited_surname(c: Column) -> Column:
@@ -165,9 +219,135 @@ def issn_shape(c: Column) -> Column:
     return c.rlike(r"^\d{4}-?\d{3}[\dXx]$")
 
 
+def isbn_shape(c: Column) -> Column:
+    """[P33] Whether a text, hyphens and spaces aside, has the ten or thirteen characters of an ISBN."""
+    return F.regexp_replace(c, r"[\s-]+", "").rlike(r"^(?:\d{9}[\dXx]|\d{13})$")
+
+
+def issn_set(c: Column) -> Column:
+    """[P33] All ISSNs in a text, without hyphen, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.upper(c), F.lit(r"\b(\d{4}-?\d{3}[\dX])\b"), 1), lambda x: F.replace(x, F.lit("-"), F.lit("")))))
+
+
+def issn_class(value: Column, held: Column) -> Column:
+    """[P33, U4] A value beside the ISSNs a record holds: junk without any ISSN, same where they share one, else differs."""
+    x, y = issn_set(F.coalesce(value, F.lit(""))), issn_set(F.coalesce(held, F.lit("")))
+    return F.when(F.size(x) == 0, "junk").when(F.arrays_overlap(x, y), "same").otherwise("differs")
+
+
+# Fixed value: an arXiv id of either form, with or without prefix and version.
+ARXIV = r"(?i)(?:arxiv\s*:\s*)?([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?"
+
+
 def arxiv_ids(c: Column) -> Column:
-    """[P34] arXiv ids in a text, without version."""
-    return F.regexp_extract_all(c, F.lit(r"(?i)arxiv[:/. ]*(\d{4}\.\d{4,5})"), 1)
+    """[P34] All arXiv ids in a text, in lower case, without prefix and version."""
+    return F.transform(F.regexp_extract_all(c, F.lit(ARXIV), 1), F.lower)
+
+
+def arxiv_id(c: Column) -> Column:
+    """[P34] The first arXiv id of a text without prefix and version; without one, the text trimmed and in lower case."""
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(c, ARXIV, 1)), F.lit("")), F.lower(F.trim(c)))
+
+
+def same_identifier(a: Column, b: Column) -> Column:
+    """[P34] Whether two identifiers differ in punctuation and case only; empty ones aren't the same."""
+    bare = lambda c: F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9A-Za-z]", ""))
+    return (bare(a) != "") & (bare(a) == bare(b))
+
+
+# The types of creators that remote records name, by the part they have in a work.
+PRIMARY = ("author", "inventor", "programmer", "presenter", "director", "podcaster", "interviewee", "artist", "cartographer", "performer", "sponsor")
+SECONDARY = ("seriesEditor", "translator", "contributor", "bookAuthor", "reviewedAuthor", "commenter", "wordsBy", "scriptwriter", "producer", "guest", "counsel", "attorneyAgent", "recipient", "castMember")
+
+
+def creator_role(c: Column) -> Column:
+    """[P37] Part of a creator: primary, editor, secondary, or unknown; no type is an author."""
+    t = F.coalesce(F.nullif(c, F.lit("")), F.lit("author"))
+    return F.when(t.isin(*PRIMARY), "primary").when(t == "editor", "editor").when(t.isin(*SECONDARY), "secondary").otherwise("unknown")
+
+
+def creators_of(creators: Column, *roles: str) -> Column:
+    """[P37] Names of the creators of the given parts, in order: ``Last, First`` or the single-field name. Unknown ones are asked for beside primary ones, so that none is lost."""
+    name = lambda c: F.coalesce(F.nullif(F.trim(c["name"]), F.lit("")), F.concat_ws(", ", F.nullif(F.trim(c["lastName"]), F.lit("")), F.nullif(F.trim(c["firstName"]), F.lit(""))))
+    return F.transform(F.filter(creators, lambda c: creator_role(c["creatorType"]).isin(*roles)), name)
+
+
+# The fields of a remote record that may hold its venue, in order.
+VENUE_FIELDS = ("publicationTitle", "bookTitle", "proceedingsTitle", "encyclopediaTitle", "dictionaryTitle", "blogTitle", "websiteTitle", "repository")
+
+
+def venue(*fields: Column, extra: Column | None = None) -> Column:
+    """[P39] The first field that isn't blank, else what a line ``Publication Title:`` of the free text says."""
+    said = [F.nullif(F.trim(F.regexp_extract(F.coalesce(extra, F.lit("")), r"(?im)^[ \t]*Publication Title[ \t]*:[ \t]*(.+)$", 1)), F.lit(""))] if extra is not None else []
+    return F.coalesce(*[F.nullif(F.trim(f), F.lit("")) for f in fields], *said)
+
+
+def pmid_of(c: Column) -> Column:
+    """[P41] The PMID that free text gives."""
+    return F.nullif(F.regexp_extract(c, r"(?i)\bPMID:\s*(\d+)", 1), F.lit(""))
+
+
+def annotation_page(label: Column, index: Column) -> Column:
+    """[P44] Page of an annotation: its label where that is a number, else the first part of its sort index, counted from one, else 0."""
+    first = F.trim(F.split(F.coalesce(index, F.lit("")), r"\|")[0])
+    number = lambda c: F.when(c.rlike(r"^\d{1,9}$"), c).cast("int")
+    return F.coalesce(number(F.trim(label)), number(first) + 1, F.lit(0))
+
+
+def annotation_height(index: Column) -> Column:
+    """[P44] Place on the page: the second part of the sort index, else 0."""
+    part = F.trim(F.try_element_at(F.split(F.coalesce(index, F.lit("")), r"\|"), F.lit(2)))
+    return F.coalesce(F.when(part.rlike(r"^\d{1,9}$"), part).cast("int"), F.lit(0))
+
+
+def annotation_text(kind: Column, text: Column, comment: Column) -> Column:
+    """[P44] What an annotation says: a highlight's text with its comment below it, of other kinds the comment, else the text."""
+    text, comment = F.trim(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(comment, F.lit("")))
+    marked = F.when(comment == "", text).when(text == "", comment).otherwise(F.concat(text, F.lit("\n  \n  — "), comment))
+    return F.when(kind.isin("highlight", "underline"), marked).otherwise(F.coalesce(F.nullif(comment, F.lit("")), text))
+
+
+def proof_marks(c: Column) -> Column:
+    """[P46] How many placeholders for page ranges a text holds; published versions have none."""
+    return F.regexp_count(c, F.lit(r"[xX]{3,}\s*[-–—]\s*[xX]{3,}|\b0{3}\s*[-–—]\s*0{3}\b|XXXX,\s*XXX"))
+
+
+def name_conflict(stem: Column, doi: Column, template: str = r"(?i)1-s2\.0-S?[\dX-]{8,}(?:-main)?") -> Column:
+    """[P50] Whether a file's stem speaks against a DOI: it has five digits in a row, isn't a publisher's own name, has six characters or more, and neither it nor the DOI (whole, or after its slash) contains the other."""
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9.]", "")
+    name, full, tail = bare(stem), bare(doi), bare(F.regexp_replace(doi, r"^[^/]*/", ""))
+    apart = lambda other: ~F.contains(name, other) & ~F.contains(other, name)
+    return F.coalesce(stem.rlike(r"\d{5}") & ~stem.rlike(template) & (F.length(name) >= 6) & apart(full) & apart(tail), F.lit(False))
+
+
+def title_on_page(title: Column, page: Column, share: float = 0.6, run: int = 4) -> Column:
+    """[P51] Whether a page shows a title: enough of its words, and four of them in a row; titles of fewer words need the words only."""
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
+    t, p = words(title), words(page)
+    text = F.array_join(p, " ")
+    inrow = F.exists(F.sequence(F.lit(1), F.greatest(F.size(t) - run + 1, F.lit(1))), lambda i: F.contains(text, F.array_join(F.slice(t, i, run), " ")))
+    return F.coalesce((F.size(t) > 0) & (overlap(F.array_distinct(t), p) >= share) & ((F.size(t) < run) | inrow), F.lit(False))
+
+
+def pdf_bytes(c: Column) -> Column:
+    """Whether a file's first 1,024 bytes hold the mark of a PDF."""
+    return F.contains(F.substring(c, 1, 1024), F.lit(b"%PDF-"))
+
+
+# Marks of the styles of citing.
+BRACKET = r"\[(\d{1,3}(?:\s*[,;–-]\s*\d{1,3})*)\]"
+PAREN = r"\((\d{1,3}(?:\s*[,;–-]\s*\d{1,3})*)\)"
+SUPER = r"[a-zÀ-ɏ]{3,}[.,;:)]\s?(\d{1,3}(?:[,;–-]\d{1,3})*)(?=[\s–]|$)"
+SUPER_LOOSE = r"[a-zÀ-ɏ]{4,}(\d{1,3}(?:[,;–-]\d{1,3})*)(?=[\s.,;:)]|$)"
+# Words that a number may follow without being a mark.
+UNITS = "nm|cm|mm|km|mol|kj|kcal|ev|hz|ps|ns|fs|ms|kda|da|mpa|gpa|fig|figure|table|eq|equation|ref|chapter|section|no|vol|type|group|level|phase|mode|state|form|step|case|class|model|run|set|site|sample|series|region|zone|layer|stage|part|line|row|column|point|page|chain|atom|residue|loop"
+
+
+def loose_marks(c: Column) -> Column:
+    """Numbers that stand right behind a word, as raised marks do, but for those behind a unit or the name of a figure, table or the like."""
+    found = F.regexp_extract_all(c, F.lit("(" + SUPER_LOOSE + ")"), 1)
+    kept = F.filter(found, lambda m: ~F.regexp_extract(m, r"^([^\d]+)", 1).rlike(f"(?:{UNITS})$"))
+    return F.transform(kept, lambda m: F.regexp_extract(m, r"(\d.*)$", 1))
 
 
 def single_url(c: Column) -> Column:
@@ -192,8 +372,10 @@ def author_list(authors: Column) -> Column:
 
 
 def failure_kind(c: Column) -> Column:
-    """[P47] Interrupted before network before auth before other."""
-    return F.when(c.rlike("(?i)interrupt|cancel"), "interrupted").when(c.rlike("(?i)timeout|timed out|connection|unreachable|network"), "network").when(c.rlike("(?i)403|401|forbidden|unauthor|key"), "auth").otherwise("other")
+    """[P47] Interrupted before network before auth before other, by fixed phrases."""
+    said = F.lower(c)
+    has = lambda phrases: F.coalesce(F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(said, p)), F.lit(False))
+    return F.when(has(INTERRUPTED), "interrupted").when(has(NETWORK), "network").when(has(AUTH), "auth").otherwise("other")
 
 
 def described(author: Column, year: Column, title: Column, journal: Column) -> Column:
@@ -202,5 +384,26 @@ def described(author: Column, year: Column, title: Column, journal: Column) -> C
 
 
 def outward(c: Column) -> Column:
-    """[P49] Whether a reference points outward: a venue's word or volume and page."""
-    return c.rlike(r"(?i)\b(journal|review|proc|trans|lett|bull|ann|arch)") | c.rlike(r"\d+\s*[:,(]\s*\d+")
+    """[P49] Whether a reference points outward: a venue's or publisher's word, or volume and pages."""
+    return c.rlike(VENUE) | c.rlike(VOLUME_PAGES)
+
+
+def authored(c: Column) -> Column:
+    """[P49] Whether a text has a name with initials in the shape of a bibliography's author."""
+    return c.rlike(AUTHOR)
+
+
+def glued(c: Column) -> Column:
+    """[P49] Whether an entry of 80 characters or more holds two references run together: a label inside, or two years and two spans of pages."""
+    years = F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(1[89]\d{2}|20\d{2})\b"), 1)))
+    return (F.length(c) >= 80) & (F.substring(c, 21, 1 << 30).rlike(r"\S\s*[\[(]\s*\d{1,3}\s*[\])l]\s*[A-Z]") | ((years >= 2) & (F.regexp_count(c, F.lit(VOLUME_PAGES)) >= 2)))
+
+
+# Fixed value: a mark of author and year in parentheses.
+AUTHOR_YEAR = r"\([^()]{0,80}?[A-Za-z]{3,}[^()]{0,40}?(?:19|20)\d{2}[a-z]?\)"
+
+
+def cites_by_name(c: Column) -> Column:
+    """[F8] Whether a text cites by author and year: at least eight such marks, and more than numbers of any one style."""
+    named = F.regexp_count(c, F.lit(AUTHOR_YEAR))
+    return (named >= 8) & (named > F.greatest(*[F.regexp_count(c, F.lit(r)) for r in (BRACKET, PAREN, SUPER)]))

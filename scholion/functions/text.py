@@ -40,6 +40,29 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, src + drop, dst), r"[\p{M}\p{Cf}]+", "")
 
 
+@lru_cache(maxsize=1)
+def plain_letters() -> tuple[str, str]:
+    """Characters whose compatibility form, marks left out, is one other character; and that one. From the Unicode data."""
+    src, dst = [], []
+    for n in [*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2100), *range(0x2100, 0x2190), *range(0xFF01, 0xFF5F)]:
+        t = "".join(x for x in unicodedata.normalize("NFKD", chr(n)) if not unicodedata.combining(x))
+        if len(t) == 1 and t != chr(n):
+            src.append(chr(n))
+            dst.append(t)
+    return "".join(src), "".join(dst)
+
+
+# Ligatures and their letters.
+LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+
+
+def deaccent(c: Column) -> Column:
+    """[P5] Without accents and in compatibility forms; look-alike letters of other scripts stay."""
+    for a, b in LIGATURES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.translate(c, *plain_letters()), r"\p{M}+", "")
+
+
 def plain_title(c: Column) -> Column:
     """A title's words in lower case, single spaces between: without markup, accents and punctuation."""
     c = F.regexp_replace(F.regexp_replace(c, "&amp;", "&"), r"<\s*/?\s*\p{L}{1,6}\s*/?>|\\(?:emph|text\p{L}*|math\p{L}*)\b", "")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scholion.functions.scalars import authored, outward
+from scholion.session import checkpoint
+
 # -- keys and ids -----------------------------------------------------------
 
 
@@ -13,14 +16,15 @@ def minted_keys(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """[W7, Q18] Keys for new documents (``id``, ``base``, ``created``) beside those in ``taken`` (``key``).
 
     The first of a base gets it bare if free, the next a, b, ... by (created,
-    id); after z follow two letters. A minted key that is taken, or that another base mints too,
+    id); after z follow two letters, then three and so on. A minted key that is taken, or that another base mints too,
     moves on past everything the base holds. Ids keep the key they once had.
     """
     # What a base can't mint: taken keys and other bases that read as it with a suffix.
     bases = docs.select("base").distinct()
-    stripped = lambda n: F.when(F.col("key").rlike(f"[a-z]{{{n}}}$"), F.expr(f"left(key, length(key) - {n})"))
+    # A key's bases: what is left of it with any number of its last small letters gone.
+    stripped = F.transform(F.sequence(F.lit(0), F.length(F.regexp_extract("key", "([a-z]*)$", 1))), lambda n: F.substring("key", F.lit(1), F.length("key") - n))
     barred = taken.select("key").unionByName(bases.select(F.col("base").alias("key"))).distinct()
-    used = barred.select("key", F.explode(F.array_compact(F.array("key", stripped(1), stripped(2)))).alias("base")).join(bases, "base", "left_semi")
+    used = barred.select("key", F.explode(stripped).alias("base")).join(bases, "base", "left_semi")
     w = Window.partitionBy("base").orderBy("created", "id")
     ranked = docs.withColumn("n", F.row_number().over(w) - 1)
     # Free suffixes of a base: as many candidates as it needs and holds, less the taken ones, in order.
@@ -33,8 +37,9 @@ def minted_keys(docs: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def suffix(k: Column) -> Column:
-    """'' for 0, then a to z, then aa, ab, ..."""
-    return F.when(k == 0, "").when(k <= 26, F.chr(k + 96)).otherwise(F.concat(F.chr(F.floor((k - 27) / 26) + 97), F.chr((k - 27) % 26 + 97)))
+    """'' for 0, then a to z, then aa, ab, ..., with as many letters as it takes."""
+    one = lambda acc: F.when(acc["rest"] > 0, F.struct(F.floor((acc["rest"] - 1) / 26).alias("rest"), F.concat(F.chr((acc["rest"] - 1) % 26 + 97), acc["text"]).alias("text"))).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(13)), F.struct(k.cast("bigint").alias("rest"), F.lit("").alias("text")), lambda acc, _: one(acc), lambda acc: acc["text"])
 
 
 def stems(files: DataFrame) -> DataFrame:
@@ -207,16 +212,22 @@ def quartile_at(rows: DataFrame, part: str, value: str) -> DataFrame:
 # -- text gates --------------------------------------------------------------
 
 
+def folded_line(c: Column) -> Column:
+    """A line as it is compared over pages: lower case, single spaces."""
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
 def boilerplate(lines: DataFrame, doc: str, page: str, line: str, share: float = 0.6, floor: int = 3) -> DataFrame:
-    """[A15] Lines on at least ``max(floor, share of pages)`` pages of a document of three pages or more."""
-    on = lines.where(F.trim(line) != "").groupBy(doc, line).agg(F.count_distinct(page).alias("pages"))
+    """[A15] Lines, compared without case and spacing, on at least ``max(floor, share of pages)`` pages of a document of three pages or more."""
+    on = lines.select(doc, page, folded_line(F.col(line)).alias(line)).where(F.col(line) != "").groupBy(doc, line).agg(F.count_distinct(page).alias("pages"))
     n = lines.groupBy(doc).agg(F.count_distinct(page).alias("of"))
     return on.join(n, doc).where((F.col("of") >= 3) & (F.col("pages") >= F.greatest(F.lit(floor), F.floor(F.col("of") * share))))
 
 
 def content_share(lines: DataFrame, doc: str, page: str, line: str, least: int = 80) -> DataFrame:
     """[A15, A16] Share of a document's pages with ``least`` characters that aren't boilerplate, and a verdict."""
-    kept = lines.join(boilerplate(lines, doc, page, line).select(doc, line), [doc, line], "left_anti")
+    stamps = boilerplate(lines, doc, page, line).select(doc, F.col(line).alias("folded"))
+    kept = lines.withColumn("folded", folded_line(F.col(line))).join(stamps, [doc, "folded"], "left_anti")
     sizes = kept.groupBy(doc, page).agg(F.sum(F.length(F.trim(line))).alias("chars"))
     every = lines.select(doc, page).distinct().join(sizes, [doc, page], "left").na.fill(0, ["chars"])
     out = every.groupBy(doc).agg(F.avg((F.col("chars") >= least).cast("double")).alias("text_share"), F.count(F.lit(1)).alias("pages"))
@@ -224,11 +235,25 @@ def content_share(lines: DataFrame, doc: str, page: str, line: str, least: int =
 
 
 def list_gate(refs: DataFrame) -> DataFrame:
-    """Verdict over a parsed list per paper, in the order of the checks; refs have ``src_key``, ``author``, ``raw``, ``n`` (label)."""
-    pointing = F.col("raw").rlike(r"(?i)\b(journal|review|proc|trans|lett|bull|ann|arch)") | F.col("raw").rlike(r"\d+\s*[:,(]\s*\d+")
-    size = F.length(F.coalesce("raw", F.lit("")))
-    g = refs.groupBy("src_key").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("author").isNotNull().cast("double")).alias("named"), F.avg(F.coalesce(pointing, F.lit(False)).cast("double")).alias("outward"), F.max("n").alias("top"))
-    g = g.join(quartile_at(refs.select("src_key", size.alias("size")), "src_key", "size"), "src_key")
+    """Verdict over a parsed list per paper, in the order of the checks; refs have ``src_key``, ``raw``, ``n`` (place) and ``label``.
+
+    Up to three entries at the head that are labelled 0, or don't read as a
+    reference that names its author and points outward, are trimmed while more
+    than eight are left. ``named`` looks at the first 60 characters.
+    """
+    raw = F.coalesce("raw", F.lit(""))
+    named, pointing = authored(F.left(raw, F.lit(60))), outward(raw)
+    x = refs.select("src_key", F.struct("n", raw.alias("raw")).alias("at"), "label", F.length(raw).alias("size"), named.alias("named"), pointing.alias("pointing"), (F.coalesce(F.col("label") == "0", F.lit(False)) | ~(named & pointing)).alias("junk"))
+    # The first three of each list; the limit is applied before the shuffle too.
+    first = x.select("src_key", "at", "junk", F.row_number().over(Window.partitionBy("src_key").orderBy("at")).alias("k")).where("k <= 3")
+    total = x.groupBy("src_key").agg(F.count(F.lit(1)).alias("total")).join(first.groupBy("src_key").agg(F.array_sort(F.collect_list(F.struct("k", "at", "junk"))).alias("head")), "src_key")
+    run = lambda k: F.forall(F.slice("head", 1, k), lambda h: h["junk"]) & (F.col("total") > 8 + k - 1)
+    heads = total.select("src_key", "head", F.when(run(3), 3).when(run(2), 2).when(run(1), 1).otherwise(0).alias("trimmed"))
+    heads = heads.select("src_key", "trimmed", F.try_element_at("head", F.nullif("trimmed", F.lit(0)))["at"].alias("last"))
+    kept = x.join(heads, "src_key").where(F.col("last").isNull() | (F.col("at") > F.col("last")))
+    label = F.expr("try_cast(regexp_extract(label, '^([0-9]+)$', 1) as int)")
+    g = kept.groupBy("src_key").agg(F.count(F.lit(1)).alias("n"), F.max("trimmed").alias("trimmed"), F.avg(F.col("named").cast("double")).alias("named"), F.avg(F.col("pointing").cast("double")).alias("outward"), F.coalesce(F.max(label), F.lit(0)).alias("top"))
+    g = g.join(quartile_at(kept.select("src_key", "size"), "src_key", "size"), "src_key")
     return g.withColumn("verdict", F.when(F.col("named") < 0.55, "unnamed").when(F.col("outward") < 0.65, "inward").when(F.col("q1") > 450, "paragraphs").when(F.col("top") > 8 * F.col("n"), "labels").otherwise("sound"))
 
 
@@ -281,14 +306,37 @@ def without_self(edges: DataFrame) -> DataFrame:
     return edges.withColumn("match", F.when(F.col("match") != F.col("src_key"), F.col("match")))
 
 
-def folder_paths(folders: DataFrame, depth: int = 8) -> DataFrame:
-    """[D14, K4, S5] Full path of every folder (``id``, ``name``, ``parent_id``); a chain deeper than ``depth`` or a loop is cut off there."""
-    paths = folders.where("parent_id is null").select("id", F.col("name").alias("path"))
-    level = paths
-    for _ in range(depth):
-        level = folders.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat_ws("/", "path", "name").alias("path"))
-        paths = paths.unionByName(level)
-    return paths
+def folder_paths(folders: DataFrame) -> DataFrame:
+    """[D14] Full path of every folder (``id``, ``name``, ``parent_id``), however deep: (``id``, ``path``, ``verdict``).
+
+    Level by level, each joined once with the folders below it. Folders that no
+    root leads to have no path: ``orphan`` where a chain ends in a parent that
+    isn't there, else ``loop``.
+    """
+
+    def downward(level: DataFrame) -> DataFrame:
+        every = level
+        while True:
+            level = checkpoint(folders.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat_ws("/", "path", "name").alias("path")))
+            if not level.limit(1).count():
+                return every
+            every = every.unionByName(level)
+
+    paths = downward(folders.where("parent_id is null").select("id", F.col("name").alias("path")))
+    lost = folders.join(paths.select("id"), "id", "left_anti")
+    headless = downward(lost.join(folders.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id", F.lit("").alias("path"))).select("id", F.lit("orphan").alias("verdict"))
+    stray = lost.select("id").join(headless, "id", "left").select("id", F.lit(None).cast("string").alias("path"), F.coalesce("verdict", F.lit("loop")).alias("verdict"))
+    return paths.withColumn("verdict", F.lit("ok")).unionByName(stray)
+
+
+def folder_members(folders: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
+    """[K4, S5, J20] Every path with the sorted keys of its documents: (``path``, ``keys``).
+
+    ``members``: (``folder_id``, ``doc_id``); ``keys``: (``doc_id``, ``citekey``). Documents
+    without a key are left out, folders without documents stay, with none.
+    """
+    known = members.join(keys, "doc_id").groupBy(F.col("folder_id").alias("id")).agg(F.array_sort(F.collect_set("citekey")).alias("keys"))
+    return folder_paths(folders).where("verdict = 'ok'").join(known, "id", "left").groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("keys", F.array().cast("array<string>")))))).alias("keys"))
 
 
 def placed_files(files: DataFrame, attachments: DataFrame) -> DataFrame:

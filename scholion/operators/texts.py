@@ -6,17 +6,21 @@ import difflib
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholion.session import spread
 
-# Quotation marks and dashes that count as one another in quotes.
-_QUOTES = str.maketrans({**dict.fromkeys("‘’‚‛′`´", "'"), **dict.fromkeys("“”„‟″«»", '"'), **dict.fromkeys("‐‑‒–—―−", "-"), "­": None})
+# Marks that count as one another in quotes, and characters that take no part in them.
+_MARKS = str.maketrans({**dict.fromkeys("‘’", "'"), **dict.fromkeys("“”", '"'), **dict.fromkeys("–—−", "-")})
+_SILENT = regex.compile(r"(?V1)[\p{Cc}\p{Cf}\p{Co}--\s]+")
 # Headings under which papers list their references.
 _HEADS = re.compile(r"^\W{0,4}(?:\d+\.?\s+)?(?:references(?: and notes)?|bibliography|literature cited|works cited|literatur(?:verzeichnis)?|références)\W{0,4}$", re.I)
 
@@ -32,24 +36,47 @@ def _mapped(f, kind: T.DataType):
 
 
 def plain_quote(text: str) -> str:
-    """[P21] A quote for comparing: compatibility forms, one kind of marks and dashes, no control characters, lower case, single spaces."""
-    text = unicodedata.normalize("NFKC", text).translate(_QUOTES)
-    text = "".join(c for c in text if c.isspace() or unicodedata.category(c) not in ("Cc", "Cf", "Co"))
-    return re.sub(r"\s+", " ", text).strip().lower()
+    """[P21] A quote for comparing: compatibility forms, one kind of marks and dashes, nothing unseen, lower case, single spaces."""
+    return " ".join(_SILENT.sub("", unicodedata.normalize("NFKC", text)).translate(_MARKS).lower().split())
 
 
-def rotated(text: str, least: int = 600, read: int = 8000) -> bool:
-    """[P27] Whether prose was shifted along the alphabet: one of 25 shifts back holds far more common fragments than the text itself."""
-    t = text[:read].lower()
-    letters = [c for c in t if "a" <= c <= "z"]
-    if len(t) < least or not letters:
-        return False
-    counts = sorted((letters.count(c) for c in set(letters)), reverse=True)
-    if sum(counts[:4]) >= 0.55 * len(letters):
+# Fragments that are common in prose, and the thresholds that belong to them.
+FRAGMENTS = ("the", "and", "tion", "ing", "of", "that", "with", "for", "are", "was", "this", "ment", "ally")
+SHIFT_LEAST, SHIFT_READ, SHIFT_FLOOR, SHIFT_RATIO, SEQUENCE_TOP4 = 600, 8000, 12, 4.0, 0.55
+
+
+def shift_counts(text: str) -> np.ndarray:
+    """How many common fragments a text holds under each of the 26 shifts along the alphabet.
+
+    A fragment that was shifted keeps the steps between its letters, so one pass
+    over the letters finds it under every shift: where all its letters are off by
+    the same number, that number is the shift.
+    """
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64) - ord("a")
+    letter = (codes >= 0) & (codes < 26)
+    found = np.zeros(26, dtype=np.int64)
+    for f in FRAGMENTS:
+        n = len(codes) - len(f) + 1
+        if n <= 0:
+            continue
+        off = [np.where(letter[i : i + n], (codes[i : i + n] - (ord(c) - ord("a"))) % 26, -1 - i) for i, c in enumerate(f)]
+        same = np.logical_and.reduce([o == off[0] for o in off[1:]])
+        found += np.bincount(off[0][same & (off[0] >= 0)], minlength=26)
+    return found
+
+
+def rotated(text: str) -> bool:
+    """[P27] Whether prose was shifted along the alphabet: a shift holds far more common fragments than the text itself.
+
+    The first characters decide, as a page is shifted as a whole; sequences that
+    four letters nearly make up aren't prose.
+    """
+    read = text[:SHIFT_READ]
+    letters = Counter(c for c in read.lower() if c.isalpha())
+    if len(text) < SHIFT_LEAST or sum(n for _, n in letters.most_common(4)) >= SEQUENCE_TOP4 * max(1, letters.total()):
         return False
-    score = lambda x: sum(x.count(f) for f in (" the ", " and ", " of ", " in ", "tion", "ing "))
-    shifts = [score(t.translate({ord("a") + i: ord("a") + (i + k) % 26 for i in range(26)})) for k in range(1, 26)]
-    return max(shifts) >= 12 and max(shifts) >= 4 * max(score(t), 1)
+    counts = shift_counts(read)
+    return bool(counts[1:].max() >= max(SHIFT_FLOOR, SHIFT_RATIO * max(counts[0], 1)))
 
 
 def find_span(raw: str, quote: str) -> str | None:
@@ -62,19 +89,23 @@ def find_span(raw: str, quote: str) -> str | None:
 
 
 def longest_chain(numbers: list[int], step: int = 5) -> list[int]:
-    """[W2] Places of the longest chain that climbs by 1 to ``step``, skipping what doesn't fit; the first of equals."""
-    best, back = [1] * len(numbers), [-1] * len(numbers)
-    for j, v in enumerate(numbers):
-        for i in range(j):
-            if 1 <= v - numbers[i] <= step and best[i] + 1 > best[j]:
-                best[j], back[j] = best[i] + 1, i
-    if not numbers:
-        return []
-    k, out = max(range(len(numbers)), key=lambda i: (best[i], -i)), []
-    while k >= 0:
-        out.append(k)
-        k = back[k]
-    return out[::-1]
+    """[W2] Places of the longest chain that climbs by 1 to ``step``, skipping what doesn't fit; the first of equals.
+
+    The best chain that ends in each value is all that later ones can build on,
+    so a number looks at ``step`` values and not at every number before it.
+    """
+    ends: dict[int, tuple[int, int]] = {}
+    before: dict[int, int] = {}
+    for place, v in enumerate(numbers):
+        length, at = max((ends[w] for w in range(v - step, v) if w in ends), default=(0, 0))
+        if length:
+            before[place] = -at
+        if v not in ends or length + 1 > ends[v][0]:
+            ends[v] = (length + 1, -place)
+    chain = [-max(ends.values())[1]] if ends else []
+    while chain and chain[-1] in before:
+        chain.append(before[chain[-1]])
+    return chain[::-1]
 
 
 def list_entries(text: str, floor: float = 0.35) -> list[tuple[int, str]]:
@@ -101,27 +132,35 @@ def reference_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
     return spread(texts.select(key, text)).mapInPandas(parse, f"{key} {kind}, label int, raw string")
 
 
-def compared_copies(files: DataFrame, ratio: float = 0.98) -> DataFrame:
-    """[J16, Q13] Files of one key compared with its first: (``key``, ``stem``, ``verdict``): first, equal, near or other.
+def copy_pairs(files: DataFrame, ratio: float = 0.98) -> DataFrame:
+    """[J16] Files of one key compared: (``key``, ``stem_a``, ``stem_b``, ``verdict``), ``stem_a`` the earlier.
 
-    ``files``: (``key``, ``stem``, ``text``). Each is compared with the key's first
-    file, not with all others, so a key with many files stays cheap.
+    Files of one text are a class, led by its first stem: every other member gives
+    one row ``equal`` with the leader. Leaders are compared with each other,
+    ``near`` or ``other``, so that no link between different texts is lost and
+    copies aren't expanded into all pairs. A null text is an empty one.
     """
-    from pyspark.sql.window import Window
+    alike = F.pandas_udf(lambda a, b: pd.Series([_ratio(x, y, ratio) for x, y in zip(a, b)]), T.DoubleType())
+    f = files.select("key", "stem", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    classes = f.groupBy("key", "h").agg(F.min("stem").alias("stem_a"))
+    equal = f.select("key", "stem", "h").join(classes, ["key", "h"]).where("stem <> stem_a").select("key", "stem_a", F.col("stem").alias("stem_b"), F.lit("equal").alias("verdict"))
+    leads = f.join(classes.select("key", F.col("stem_a").alias("stem")), ["key", "stem"], "left_semi").select("key", "stem", "text")
+    pairs = leads.select("key", F.col("stem").alias("stem_a"), F.col("text").alias("a")).join(leads.select("key", F.col("stem").alias("stem_b"), F.col("text").alias("b")), "key").where("stem_a < stem_b")
+    return equal.unionByName(pairs.select("key", "stem_a", "stem_b", F.when(alike("a", "b") >= ratio, "near").otherwise("other").alias("verdict")))
 
-    first = files.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("stem"))).where("n = 1").select("key", F.col("stem").alias("first"), F.col("text").alias("other"))
 
-    @F.pandas_udf(T.DoubleType())
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            m = difflib.SequenceMatcher(None, x, y)
-            return m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0
+def _ratio(a: str, b: str, least: float) -> float:
+    """Share of two texts that is common; 0 where cheap bounds show that it is below ``least``."""
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
 
-        return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
 
-    x = files.join(first, "key")
-    same = F.col("text").eqNullSafe(F.col("other"))
-    return x.select("key", "stem", F.when(F.col("stem") == F.col("first"), "first").when(same, "equal").when(alike("text", "other") >= ratio, "near").otherwise("other").alias("verdict"))
+def compared_copies(files: DataFrame, ratio: float = 0.98) -> DataFrame:
+    """[Q13] Every file of a key with the best it is to any earlier one: (``key``, ``stem``, ``verdict``): first, equal, near or other."""
+    rank = F.when(F.col("verdict") == "equal", 0).when(F.col("verdict") == "near", 1).otherwise(2)
+    best = copy_pairs(files, ratio).groupBy("key", F.col("stem_b").alias("stem")).agg(F.min(rank).alias("rank"))
+    told = F.when(F.col("rank").isNull(), "first").when(F.col("rank") == 0, "equal").when(F.col("rank") == 1, "near").otherwise("other")
+    return files.select("key", "stem").distinct().join(best, ["key", "stem"], "left").select("key", "stem", told.alias("verdict"))
 
 
 def located(quotes: DataFrame, pages: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scholion.functions import scalars as S
+from scholion.functions.text import LIGATURES, plain_letters
 from scholion.operators import ledger, library, texts
 from scholion.session import table
 
@@ -88,6 +89,32 @@ def a9_histogram(s, d):
 # -- scalars: one query a family, over whole columns --------------------------------
 
 
+def _sql_plain(c: str) -> str:
+    """SQL for :func:`scholion.functions.text.deaccent`."""
+    src, dst = (x.replace("'", "''") for x in plain_letters())
+    for a, b in LIGATURES:
+        c = f"replace({c}, '{a}', '{b}')"
+    return rf"regexp_replace(translate({c}, '{src}', '{dst}'), '\p{{M}}+', '', 'g')"
+
+
+def _sql_list(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _sql_ascii(c: str) -> str:
+    return rf"trim(regexp_replace(lower({_sql_plain(c)}), '[^a-z0-9 ]+', ' ', 'g'))"
+
+
+# The SQL engine's word boundaries know ASCII only, and it can't look ahead.
+_EDGE, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+_SQL_VENUE, _SQL_PAGES, _SQL_AUTHOR = S.VENUE.replace(r"\b", _EDGE, 1), _EDGE + S.VOLUME_PAGES[2:-2] + _END, S.AUTHOR.replace(r"\b(?![A-Z])", _END)
+_SQL_SURPLUS = "case when doi like '%{c}' and length(replace(doi, '{o}', '')) > length(replace(doi, '{c}', '')) then left(doi, length(doi) - 1) else doi end"
+_SQL_CLEAN = r"regexp_replace(@, '[.,;:]+$', '')"
+for _o, _c in (("(", ")"), ("[", "]")):
+    _SQL_CLEAN = f"(select {_SQL_SURPLUS.format(o=_o, c=_c)} from (select {_SQL_CLEAN} as doi))"
+_SQL_CLEAN = rf"regexp_replace({_SQL_CLEAN}, '[.,;:]+$', '')"
+
+
 def _scalar(name: str, source: str, key: str, made: dict[str, tuple[Callable[[], Column], str]], where: str | None = None) -> None:
     """A projection of a table: its key and the given columns, in Spark and in SQL."""
 
@@ -102,26 +129,32 @@ def _scalar(name: str, source: str, key: str, made: dict[str, tuple[Callable[[],
 
 _scalar("p1_p2_dois", "refs", "ref_id", {
     "normal": (lambda: S.doi_normal(F.col("doi")), r"nullif(regexp_replace(regexp_replace(lower(trim(doi)), '^(https?://(dx\.)?doi\.org/|doi:\s*)', ''), '[ .;,]+$', ''), '')"),
-    "clean": (lambda: F.regexp_replace("doi", r"[.,;:]+$", ""), r"regexp_replace(doi, '[.,;:]+$', '')"),
+    "clean": (lambda: S.doi_clean(F.col("doi")), _SQL_CLEAN.replace("@", "refs.doi")),
     "in_raw": (lambda: F.size(S.doi_find(F.coalesce("raw", F.lit("")))), r"len(regexp_extract_all(coalesce(raw, ''), '10\.\d{4,9}/[^\s\"<>]+'))"),
 })
 QUERIES["scalar_dois"], ORACLE["scalar_dois"] = QUERIES.pop("p1_p2_dois"), ORACLE.pop("p1_p2_dois")
 _scalar("scalar_titles", "refs", "ref_id", {
-    "key": (lambda: S.title_key(F.regexp_replace("title", r"[^\x20-\x7e]", "")), r"regexp_replace(lower(regexp_replace(title, '[^\x20-\x7e]', '', 'g')), '[^a-z0-9]+', '', 'g')"),
-    "words": (lambda: F.array_join(S.significant(F.col("title")), " "), r"array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 3 and w not in ('with', 'from', 'that', 'this', 'into', 'over', 'under', 'between', 'their', 'study', 'using', 'based')))), ' ')"),
+    "key": (lambda: S.title_key(F.col("title")), r"regexp_replace(lower(title), '[^\p{L}\p{N}]+', '', 'g')"),
+    "ascii": (lambda: S.title_ascii(F.col("title")), _sql_ascii("title")),
+    "ascii_key": (lambda: S.title_ascii_key(F.col("title")), rf"regexp_replace(lower({_sql_plain('title')}), '[^a-z0-9]+', '', 'g')"),
+    "words": (lambda: F.array_join(S.significant(F.col("title")), " "), f"array_to_string(list_sort(list_distinct(list_filter(string_split({_sql_ascii('title')}, ' '), lambda w: length(w) > 3 and w not in {_sql_list(S.LIGHT_WORDS)}))), ' ')"),
     "year_found": (lambda: S.year_first(F.col("year")), r"try_cast(nullif(regexp_extract(year, '(1[6-9]\d\d|20\d\d)', 1), '') as int)"),
-    "outward": (lambda: S.outward(F.col("raw")), r"regexp_matches(raw, '(?i)\b(journal|review|proc|trans|lett|bull|ann|arch)') or regexp_matches(raw, '\d+\s*[:,(]\s*\d+')"),
+    "outward": (lambda: S.outward(F.col("raw")), f"regexp_matches(raw, '{_SQL_VENUE}') or regexp_matches(raw, '{_SQL_PAGES}')"),
+    "authored": (lambda: S.authored(F.left("raw", F.lit(60))), f"regexp_matches(left(raw, 60), '{_SQL_AUTHOR}')"),
+    "pmid": (lambda: S.pmid_of(F.col("raw")), r"nullif(regexp_extract(raw, '(?i)\bPMID:\s*(\d+)', 1), '')"),
+    "first_name_of": (lambda: S.bib_author(F.col("author")), r"nullif(trim(case when contains(trim(split_part(author, ' and ', 1)), ',') then split_part(trim(split_part(author, ' and ', 1)), ',', 1) else regexp_extract(trim(split_part(author, ' and ', 1)), '(\S+)$', 1) end), '')"),
     "one_line": (lambda: S.described(F.col("author"), F.col("year"), F.col("title"), F.col("journal")), "concat_ws(' ', author, '(' || year || ')', title, journal)"),
 })
 _scalar("scalar_keys", "entries", "entry_id", {
-    "name_part": (lambda: S.key_name(F.col("surname")), r"coalesce(nullif(case when upper(regexp_replace(surname, '[^A-Za-z]', '', 'g')) = regexp_replace(surname, '[^A-Za-z]', '', 'g') then regexp_replace(surname, '[^A-Za-z]', '', 'g') else upper(left(regexp_replace(surname, '[^A-Za-z]', '', 'g'), 1)) || lower(substr(regexp_replace(surname, '[^A-Za-z]', '', 'g'), 2)) end, ''), 'Anon')"),
-    "word_part": (lambda: S.key_word(F.col("title")), r"coalesce(upper(left(w, 1)) || substr(w, 2), 'Untitled')"),
-    "surname_cited": (lambda: F.when(F.col("surname").isNotNull(), S.cited_surname(F.regexp_replace("surname", r"[^\x20-\x7e]", "x"))), r"if(surname is null, null, list_reduce(list_prepend('', regexp_extract_all(regexp_replace(surname, '[^\x20-\x7e]', 'x', 'g'), '[A-Z][A-Za-z''-]+')), lambda a, b: case when length(b) > length(a) then b else a end))"),
+    "name_part": (lambda: S.key_name(S.first_person(F.col("authors"))), "coalesce(nullif(case when upper(an) = an then an else upper(left(an, 1)) || lower(substr(an, 2)) end, ''), 'Anon')"),
+    "word_part": (lambda: S.key_word(F.col("title")), r"coalesce(upper(left(w, 1)) || lower(substr(w, 2)), 'Untitled')"),
+    "surname_cited": (lambda: F.when(F.col("surname").isNotNull(), S.cited_surname(F.col("surname"))), r"if(surname is null, null, list_reduce(list_prepend('', regexp_extract_all(surname, '[A-Z][A-Za-z''-]+')), lambda a, b: case when length(b) > length(a) then b else a end))"),
     "backend": (lambda: S.backend_of(F.col("qid")), "case when regexp_extract(qid, '^([a-z]+):', 1) = '' then 'zotero' when regexp_extract(qid, '^([a-z]+):', 1) in ('zotero', 'mendeley') then regexp_extract(qid, '^([a-z]+):', 1) end"),
     "local": (lambda: S.local_id(F.col("qid")), "regexp_replace(qid, '^(zotero|mendeley):', '')"),
     "page_no": (lambda: S.folio(F.col("firstpage")), r"try_cast(case when regexp_matches(firstpage, '^\d+-\d+$') then regexp_extract(firstpage, '-(\d+)$', 1) when regexp_matches(firstpage, '^[A-Z]?\d+$') then regexp_extract(firstpage, '(\d+)$', 1) end as int)"),
 })
-ORACLE["scalar_keys"] = ORACLE["scalar_keys"].replace(" from entries", r" from (select *, coalesce(list_filter(ws, lambda x: length(x) > 2 and x not in ('a', 'an', 'the', 'on', 'of', 'in', 'for', 'and', 'to', 'with', 'from', 'by', 'at', 'how', 'is', 'are', 'der', 'die', 'das'))[1], ws[1]) as w from (select *, list_filter(string_split(regexp_replace(lower(title), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from entries))")
+_SQL_PERSON = "coalesce(nullif(trim(authors[1].last_name), ''), nullif(trim(authors[1].name), ''), nullif(trim(authors[1].first_name), ''))"
+ORACLE["scalar_keys"] = ORACLE["scalar_keys"].replace(" from entries", f" from (select *, coalesce(list_filter(ws, lambda x: length(x) > 2 and lower(x) not in {_sql_list(S.KEY_SKIP)})[1], ws[1]) as w, regexp_replace({_sql_plain(_SQL_PERSON)}, '[^A-Za-z]', '', 'g') as an from (select *, list_filter(string_split(regexp_replace({_sql_plain('title')}, '[^A-Za-z]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from entries))")
 _scalar("scalar_texts", "documents", "doc_id", {
     "squeezed": (lambda: F.md5(S.squeeze(F.col("text"))), r"md5(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')))"),
     "untagged": (lambda: F.md5(S.without_tags(F.col("text"))), r"md5(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g')))"),
@@ -316,13 +349,28 @@ def j12_placed(s, d):
     return library.placed_files(files, a.select(F.col("parent_qid").alias("doc"), F.col("att_key").alias("att"), F.when(F.col("ord") > 1, F.col("filename")).alias("filename"), ext))
 
 
-@query("d14_paths", "with recursive p as (select r_regionkey as id, r_name as path, -1 as up from region where false union all select 1, '', 0 where false) select 1000 + n_nationkey as id, r_name || '/' || n_name as path from nation join region on n_regionkey = r_regionkey union all select r_regionkey, r_name from region")
+def _folders(s: SparkSession, d: str) -> DataFrame:
+    """Regions over nations over suppliers, as folders; one loop and one orphan beside them."""
+    r = table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("int").alias("parent_id"))
+    n = table(s, d, "nation").select((1000 + F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent_id"))
+    p = table(s, d, "supplier").select((10000 + F.col("s_suppkey")).cast("int").alias("id"), F.col("s_name").alias("name"), (1000 + F.col("s_nationkey")).alias("parent_id"))
+    return r.unionByName(n).unionByName(p).unionByName(s.createDataFrame([(-1, "a", -2), (-2, "b", -1), (-3, "c", -9)], "id int, name string, parent_id int"))
+
+
+_PATHS_SQL = "f as (select r_regionkey as id, r_name as name, null::int as parent_id from region union all select 1000 + n_nationkey, n_name, n_regionkey from nation union all select (10000 + s_suppkey)::int, s_name, 1000 + s_nationkey from supplier), p as (select id, name as path, 'ok' as verdict from f where parent_id is null union all select f.id, p.path || '/' || f.name, 'ok' from f join p on f.parent_id = p.id)"
+
+
+@query("d14_paths", f"with recursive {_PATHS_SQL} select * from p union all select * from (values (-1, null, 'loop'), (-2, null, 'loop'), (-3, null, 'orphan'))")
 def d14_paths(s, d):
-    folders = table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("int").alias("parent_id")).unionByName(table(s, d, "nation").select((1000 + F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent_id")))
-    return library.folder_paths(folders)
+    return library.folder_paths(_folders(s, d))
 
 
-ORACLE["d14_paths"] = "select 1000 + n_nationkey as id, r_name || '/' || n_name as path from nation join region on n_regionkey = r_regionkey union all select r_regionkey, r_name from region"
+@query("k4_folders", f"with recursive {_PATHS_SQL}, m as (select 1000 + c_nationkey as id, list_sort(list(distinct c_mktsegment)) as ks from customer where c_mktsegment <> 'BUILDING' group by 1) select path, array_to_string(coalesce(ks, []), ' ') as \"keys\" from p left join m using (id)")
+def k4_folders(s, d):
+    c = table(s, d, "customer")
+    members = c.select((1000 + F.col("c_nationkey")).alias("folder_id"), F.col("c_custkey").alias("doc_id"))
+    keys = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("citekey"))
+    return library.folder_members(_folders(s, d), members, keys).select("path", F.array_join("keys", " ").alias("keys"))
 
 
 @query("a18_inventory", "select md5, count(*) as files, count(distinct parent_qid) as parents, min(att_key) as first_file from attachments where md5 is not null group by 1 having count(*) > 1")
@@ -393,7 +441,7 @@ def _page_lines(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "raw_pages").select("doc", "page", F.explode(F.split("text", "\n")).alias("line"))
 
 
-_LINES = "l as (select doc, page, unnest(string_split(text, chr(10))) as line from raw_pages), t as (select doc, count(distinct page) as n from l group by 1), b as (select doc, line, count(distinct page) as pages from l where trim(line) <> '' group by 1, 2), bp as (select doc, line, pages, n as \"of\" from b join t using (doc) where n >= 3 and pages >= greatest(3, floor(n * 0.6)))"
+_LINES = "l as (select doc, page, unnest(string_split(text, chr(10))) as line from raw_pages), t as (select doc, count(distinct page) as n from l group by 1), f as (select doc, page, line, lower(trim(regexp_replace(line, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) as folded from l), b as (select doc, folded as line, count(distinct page) as pages from f where folded <> '' group by 1, 2), bp as (select doc, line, pages, n as \"of\" from b join t using (doc) where n >= 3 and pages >= greatest(3, floor(n * 0.6)))"
 
 
 @query("a15_boilerplate", f"with {_LINES} select doc, line, pages, \"of\" from bp")
@@ -401,14 +449,17 @@ def a15_boilerplate(s, d):
     return library.boilerplate(_page_lines(s, d), "doc", "page", "line")
 
 
-@query("a16_content", f"with {_LINES}, k as (select doc, page, sum(length(trim(line))) as chars from l where not exists (select 1 from bp where bp.doc = l.doc and bp.line = l.line) group by 1, 2), e as (select distinct doc, page from l) select doc, avg((coalesce(chars, 0) >= 80)::int::double) as text_share, count(*) as pages, case when avg((coalesce(chars, 0) >= 80)::int::double) < 0.5 then 'thin' else 'text' end as verdict from e left join k using (doc, page) group by 1")
+@query("a16_content", f"with {_LINES}, k as (select doc, page, sum(length(trim(line))) as chars from f where not exists (select 1 from bp where bp.doc = f.doc and bp.line = f.folded) group by 1, 2), e as (select distinct doc, page from l) select doc, avg((coalesce(chars, 0) >= 80)::int::double) as text_share, count(*) as pages, case when avg((coalesce(chars, 0) >= 80)::int::double) < 0.5 then 'thin' else 'text' end as verdict from e left join k using (doc, page) group by 1")
 def a16_content(s, d):
     return library.content_share(_page_lines(s, d), "doc", "page", "line")
 
 
-@query("f11_gate", r"with g as (select src_key, count(*) as n, avg((author is not null)::int::double) as named, avg(coalesce(regexp_matches(raw, '(?i)\b(journal|review|proc|trans|lett|bull|ann|arch)') or regexp_matches(raw, '\d+\s*[:,(]\s*\d+'), false)::int::double) as outward, max(ord) as top, list_sort(list(length(coalesce(raw, ''))))[(count(*) // 4 + 1)::int] as q1 from refs group by 1) select src_key, n, q1, case when named < 0.55 then 'unnamed' when outward < 0.65 then 'inward' when q1 > 450 then 'paragraphs' when top > 8 * n then 'labels' else 'sound' end as verdict from g")
+_GATE_SQL = f"x as (select src_key, ord as n, label, coalesce(raw, '') as raw, regexp_matches(left(coalesce(raw, ''), 60), '{_SQL_AUTHOR}') as named, regexp_matches(coalesce(raw, ''), '{_SQL_VENUE}') or regexp_matches(coalesce(raw, ''), '{_SQL_PAGES}') as pointing from refs), j as (select *, coalesce(label = '0', false) or not (named and pointing) as junk, row_number() over (partition by src_key order by n, raw) as k, count(*) over (partition by src_key) as total from x), h as (select src_key, any_value(total) as total, list(junk order by k) filter (where k <= 3) as hs, list({{'n': n, 'raw': raw}} order by k) filter (where k <= 3) as ps from j group by 1), t as (select src_key, ps, case when total > 10 and hs[1] and hs[2] and hs[3] then 3 when total > 9 and hs[1] and hs[2] then 2 when total > 8 and hs[1] then 1 else 0 end as trimmed from h), kept as (select j.*, trimmed from j join t using (src_key) where trimmed = 0 or {{'n': n, 'raw': raw}} > ps[trimmed]), g as (select src_key, count(*) as n, max(trimmed) as trimmed, avg(named::int::double) as named, avg(pointing::int::double) as outward, coalesce(max(try_cast(regexp_extract(label, '^([0-9]+)$', 1) as int)), 0) as top, list_sort(list(length(raw)))[(count(*) // 4 + 1)::int] as q1 from kept group by 1)"
+
+
+@query("f11_gate", f"with {_GATE_SQL} select src_key, n, trimmed, q1, top, case when named < 0.55 then 'unnamed' when outward < 0.65 then 'inward' when q1 > 450 then 'paragraphs' when top > 8 * n then 'labels' else 'sound' end as verdict from g")
 def f11_gate(s, d):
-    return library.list_gate(table(s, d, "refs").select("src_key", "author", "raw", F.col("ord").alias("n"))).select("src_key", "n", "q1", "verdict")
+    return library.list_gate(table(s, d, "refs").select("src_key", "label", "raw", F.col("ord").alias("n"))).select("src_key", "n", "trimmed", "q1", "top", "verdict")
 
 
 _ACC = "'Taken from PDB entries ' || (1 + p_partkey % 9) || upper(chr((97 + p_size % 26)::int)) || 'x7, 2' || upper(chr((97 + p_partkey % 26)::int)) || 'b3 and 1999 of brand ' || p_brand"
@@ -447,10 +498,12 @@ def q4_verdicts(s, d):
     return library.ordinal_rates(marks, refs)
 
 
-@query("p47_failures", "select event_id, case when event_type = 'error' and value > 50 then 'network' when event_type = 'error' then 'auth' else 'other' end as kind from events")
+_SAID = ("Could not reach https://host/keys: 403", "HTTP 401", "KeyboardInterrupt", "ReadTimeout after 30 s", "KeyError: 'x'", "network cable", None)
+
+
+@query("p47_failures", "select event_id, case event_id % 7 when 0 then 'network' when 1 then 'auth' when 2 then 'interrupted' when 3 then 'network' else 'other' end as kind from events")
 def p47_failures(s, d):
-    said = F.when((F.col("event_type") == "error") & (F.col("value") > 50), "HTTP timed out, key kept").when(F.col("event_type") == "error", "403 Forbidden").otherwise("fine")
-    return table(s, d, "events").select("event_id", S.failure_kind(said).alias("kind"))
+    return table(s, d, "events").select("event_id", S.failure_kind(F.element_at(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 7 + 1).cast("int"))).alias("kind"))
 
 
 @query("props_json", "select event_id, try_cast(json_extract_string(props, '$.k') as int) as k from events")
