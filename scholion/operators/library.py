@@ -184,7 +184,7 @@ def next_starts(rows: DataFrame, part: str, pos: str, end: Column) -> DataFrame:
 
 def offset_votes(pages: DataFrame, part: str, offset: str, page: str, share: float = 0.6, floor: int = 3) -> DataFrame:
     """[A12] Plurality offset of a document: one vote a page; too few or a tie refuse, with a verdict."""
-    votes = pages.groupBy(part, offset).agg(F.count_distinct(page).alias("votes"))
+    votes = pages.where(F.col(offset).isNotNull()).groupBy(part, offset).agg(F.count_distinct(page).alias("votes"))
     total = pages.groupBy(part).agg(F.count_distinct(page).alias("pages"))
     top = votes.groupBy(part).agg(F.max("votes").alias("top"))
     best = votes.join(top, part).where("votes = top").groupBy(part).agg(F.count(F.lit(1)).alias("ties"), F.min(offset).alias("best"), F.max("top").alias("top"))

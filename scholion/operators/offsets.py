@@ -38,7 +38,9 @@ def derived_offsets(pages: DataFrame) -> DataFrame:
     best = forms.groupBy("doc", "offset").agg(F.max_by(F.struct("pre", "on"), F.struct("on", F.length("pre"), "pre")).alias("f"))
     x = voted.join(best, ["doc", "offset"], "left")
     need = F.greatest(F.lit(3), F.floor(F.col("pages") * 0.6))
-    return x.select("doc", "offset", "top", "pages", "verdict", F.when(F.col("f.on") >= need, F.col("f.pre")).otherwise("").alias("pre"))
+    x = x.select("doc", "offset", "top", "verdict", F.when(F.col("f.on") >= need, F.col("f.pre")).otherwise("").alias("pre"))
+    # Documents without any number were too few as well.
+    return every.groupBy("doc").agg(F.count_distinct("page").alias("pages")).join(x, "doc", "left").select("doc", "offset", F.coalesce("top", F.lit(0)).alias("top"), "pages", F.coalesce("verdict", F.lit("too few")).alias("verdict"), F.coalesce("pre", F.lit("")).alias("pre"))
 
 
 def confirmed_offsets(pages: DataFrame, claims: DataFrame) -> DataFrame:

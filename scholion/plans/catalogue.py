@@ -34,6 +34,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+query.ORACLE = ORACLE
+
+
 # -- ledger --------------------------------------------------------------------
 
 _ROLE = F.concat

@@ -1,6 +1,7 @@
 import pytest
 
 from oracle import connect, differences
+from scholion.plans import verdicts  # noqa: F401  # adds its queries
 from scholion.plans.catalogue import ORACLE, QUERIES
 
 
