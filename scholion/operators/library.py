@@ -79,11 +79,23 @@ def field_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -
     return unpivoted(old, "before").join(unpivoted(new, "after"), [key, "field"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def own_key(c: Column, *row: str) -> Column:
+    """A join key under which rows without one are spread: a hash of the row, behind a mark that no key has, so that they meet nothing and crowd no task."""
+    return F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("\0"), F.xxhash64(*row).cast("string")))
+
+
 def held(references: DataFrame, library: DataFrame) -> DataFrame:
     """[J6] References with whether the library holds them, by DOI or by title; empty never matches."""
-    by_doi = library.where("doi is not null").select("doi").distinct().withColumn("has_doi", F.lit(True))
-    by_title = library.where("title_key <> ''").select("title_key").distinct().withColumn("has_title", F.lit(True))
-    return references.join(by_doi, "doi", "left").join(by_title, "title_key", "left").withColumn("held", F.coalesce("has_doi", "has_title", F.lit(False))).drop("has_doi", "has_title")
+    by_doi = library.where("doi <> ''").select(F.col("doi").alias("_d")).distinct().withColumn("has_doi", F.lit(True))
+    by_title = library.where("title_key <> ''").select(F.col("title_key").alias("_t")).distinct().withColumn("has_title", F.lit(True))
+    r = references.withColumn("_d", own_key(F.col("doi"), *references.columns)).withColumn("_t", own_key(F.col("title_key"), *references.columns))
+    return r.join(by_doi, "_d", "left").join(by_title, "_t", "left").withColumn("held", F.coalesce("has_doi", "has_title", F.lit(False))).drop("has_doi", "has_title", "_d", "_t")
+
+
+def joined_by_doi(references: DataFrame, last: DataFrame) -> DataFrame:
+    """[J3] (``ref_id``, ``match``): every reference with the entry of its DOI, or null; ``last`` as of :func:`last_by_doi`."""
+    r = references.withColumn("_d", own_key(F.col("doi"), "ref_id"))
+    return r.join(last.select(F.col("doi").alias("_d"), F.col("key").alias("match")), "_d", "left").select("ref_id", "match")
 
 
 def last_by_doi(library: DataFrame) -> DataFrame:

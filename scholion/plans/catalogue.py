@@ -269,7 +269,7 @@ def a4_demand(s, d):
 @query("j3_by_doi", f"with e as (select {_N} as doi, arg_max(citekey, entry_id) as \"match\" from entries where {_N} is not null group by 1) select ref_id, \"match\" from (select ref_id, {_N} as doi from refs) r left join e using (doi)")
 def j3_by_doi(s, d):
     last = library.last_by_doi(table(s, d, "entries").select(_doi().alias("doi"), F.col("entry_id").alias("ord"), F.col("citekey").alias("key")))
-    return table(s, d, "refs").select("ref_id", _doi().alias("doi")).join(last, "doi", "left").select("ref_id", F.col("key").alias("match"))
+    return library.joined_by_doi(table(s, d, "refs").select("ref_id", _doi().alias("doi")), last)
 
 
 @query("q3_edges", f"with e as (select {_N} as doi, arg_max(citekey, entry_id) as m from entries where {_N} is not null group by 1) select ref_id, src_key, case when m <> src_key then m end as \"match\" from (select ref_id, src_key, {_N} as doi from refs) r join e using (doi)")
@@ -540,4 +540,20 @@ def k3_index(s, d):
 def k1_bibliography(s, d):
     from scholion.sources import writers
 
-    return writers.bibliography_entry(table(s, d, "entries"))
+    return writers.bibliography_entry(writers.documents_of(table(s, d, "entries")))
+
+
+@query("k1_plain_fields", "select citekey, '@' || case entry_type when 'article' then 'article' when 'incollection' then 'incollection' when 'inproceedings' then 'inproceedings' when 'book' then 'book' when 'phdthesis' then 'phdthesis' when 'techreport' then 'techreport' else 'misc' end || '{' || citekey || ',' || chr(10) || array_to_string(list_transform(list_filter([{'n': 'year', 'v': year}, {'n': 'volume', 'v': volume}, {'n': 'pages', 'v': firstpage}, {'n': 'doi', 'v': doi}], lambda f: f.v <> ''), lambda f: '  ' || rpad(f.n, list_max(list_transform(list_filter([{'n': 'year', 'v': year}, {'n': 'volume', 'v': volume}, {'n': 'pages', 'v': firstpage}, {'n': 'doi', 'v': doi}], lambda g: g.v <> ''), lambda g: length(g.n)))::int, ' ') || ' = {' || f.v || '},'), chr(10)) || chr(10) || '}' as entry from entries where year <> ''")
+def k1_plain_fields(s, d):
+    from scholion.sources import writers
+
+    e = table(s, d, "entries").where("year <> ''")
+    kind = F.when(F.col("entry_type").isin("article", "incollection", "inproceedings", "book", "phdthesis", "techreport"), F.col("entry_type")).otherwise("misc")
+    return e.select("citekey", writers.entry_text(kind, F.col("citekey"), [("year", F.col("year")), ("volume", F.col("volume")), ("pages", F.col("firstpage")), ("doi", F.col("doi"))]).alias("entry"))
+
+
+@query("p16_tex", "select entry_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(title, '[\\n]', ' ', 'g'), '\\p{Cf}|\\p{Co}', '', 'g'), ''), lambda c: case c when chr(92) then '\\textbackslash{}' when '{' then '\\{' when '}' then '\\}' when '$' then '\\$' when '&' then '\\&' when '%' then '\\%' when '#' then '\\#' when '_' then '\\_' when '~' then '\\textasciitilde{}' when '^' then '\\textasciicircum{}' else c end), '') as tex from entries where regexp_matches(title, '^[ -~]+$') and not contains(title, '&')".replace("\\\\", "\\"))
+def p16_tex(s, d):
+    from scholion.sources import writers
+
+    return table(s, d, "entries").where(F.col("title").rlike("^[ -~]+$") & ~F.contains("title", F.lit("&"))).select("entry_id", writers.tex(F.col("title")).alias("tex"))

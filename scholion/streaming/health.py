@@ -45,6 +45,25 @@ def fold_log(path: str):
     return write
 
 
+def fold_state(path: str, key: list[str], order: str):
+    """[T2, T3] A ``foreachBatch`` function that folds a log to its current state: per ``key`` the row that is last in ``order``.
+
+    Each batch makes a new version of the state from the one before it, under
+    its number; a batch that comes again makes the same version again.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        spark, latest = batch.sparkSession, F.struct(order, *[c for c in sorted(batch.columns) if c != order])
+        rows = batch
+        before = f"{path}/state={number - 1}"
+        if number > 0:
+            rows = spark.read.schema(batch.schema).parquet(before).unionByName(batch)
+        kept = rows.groupBy(*key).agg(F.max(latest).alias("r")).select(*[c if c in key else F.col(f"r.{c}").alias(c) for c in batch.columns])
+        kept.write.mode("overwrite").parquet(f"{path}/state={number}")
+
+    return fold
+
+
 def arrivals(files: DataFrame, approved: DataFrame) -> DataFrame:
     """[T4] Arriving files (``file``, ``md5``) against approved plans (``file``, ``ok_md5``, ``plan``), stream to static.
 
