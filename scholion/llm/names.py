@@ -23,17 +23,24 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scholion.functions.text import _LOOKS
-from scholion.session import checkpoint, spread
-
-# Short forms of given names.
-NICKNAMES = {
-    "rob": "robert", "bob": "robert", "bobby": "robert", "robbie": "robert", "maggie": "margaret", "peggy": "margaret", "meg": "margaret", "greta": "margaret", "bill": "william", "billy": "william", "will": "william", "liam": "william",
-    "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "betsy": "elizabeth", "lizzie": "elizabeth", "eliza": "elizabeth", "kate": "catherine", "katie": "catherine", "cathy": "catherine", "mike": "michael", "mick": "michael", "mickey": "michael",
-    "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "tom": "thomas", "tommy": "thomas", "dick": "richard", "rick": "richard", "rich": "richard", "ted": "theodore", "ed": "edward", "eddie": "edward", "ned": "edward", "chuck": "charles", "charlie": "charles", "lottie": "charlotte", "charley": "charlotte", "carlotta": "charlotte",
-    "alex": "alexander", "sasha": "aleksandra", "ola": "aleksandra", "lex": "alexander", "sandy": "alexander", "sandra": "aleksandra", "nick": "nicholas", "nicky": "nicholas", "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "sam": "samuel", "dan": "daniel", "danny": "daniel", "dave": "david", "davy": "david", "steve": "stephen", "chris": "christopher", "kit": "christopher", "tony": "anthony",
-    "andy": "andrew", "drew": "andrew", "matt": "matthew", "greg": "gregory", "ken": "kenneth", "larry": "lawrence", "joe": "joseph", "jo": "josephine", "pete": "peter", "phil": "philip", "pippa": "philippa", "pip": "philippa", "ron": "ronald", "don": "donald", "vic": "victor", "vicky": "victoria", "sue": "susanna", "susie": "susanna", "suzy": "susanna", "susan": "susanna",
-    "theo": "theodora", "dora": "theodora", "teddy": "theodora", "mina": "wilhelmina", "minnie": "wilhelmina", "wilma": "wilhelmina", "gaby": "gabriela", "gabi": "gabriela", "leo": "leonardo", "paco": "francisco", "pancho": "francisco", "fran": "francisco", "ale": "alejandro", "alejo": "alejandro", "raj": "rajendra", "ursel": "ursula", "uschi": "ursula", "hans": "johannes", "jan": "johannes", "hannes": "johannes", "henk": "henrik", "dima": "dmitri", "mitya": "dmitri", "steffen": "stefan", "seun": "oluwaseun", "ollie": "oliver", "jenny": "jennifer", "becky": "rebecca", "abby": "abigail", "nell": "eleanor", "nora": "eleanor", "harry": "henry", "hank": "henry", "fred": "frederick", "freddy": "frederick", "al": "albert", "bert": "albert", "gus": "augustus", "pat": "patricia", "patty": "patricia", "tricia": "patricia", "trish": "patricia", "debbie": "deborah", "cindy": "cynthia", "mandy": "amanda", "tina": "christina", "nat": "nathaniel", "zach": "zachary", "zoli": "zoltan", "eddy": "edouard",
+from scholion.session import checkpoint
+
+# Given names and their short forms; a short form may stand for several names.
+SHORT_FORMS = {
+    "robert": "rob bob bobby robbie bert", "margaret": "maggie peggy meg greta", "william": "bill billy will liam", "elizabeth": "liz beth betty betsy lizzie eliza lisa", "catherine": "kate katie cathy", "katherine": "kate katie kathy", "michael": "mike mick mickey", "james": "jim jimmy",
+    "john": "jack johnny", "thomas": "tom tommy", "richard": "dick rick rich", "theodore": "ted theo teddy", "theodora": "theo dora teddy", "edward": "ed eddie ned ted", "edouard": "eddy ed", "charles": "chuck charlie charley",
+    "charlotte": "lottie charley carlotta", "alexander": "alex lex sandy sasha al", "aleksandra": "sasha ola sandra alex", "alexandra": "sasha sandra alex", "nicholas": "nick nicky", "benjamin": "ben benny benji", "samuel": "sam", "samantha": "sam",
+    "daniel": "dan danny", "david": "dave davy", "stephen": "steve", "steven": "steve", "christopher": "chris kit", "christina": "tina chris", "christine": "tina chris", "anthony": "tony",
+    "andrew": "andy drew", "matthew": "matt", "gregory": "greg", "kenneth": "ken", "lawrence": "larry", "joseph": "joe", "josephine": "jo", "joanna": "jo",
+    "peter": "pete", "philip": "phil pip", "philippa": "pippa pip", "ronald": "ron", "donald": "don", "victor": "vic", "victoria": "vicky vic", "susanna": "sue susie suzy susan",
+    "susan": "sue susie suzy", "wilhelmina": "mina minnie wilma", "dorothea": "dora thea", "dorothy": "dora dot", "gabriela": "gaby gabi", "gabriel": "gabe", "leonardo": "leo", "leonard": "leo len",
+    "leon": "leo", "francisco": "paco pancho fran", "frances": "fran fanny", "francis": "frank fran", "alejandro": "ale alejo", "alejandra": "ale", "rajendra": "raj", "ursula": "ursel uschi",
+    "johannes": "hans jan hannes", "henrik": "henk", "dmitri": "dima mitya", "stefan": "steffen", "oluwaseun": "seun", "oliver": "ollie", "olivia": "ollie", "jennifer": "jenny",
+    "rebecca": "becky", "abigail": "abby", "eleanor": "nell nora", "henry": "harry hank", "harold": "harry", "frederick": "fred freddy", "alfred": "fred al", "albert": "al bert",
+    "alan": "al", "aloysius": "al", "herbert": "bert herb", "augustus": "gus", "gustav": "gus", "patricia": "pat patty tricia trish", "patrick": "pat paddy", "deborah": "debbie",
+    "cynthia": "cindy", "amanda": "mandy", "nathaniel": "nat", "nathan": "nat", "zachary": "zach", "zoltan": "zoli",
 }
+LONG_FORMS = {short: sorted(full for full, forms in SHORT_FORMS.items() if short in forms.split()) for short in {x for forms in SHORT_FORMS.values() for x in forms.split()}}
 # Words that belong to the surname after them, and to an organisation's name.
 PARTICLES = frozenset("van von der den de la le di da del della du al el ten ter zu zur af av dos bin ibn st".split())
 FILLERS = frozenset("of for the and de la und für fur des der et y".split())
@@ -64,7 +71,7 @@ def _initials(token: str, shouted: bool) -> bool:
 def _given(tokens: list[str], shouted: bool) -> list[str]:
     out = []
     for t in tokens:
-        out += list(plain(t)) if _initials(t, shouted) else [NICKNAMES.get(plain(t), plain(t))]
+        out += list(plain(t)) if _initials(t, shouted) else [plain(t)]
     return out
 
 
@@ -207,7 +214,8 @@ def same_names(names: DataFrame) -> DataFrame:
     surname aren't linked. Null and blank names are ignored, repeated ones count
     once, names without letters match nothing; an empty table gives no row.
     """
-    distinct = checkpoint(spread(names.select("name").where("trim(name) <> ''").distinct()).select("name", F.posexplode(read_name("name")).alias("place", "r")).select("name", "place", "r.*"))
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = checkpoint(names.select("name").where("trim(name) <> ''").distinct().repartition(parts).select("name", F.posexplode(read_name("name")).alias("place", "r")).select("name", "place", "r.*"))
     read = checkpoint(_choose(distinct))
     return _people(read.where("kind = 'person'")).unionByName(_organisations(read, distinct)).distinct()
 
@@ -220,7 +228,8 @@ def _pairs(a: DataFrame, b: DataFrame, on: list[str], test: Column) -> DataFrame
 def _people(read: DataFrame) -> DataFrame:
     sur = slips(read.groupBy(F.col("sur").alias("token")).agg(F.count_distinct("name").alias("uses"))).withColumnRenamed("token", "sur")
     given = read.select("name", F.explode("given").alias("token")).where(F.length("token") > 1).groupBy("token").agg(F.count_distinct("name").alias("uses"))
-    fixed = slips(given).select(F.col("token").alias("first"), F.col("stands_for").alias("first_for"))
+    # Names that are known as such aren't slips of each other.
+    fixed = slips(given).where(~F.col("token").isin(*SHORT_FORMS, *LONG_FORMS)).select(F.col("token").alias("first"), F.col("stands_for").alias("first_for"))
     g = (
         read.join(sur, "sur", "left")
         .withColumn("sur", F.coalesce("stands_for", "sur"))
@@ -228,13 +237,17 @@ def _people(read: DataFrame) -> DataFrame:
         .join(fixed, "first", "left")
         .withColumn("first", F.coalesce("first_for", "first"))
         .withColumn("middle", F.substring(F.try_element_at("given", F.lit(2)), 1, 1))
-        .select("name", "sur", "first", F.substring("first", 1, 1).alias("initial"), "middle")
     )
-    g = checkpoint(g.distinct())
-    bare, full = g.where("first is null"), g.where("first is not null")
-    firsts = (F.length("first") == 1) | (F.length("first2") == 1) | (F.col("first") == F.col("first2"))
+    # What a given name may stand for: itself, and the names it is short for. Initials stand for all that begin with them.
+    long = F.create_map(*[x for short, names in sorted(LONG_FORMS.items()) for x in (F.lit(short), F.array(*map(F.lit, names)))])
+    forms = F.concat(F.array("first"), F.coalesce(long[F.col("first")], F.array().cast("array<string>")))
+    g = checkpoint(g.select("name", "sur", F.when(F.col("first").isNotNull(), forms).alias("forms"), "middle").distinct())
+    bare = g.where("forms is null").select("name", "sur")
+    full = g.where("forms is not null").withColumn("initial", F.explode(F.array_distinct(F.transform("forms", lambda f: F.left(f, F.lit(1))))))
+    lone = lambda c: F.length(F.element_at(c, 1)) == 1
+    firsts = lone("forms") | lone("forms2") | F.arrays_overlap("forms", "forms2")
     middles = F.coalesce(F.col("middle") == F.col("middle2"), F.lit(True))
-    return _pairs(bare, g, ["sur"], F.lit(True)).unionByName(_pairs(full, full, ["sur", "initial"], firsts & middles & (F.col("name") < F.col("name2"))))
+    return _pairs(bare, g.select("name", "sur"), ["sur"], F.lit(True)).unionByName(_pairs(full, full, ["sur", "initial"], firsts & middles & (F.col("name") < F.col("name2"))))
 
 
 def _organisations(read: DataFrame, all_readings: DataFrame) -> DataFrame:
