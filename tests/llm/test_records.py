@@ -208,8 +208,8 @@ def test_model_learns_and_calibrates():
 
 
 def test_short_forms_stand_for_several_names(spark):
-    given = ["Omosen, Theodore", "Omosen, Theodora", "Theo Omosen", "Al Keller", "Keller, Aloysius", "Keller, Alan", "Bob Keller", "Robert Keller", "R. Keller"]
+    given = ["Omosen, Theodore", "Omosen, Theodora", "Theo Omosen", "Fran Keller", "Keller, Frances", "Keller, Francis", "Bob Keller", "Robert Keller", "R. Keller"]
     got = pairs(names.same_names(spark.createDataFrame([(n,) for n in given], "name string")))
     linked = lambda a, b: (min(a, b), max(a, b)) in got
     assert linked("Omosen, Theodore", "Theo Omosen") and linked("Omosen, Theodora", "Theo Omosen") and not linked("Omosen, Theodora", "Omosen, Theodore")
-    assert linked("Al Keller", "Keller, Aloysius") and not linked("Keller, Alan", "Keller, Aloysius") and linked("Bob Keller", "Robert Keller") and linked("R. Keller", "Robert Keller")
+    assert linked("Fran Keller", "Keller, Frances") and linked("Fran Keller", "Keller, Francis") and not linked("Keller, Frances", "Keller, Francis") and linked("Bob Keller", "Robert Keller") and linked("R. Keller", "Robert Keller")
