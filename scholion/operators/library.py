@@ -137,6 +137,29 @@ def staleness(extracts: DataFrame, recorded: DataFrame) -> DataFrame:
     return x.select("key", F.when(F.col("sha").isNull(), "gone").when(F.col("was").isNull(), "unread").when(F.col("sha") != F.col("was"), "stale").otherwise("ok").alias("verdict"))
 
 
+# Verdicts under which a citation file holds the list alone.
+LIST_ONLY = ("not-applicable", "unverifiable", "no-signal", "parsed", "failed", "offset")
+
+
+def stale_files(files: DataFrame, extracts: DataFrame, known: DataFrame) -> DataFrame:
+    """[J18, Q14] Citation files (``key``, ``source``, ``verdict``, ``sha``, ``chars``) against extracts (``key``, ``text``) and the library's keys: (``key``, ``state``).
+
+    ``gone`` where the library doesn't hold the key (an empty library is no
+    evidence), ``orphan`` without an extract, ``ok`` where hash, or else length,
+    agrees; a changed extract makes a list that came from elsewhere ``cosmetic``
+    and all else ``stale``.
+    """
+    from scholion.functions.scalars import body_hash
+
+    e = extracts.select("key", body_hash(F.col("text")).alias("now"), F.length("text").alias("long"), F.lit(True).alias("there"))
+    held = known.select("key").distinct().withColumn("known", F.lit(True))
+    any_known = known.limit(1).agg((F.count(F.lit(1)) > 0).alias("library"))
+    x = files.where("key is not null").join(e, "key", "left").join(held, "key", "left").crossJoin(F.broadcast(any_known))
+    same = F.when(F.col("sha").isNotNull(), F.col("sha") == F.col("now")).otherwise(F.coalesce(F.col("chars") == F.col("long"), F.lit(False)))
+    apart = F.coalesce(F.col("verdict").isin(*LIST_ONLY), F.lit(False)) & ~F.coalesce(F.col("source") == "extract", F.lit(False))
+    return x.select("key", F.when(F.col("library") & F.col("known").isNull(), "gone").when(F.col("there").isNull(), "orphan").when(same, "ok").when(apart, "cosmetic").otherwise("stale").alias("state"))
+
+
 def doi_audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """[J8, Q11] Our record of a DOI against another source's: (``key``, ``verdict``), title before author, as ordered.
 
@@ -278,14 +301,37 @@ def skip_unchanged(files: DataFrame, state: DataFrame, rules: int, done: tuple[s
 # -- mining, marks, verdict pipelines -------------------------------------------
 
 
+# How a text announces a structure's accession, the shape of one, what looks like one and isn't, and software whose name ends like one.
+_ACC = r"[1-9][A-Za-z0-9]{3}"
+_CUE = (
+    r"(?:Protein\s+Data\s+Bank\s*(?:\(PDB\))?\s*(?:under\s+)?(?:accession|reference|entry|entries|ID|IDs|code|codes|with)?[\s:.,]*(?:no\.|code)?"
+    r"|PDB[\s-]*(?:ID|IDs|code|codes|entry|entries|accession|structure|structures)?|rcsb\.org/(?:structure/|pdb/explore(?:/explore)?\.do\?structureId=))[\s:=]*"
+)
+_GLOSS = r"(?:\s*\([^)]{0,90}\))?"
+NOT_ACCESSIONS, SOFTWARE = ("1H50", "3RD", "2ND"), ("2PQR", "2GMX")
+
+
+def cued(texts: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, ``acc``): all that stands in a list behind a cue, glosses in brackets stepped over, in capitals. A cue is taken whole, its words in the order given (``ID`` before ``IDs``, so that a plural cues nothing), and no accession begins inside a word."""
+    lists = F.regexp_extract_all(text, F.lit(rf"(?i)(?>{_CUE})(?<![A-Za-z0-9])({_ACC}{_GLOSS}(?:\s*(?:,|;|/|and|&)\s*{_ACC}{_GLOSS})*)"), 1)
+    return texts.select(key, F.explode(lists).alias("list")).select(key, F.explode(F.regexp_extract_all("list", F.lit(f"({_ACC})"), 1)).alias("acc")).select(key, F.upper("acc").alias("acc"))
+
+
 def accessions(texts: DataFrame, key: str, text: Column) -> DataFrame:
-    """[F4, F5, A1, Q9] Structure accessions after their cue, in lists too: (key, ``acc``, ``n``).
+    """[F4, A1, Q9] Structure accessions of each text: (key, ``acc``, ``n``); years, ordinals and the names of software don't count."""
+    rejected = F.col("acc").rlike(r"^(?:19|20)\d\d$") | F.col("acc").isin(*NOT_ACCESSIONS, *SOFTWARE)
+    return cued(texts, key, text).where(~rejected).groupBy(key, "acc").agg(F.count(F.lit(1)).alias("n"))
 
-    Four characters that begin with a digit; years don't count.
-    """
-    cue = r"(?i)\b(?:pdb|protein data bank)(?:\s+(?:ids?|codes?|entry|entries|accession))*[\s:]*((?:[1-9][A-Za-z0-9]{3})(?:\s*(?:,|and|;)\s*[1-9][A-Za-z0-9]{3})*)\b"
-    found = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(cue), 1)).alias("list")).select(key, F.explode(F.regexp_extract_all("list", F.lit(r"\b([1-9][A-Za-z0-9]{3})\b"), 1)).alias("acc"))
-    return found.select(key, F.upper("acc").alias("acc")).where(~F.col("acc").rlike(r"^(19|20)\d\d$") & F.col("acc").rlike("[A-Z]")).groupBy(key, "acc").agg(F.count(F.lit(1)).alias("n"))
+
+def rejected_software(texts: DataFrame, key: str, text: Column) -> DataFrame:
+    """How often, and in how many texts, a software's name was read as an accession: reported, not hidden."""
+    return cued(texts, key, text).where(F.col("acc").isin(*SOFTWARE)).groupBy("acc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("texts"))
+
+
+def accession_summary(found: DataFrame, scanned: int, key: str) -> DataFrame:
+    """[A2] One row over found accessions (key, ``acc``): texts scanned, with any, their share, distinct ones and links."""
+    g = found.agg(F.count_distinct(key).alias("with_any"), F.count_distinct("acc").alias("distinct_accs"), F.count(F.lit(1)).alias("links"))
+    return g.select(F.lit(scanned).cast("bigint").alias("scanned"), "with_any", (F.col("with_any") / F.greatest(F.lit(scanned), F.lit(1))).alias("share"), "distinct_accs", "links")
 
 
 def marker_style(texts: DataFrame, key: str, text: str) -> DataFrame:

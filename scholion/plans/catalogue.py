@@ -465,23 +465,49 @@ def f11_gate(s, d):
     return library.list_gate(table(s, d, "refs").select("src_key", "label", "raw", F.col("ord").alias("n"))).select("src_key", "n", "trimmed", "q1", "top", "verdict")
 
 
-_ACC = "'Taken from PDB entries ' || (1 + p_partkey % 9) || upper(chr((97 + p_size % 26)::int)) || 'x7, 2' || upper(chr((97 + p_partkey % 26)::int)) || 'b3 and 1999 of brand ' || p_brand"
+def _cued() -> Column:
+    """A sentence of one of six forms over two accessions made of a row's numbers."""
+    a = F.concat((1 + F.col("p_partkey") % 9).cast("string"), F.upper(F.chr(97 + F.col("p_size") % 26)), F.lit("x7"))
+    b = F.concat(F.lit("2"), F.upper(F.chr(97 + F.col("p_partkey") % 26)), F.lit("b3"))
+    forms = [
+        F.concat(F.lit("Taken from PDB entries "), a, F.lit(", "), b, F.lit(" and 1999 of it.")), F.concat(F.lit("See PDB: "), a, F.lit(" (a homolog of it), "), b, F.lit(" (another one).")), F.concat(F.lit("Protein Data Bank (PDB) under accession code "), a, F.lit(" & "), b),
+        F.concat(F.lit("Run by PDB2PQR and PDB 2PQR on "), a), F.concat(F.lit("at rcsb.org/structure/"), b, F.lit("; "), a), F.concat(F.lit("In 2009 no cue came before "), a),
+    ]
+    return F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
 
 
-def _cued() -> Column:
-    return F.concat(F.lit("Taken from PDB entries "), (1 + F.col("p_partkey") % 9).cast("string"), F.upper(F.chr(97 + F.col("p_size") % 26)), F.lit("x7, 2"), F.upper(F.chr(97 + F.col("p_partkey") % 26)), F.lit("b3 and 1999 of brand "), F.col("p_brand"))
+_ACC = "a as (select p_partkey, (1 + p_partkey % 9) || upper(chr((97 + p_size % 26)::int)) || 'X7' as a, '2' || upper(chr((97 + p_partkey % 26)::int)) || 'B3' as b, p_partkey % 6 as form from part), t as (select p_partkey, unnest(case when form in (0, 1, 2, 4) then [a, b] else [] end) as acc from a), c as (select p_partkey, acc, count(*) as n from t group by 1, 2)"
 
 
-@query("q9_accessions", f"with t as (select p_partkey, unnest(list_distinct(regexp_extract_all({_ACC}, '\\b[1-9][A-Za-z0-9]{{3}}\\b'))) as a from part) select p_partkey, upper(a) as acc, 1::bigint as n from t where upper(a) <> '1999' and regexp_matches(upper(a), '[A-Z]')")
+@query("q9_accessions", f"with {_ACC} select * from c")
 def q9_accessions(s, d):
     return library.accessions(table(s, d, "part"), "p_partkey", _cued())
 
 
-@query("a2_demand", f"with t as (select p_partkey, upper(unnest(list_distinct(regexp_extract_all({_ACC}, '\\b[1-9][A-Za-z0-9]{{3}}\\b')))) as acc from part) select acc, count(distinct p_partkey) as papers from t where acc <> '1999' and regexp_matches(acc, '[A-Z]') group by 1")
+@query("f4_software", "select '2PQR' as acc, count(*) as n, count(distinct p_partkey) as texts from part where p_partkey % 6 = 3 having count(*) > 0")
+def f4_software(s, d):
+    return library.rejected_software(table(s, d, "part"), "p_partkey", _cued())
+
+
+@query("a2_demand", f"with {_ACC} select acc, count(distinct p_partkey) as papers from c group by 1")
 def a2_demand(s, d):
     return library.accessions(table(s, d, "part"), "p_partkey", _cued()).groupBy("acc").agg(F.count_distinct("p_partkey").alias("papers")).orderBy(F.desc("papers"), "acc")
 
 
+@query("a2_summary", f"with {_ACC} select (select count(*) from part) as scanned, count(distinct p_partkey) as with_any, count(distinct p_partkey) / (select count(*) from part) as share, count(distinct acc) as distinct_accs, count(*) as links from c")
+def a2_summary(s, d):
+    parts = table(s, d, "part")
+    return library.accession_summary(library.accessions(parts, "p_partkey", _cued()), parts.count(), "p_partkey")
+
+
+@query("j18_states", "with f as (select doc_id as \"key\", case when doc_id % 3 = 0 then 'extract' else 'deposit' end as source, case when doc_id % 2 = 0 then 'parsed' else 'confirmed' end as verdict, case when doc_id % 5 > 0 then left(sha256(text || case when doc_id % 4 = 0 then '!' else '' end), 16) end as sha, case when doc_id % 7 > 0 then length(text) end as chars from documents), e as (select doc_id as \"key\", left(sha256(text), 16) as now, length(text) as long from documents where lang is not null), k as (select doc_id as \"key\" from documents where citekey is not null) select \"key\", case when \"key\" not in (select \"key\" from k) then 'gone' when now is null then 'orphan' when case when sha is not null then sha = now else coalesce(chars = long, false) end then 'ok' when verdict = 'parsed' and source <> 'extract' then 'cosmetic' else 'stale' end as state from f left join e using (\"key\")")
+def j18_states(s, d):
+    t = table(s, d, "documents").withColumnRenamed("doc_id", "key")
+    sha = F.when(F.col("key") % 5 > 0, S.body_hash(F.concat("text", F.when(F.col("key") % 4 == 0, "!").otherwise(""))))
+    files = t.select("key", F.when(F.col("key") % 3 == 0, "extract").otherwise("deposit").alias("source"), F.when(F.col("key") % 2 == 0, "parsed").otherwise("confirmed").alias("verdict"), sha.alias("sha"), F.when(F.col("key") % 7 > 0, F.length("text")).alias("chars"))
+    return library.stale_files(files, t.where("lang is not null").select("key", "text"), t.where("citekey is not null").select("key"))
+
+
 @query("f7_style", r"with x as (select doc_id, len(regexp_extract_all(text, '\[\d+(?:[,\-]\s*\d+)*\]')) as brackets, len(regexp_extract_all(text, '\(\d{1,3}(?:[,\-]\s*\d{1,3})*\)')) as parens, len(regexp_extract_all(text, '[a-z][.,]\d{1,3}\s')) as supers from documents) select *, case when greatest(brackets, parens, supers) = 0 then 'none' when brackets = greatest(brackets, parens, supers) then 'bracket' when parens = greatest(brackets, parens, supers) then 'paren' else 'super' end as style from x")
 def f7_style(s, d):
     return library.marker_style(table(s, d, "documents"), "doc_id", "text")

@@ -76,8 +76,8 @@ def test_ordinals(spark):
 
 
 def test_accessions(spark):
-    t = spark.createDataFrame([("a", "taken from PDB IDs 1ABC, 2XYZ and 1999; also pdb code 1abc."), ("b", "in 1ABC alone"), ("c", None)], "key string, text string")
-    assert rows(library.accessions(t, "key", F.col("text"))) == [("a", "1ABC", 2), ("a", "2XYZ", 1)]
+    t = spark.createDataFrame([("a", "taken from PDB entry 1ABC (as 3DEF), 2XYZ and 1999; also pdb code 1abc. PDB2PQR; PDB IDs 4GHI"), ("b", "in 1ABC alone"), ("c", None)], "key string, text string")
+    assert rows(library.accessions(t, "key", F.col("text"))) == [("a", "1ABC", 2), ("a", "2XYZ", 1), ("a", "3DEF", 1)]
 
 
 def test_partitions_do_not_matter(spark, sf):
