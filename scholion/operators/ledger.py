@@ -48,6 +48,23 @@ def remainder(link: DataFrame, weights: DataFrame, source: Column) -> DataFrame:
     return hit.join(kept, "claim", "left").na.fill(0, ["left"]).select("claim", "lost_role", "left", F.when(F.col("left") == 0, "falls").when(F.col("left") == 1, "thin").otherwise("stands").alias("verdict"))
 
 
+def evidence_left(link: DataFrame, weights: DataFrame, source: Column) -> DataFrame:
+    """[A7] What still carries each claim of a withdrawn source: (``claim``, ``kept``, ``roles``): the sources of weight, or where there are none, how often each role that is left occurs."""
+    w = weighed(link, weights)
+    hit = w.where(F.col("source") == source).select("claim").distinct()
+    rest = w.where(F.col("source") != source).join(hit, "claim", "left_semi")
+    kept = rest.where("weight > 0").groupBy("claim").agg(F.array_sort(F.collect_set("source")).alias("kept"))
+    roles = rest.groupBy("claim", "role").agg(F.count(F.lit(1)).alias("n")).groupBy("claim").agg(F.array_join(F.array_sort(F.collect_list(F.concat("role", F.lit(" "), "n"))), ", ").alias("roles"))
+    out = hit.join(kept, "claim", "left").join(roles, "claim", "left")
+    return out.select("claim", F.coalesce("kept", F.array().cast(kept.schema["kept"].dataType)).alias("kept"), F.when(F.col("kept").isNull(), F.coalesce("roles", F.lit("none"))).alias("roles"))
+
+
+def histogram(claims: DataFrame, by: str, values: DataFrame) -> DataFrame:
+    """[A9] Rows a value, in the order of ``values`` (``by``, ``place``), with zero where none has it; values that aren't listed come last."""
+    n = claims.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return values.join(n, by, "full").select(by, F.coalesce("n", F.lit(0)).alias("n"), "place").orderBy(F.asc_nulls_last("place"), by)
+
+
 def unresolved(link: DataFrame, known: DataFrame) -> DataFrame:
     """[J9] Sources that the library doesn't hold, with how many claims name them."""
     return link.join(known.select(F.col("key").alias("source")), "source", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("claims"))

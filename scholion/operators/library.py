@@ -103,9 +103,16 @@ def last_by_doi(library: DataFrame) -> DataFrame:
     return library.where("doi is not null").groupBy("doi").agg(F.max_by("key", F.struct("ord", "key")).alias("key"))
 
 
-def gaps(references: DataFrame) -> DataFrame:
-    """[A3, O1, Q10] What the library lacks, by demand: (``doi``, ``papers``, ``lines``), most papers first."""
-    return references.where("not held and doi is not null").groupBy("doi").agg(F.count_distinct("src_key").alias("papers"), F.count(F.lit(1)).alias("lines")).orderBy(F.desc("papers"), F.desc("lines"), "doi")
+def gaps(references: DataFrame, limit: int | None = None) -> DataFrame:
+    """[A3, O1, Q10] What the library lacks, by demand: (``doi``, ``papers``, ``lines``), most papers first; at most ``limit`` of them if given."""
+    out = references.where("not held and doi is not null").groupBy("doi").agg(F.count_distinct("src_key").alias("papers"), F.count(F.lit(1)).alias("lines")).orderBy(F.desc("papers"), F.desc("lines"), "doi")
+    return out.limit(limit) if limit is not None else out
+
+
+def gap_details(references: DataFrame) -> DataFrame:
+    """[A3, U1] Gaps with the papers that name them and what the first line says: (``doi``, ``lines``, ``papers``, ``title``, ``year``), first by paper and place."""
+    first = F.struct("src_key", "ord", "ref_id")
+    return references.where("not held and doi is not null").groupBy("doi").agg(F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_set("src_key")).alias("papers"), F.min_by("title", first).alias("title"), F.min_by("year", first).alias("year"))
 
 
 def unique_best(candidates: DataFrame, by: str, score: str) -> DataFrame:

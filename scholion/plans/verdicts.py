@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholion.functions import scalars as S
-from scholion.operators import library, offsets, reports, resolve
-from scholion.plans.catalogue import _GATE_SQL, _N, _doi, _scalar, _sql_ascii, _sql_list, _sql_plain, query
+from scholion.operators import ledger, library, offsets, reports, resolve
+from scholion.plans.catalogue import _GATE_SQL, _HELD_SQL, _LINKS_SQL, _N, _doi, _held, _ledger, _scalar, _sql_ascii, _sql_list, _sql_plain, query
 from scholion.session import table
 
 # -- resolution ------------------------------------------------------------------
@@ -258,3 +258,32 @@ def f6_loose(s, d):
 @query("f8_by_name", r"select doc_id, named >= 8 and named > greatest(len(regexp_extract_all(text, '\[(\d{1,3}(?:[ \t\n\x0b\f\r]*[,;–-][ \t\n\x0b\f\r]*\d{1,3})*)\]')), len(regexp_extract_all(text, '\((\d{1,3}(?:[ \t\n\x0b\f\r]*[,;–-][ \t\n\x0b\f\r]*\d{1,3})*)\)'))) as by_name from (select doc_id, text, len(regexp_extract_all(text, '\([^()]{0,80}?[A-Za-z]{3,}[^()]{0,40}?(?:19|20)\d{2}[a-z]?\)')) as named from documents) where text is not null")
 def f8_by_name(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", S.cites_by_name(F.col("text")).alias("by_name"))
+
+
+@query("a3_details", f"with {_HELD_SQL}, g as (select h.doi, refs.src_key, refs.ref_id, refs.ord, refs.title, refs.year from h join refs using (ref_id) where not coalesce(held, false) and h.doi is not null) select doi, count(*) as lines, array_to_string(list_sort(list(distinct src_key)), ' ') as papers, arg_min(title, {{'s': src_key, 'o': ord, 'r': ref_id}}) as title, arg_min(year, {{'s': src_key, 'o': ord, 'r': ref_id}}) as year from (select * from g where title is not null and year is not null) group by 1")
+def a3_details(s, d):
+    r = _held(s, d).join(table(s, d, "refs").select("ref_id", "ord", "title", "year"), "ref_id").where("title is not null and year is not null")
+    return library.gap_details(r).select("doi", "lines", F.array_join("papers", " ").alias("papers"), "title", "year")
+
+
+@query("a7_evidence", f"with {_LINKS_SQL}, hit as (select distinct claim from w where source = 1), r as (select w.* from w join hit using (claim) where source <> 1), k as (select claim, list_sort(list(distinct source)) as kept from r where weight > 0 group by 1), c as (select claim, role, count(*) as n from r group by 1, 2), h as (select claim, array_to_string(list_sort(list(role || ' ' || n)), ', ') as roles from c group by 1) select claim, coalesce(array_to_string(kept, ' '), '') as kept, case when kept is null then coalesce(roles, 'none') end as roles from hit left join k using (claim) left join h using (claim)")
+def a7_evidence(s, d):
+    _, links, weights = _ledger(s, d)
+    return ledger.evidence_left(links, weights, F.lit(1)).select("claim", F.array_join(F.col("kept").cast("array<string>"), " ").alias("kept"), "roles")
+
+
+@query("a9_statuses", "select kind as status, n, place from (values ('FINDING', 1), ('CHECKED', 2), ('WITHDRAWN', 3), ('RETRACTED', 4)) v(kind, place) left join (select kind as k, count(*) as m from findings group by 1) on k = kind cross join lateral (select coalesce(m, 0) as n)")
+def a9_statuses(s, d):
+    values = s.createDataFrame([("FINDING", 1), ("CHECKED", 2), ("WITHDRAWN", 3), ("RETRACTED", 4)], "status string, place int")
+    return ledger.histogram(table(s, d, "findings").select(F.col("kind").alias("status")), "status", values)
+
+
+@query("s9_keys", f"select 'doi' as kind, {_N} as value from entries where {_N} is not null union select 'title', {_sql_ascii('title')} from entries where {_sql_ascii('title')} <> ''")
+def s9_keys(s, d):
+    lib = _lib(s, d)
+    return lib.where("doi is not null").select(F.lit("doi").alias("kind"), F.col("doi").alias("value")).unionByName(lib.where("title is not null").select(F.lit("title").alias("kind"), F.col("title").alias("value"))).distinct()
+
+
+@query("s7_projection", f"with {_LIB} select \"key\", doi, title, surname, year, volume, page, array_to_string(words, ' ') as words from lib")
+def s7_projection(s, d):
+    return _lib(s, d).withColumn("words", F.array_join("words", " "))
