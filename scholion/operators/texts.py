@@ -169,9 +169,17 @@ def located(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     ``quotes``: (``id``, ``key``, ``page``, ``quote``); ``pages``: (``key``, ``page``, ``text``).
     """
     plain = _mapped(plain_quote, T.StringType())
-    q = quotes.select("id", "key", "page", plain("quote").alias("q"))
+    q = quotes.select("id", "key", "page", plain("quote").alias("q")).withColumn("w", F.split("q", " ")).where("q <> ''")
     p = pages.select("key", F.col("page").alias("there"), plain("text").alias("t"))
-    hits = q.join(p, "key").where(F.col("t").contains(F.col("q")) & (F.col("q") != "")).groupBy("id").agg(F.max((F.col("there") == F.col("page")).cast("int")).alias("here"), F.min("there").alias("there"))
+    # A quote of seven words or more meets the pages that hold five of its words in a row (not its first, which may be cut): no key's pages are all paired with its quotes.
+    anchored = q.where("size(w) >= 7").withColumn("h", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")))
+    words = F.split("t", " ")
+    windows = p.where(F.size(words) >= 5).select("key", "there", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda k: F.xxhash64(F.array_join(F.slice(words, k, 5), " "))))).alias("h"))
+    met = anchored.select("id", "key", "h").join(windows, ["key", "h"]).select("id", "key", "there").distinct()
+    long = met.join(q.select("id", "page", "q"), "id").join(p, ["key", "there"])
+    short = q.where("size(w) < 7").select("id", "key", "page", "q").join(p, "key")
+    both = long.select("id", "page", "q", "there", "t").unionByName(short.select("id", "page", "q", "there", "t"))
+    hits = both.where(F.contains("t", F.col("q"))).groupBy("id").agg(F.max((F.col("there") == F.col("page")).cast("int")).alias("here"), F.min("there").alias("there"))
     return quotes.join(hits, "id", "left").select("id", F.when(F.col("here") == 1, "ok").when(F.col("there").isNotNull(), "elsewhere").otherwise("missing").alias("verdict"), F.when(F.coalesce(F.col("here") == 0, F.lit(False)), F.col("there")).alias("found_on"))
 
 

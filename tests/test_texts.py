@@ -42,9 +42,9 @@ def test_copies_and_places(spark):
     t = "the same long text " * 30
     f = spark.createDataFrame([("k", "k", t), ("k", "k-2", t), ("k", "k-3", t + "!"), ("k", "k-4", "else"), ("m", "m", None)], "key string, stem string, text string")
     assert {r["stem"]: r["verdict"] for r in X.compared_copies(f).collect()} == {"k": "first", "k-2": "equal", "k-3": "near", "k-4": "other", "m": "first"}
-    pages = spark.createDataFrame([("k", 1, "One  gel"), ("k", 2, "two ‘foams’ here")], "key string, page int, text string")
-    q = spark.createDataFrame([(1, "k", 1, "one gel"), (2, "k", 1, "'foams'"), (3, "k", 1, "none"), (4, "z", 1, "one"), (5, "k", 1, None)], "id int, key string, page int, quote string")
-    assert {r["id"]: (r["verdict"], r["found_on"]) for r in X.located(q, pages).collect()} == {1: ("ok", None), 2: ("elsewhere", 2), 3: ("missing", None), 4: ("missing", None), 5: ("missing", None)}
+    pages = spark.createDataFrame([("k", 1, "One  gel"), ("k", 2, "two ‘foams’ here"), ("k", 3, 'The beg of a long quote, over "seven" words in all.')], "key string, page int, text string")
+    q = spark.createDataFrame([(1, "k", 1, "one gel"), (2, "k", 1, "'foams'"), (3, "k", 1, "none"), (4, "z", 1, "one"), (5, "k", 1, None), (6, "k", 1, "eg of a LONG quote, over “seven” words in al"), (7, "k", 3, "a long quote over eight words in all there")], "id int, key string, page int, quote string")
+    assert {r["id"]: (r["verdict"], r["found_on"]) for r in X.located(q, pages).collect()} == {1: ("ok", None), 2: ("elsewhere", 2), 3: ("missing", None), 4: ("missing", None), 5: ("missing", None), 6: ("elsewhere", 3), 7: ("missing", None)}
 
 
 def test_entities(spark):
