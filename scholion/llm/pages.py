@@ -358,8 +358,8 @@ def corrections(lexicon: DataFrame, most: float = 0.95, numbers: DataFrame | Non
     figures = lexicon.where(F.col("word").rlike(r"^[\dliosb|!]*\d[\dliosb|!]*(?:[.,][\dliosb|!]+)?$|^[liosb|!]+[.,][liosb|!]*\d[\dliosb|!]*$") & F.col("word").rlike(r"[liosb|!]") & (F.length("word") >= 3)).select("word", "n", number.alias("right"))
     if numbers is not None:
         # Shares only, so that a form is judged alike whatever the size of the corpus.
-        every = numbers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))
-        figures = figures.hint("merge").join(numbers.select(F.col("word").alias("right"), F.col("n").alias("right_n")), "right", "left").crossJoin(F.broadcast(every)).where(F.col("n") <= 2 + F.coalesce("right_n", F.lit(0)) * 0.3 + F.col("every") * STRAY)
+        every = numbers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        figures = figures.hint("merge").join(numbers.select(F.col("word").alias("right"), F.col("n").alias("right_n")), "right", "left").where(F.col("n") <= 2 + F.coalesce("right_n", F.lit(0)) * 0.3 + every * STRAY)
     figures = figures.select("word", "right", F.lit(True).alias("sure"), F.lit(1).alias("rivals"), F.lit(0).alias("place"))
     return best.unionByName(figures.hint("merge").join(best.select("word"), "word", "left_anti"))
 
