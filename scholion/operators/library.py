@@ -160,8 +160,7 @@ def stale_files(files: DataFrame, extracts: DataFrame, known: DataFrame) -> Data
 
     e = extracts.select("key", body_hash(F.col("text")).alias("now"), F.length("text").alias("long"), F.lit(True).alias("there"))
     held = known.select("key").distinct().withColumn("known", F.lit(True))
-    any_known = known.limit(1).agg((F.count(F.lit(1)) > 0).alias("library"))
-    x = files.where("key is not null").join(e, "key", "left").join(held, "key", "left").crossJoin(F.broadcast(any_known))
+    x = files.where("key is not null").join(e, "key", "left").join(held, "key", "left").withColumn("library", F.lit(known.limit(1).count() > 0))
     same = F.when(F.col("sha").isNotNull(), F.col("sha") == F.col("now")).otherwise(F.coalesce(F.col("chars") == F.col("long"), F.lit(False)))
     apart = F.coalesce(F.col("verdict").isin(*LIST_ONLY), F.lit(False)) & ~F.coalesce(F.col("source") == "extract", F.lit(False))
     return x.select("key", F.when(F.col("library") & F.col("known").isNull(), "gone").when(F.col("there").isNull(), "orphan").when(same, "ok").when(apart, "cosmetic").otherwise("stale").alias("state"))

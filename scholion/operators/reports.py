@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def only(df: DataFrame, key: str, names: DataFrame) -> DataFrame:
@@ -21,7 +22,8 @@ def only(df: DataFrame, key: str, names: DataFrame) -> DataFrame:
 def tally(df: DataFrame, verdict: str, **sums: Column) -> DataFrame:
     """[A10, A20] Rows a verdict with their share of all and further sums; the counts partition the rows, nulls included as ``none``."""
     g = df.groupBy(F.coalesce(verdict, F.lit("none")).alias(verdict)).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("of")))).withColumn("share", F.col("n") / F.col("of"))
+    # A window over the verdicts, which are few.
+    return g.withColumn("of", F.sum("n").over(Window.partitionBy(F.lit(1)))).withColumn("share", F.col("n") / F.col("of"))
 
 
 def extraction_tally(files: DataFrame, rules: int) -> DataFrame:
@@ -41,8 +43,7 @@ def extraction_tally(files: DataFrame, rules: int) -> DataFrame:
 
 def capped(df: DataFrame, limit: int, *order: Column) -> DataFrame:
     """[O1, O6, O7] The first ``limit`` rows in a full order, each with ``more``: how many rows there are beyond."""
-    total = df.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))
-    return df.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
+    return df.orderBy(*order).limit(limit).withColumn("more", F.lit(max(df.count() - limit, 0)).cast("bigint"))
 
 
 def searched(index: DataFrame, needle: str, limit: int = 40) -> DataFrame:
