@@ -25,13 +25,13 @@ from scholion.session import spread
 LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Һ": "h",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "ү": "y",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "ү": "y", "ѵ": "v", "Ѵ": "V", "ⲟ": "o", "Ⲟ": "O", "ⲥ": "c", "Ⲥ": "C", "ⲣ": "p", "Ⲣ": "P", "Ꭰ": "D", "Ꮪ": "S", "Ꮯ": "C", "Ꮲ": "P",
     "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "Ꭺ": "A", "Ꮃ": "W", "ı": "ı", "ɡ": "g", "ɑ": "a", "ℓ": "ℓ", "µ": "μ", "∆": "Δ", "∑": "Σ", "∏": "Π",
 }
 # Marks drawn alike.
-MARKS = {"‐": "-", "‑": "-", "﹣": "-", "⁃": "-", "’": "’", "ʼ": "’", "․": ".", "‚": "‚", "：": ":", "∶": ":", "∕": "/", "⁄": "/", "∗": "*", "∣": "|", "ǀ": "|", "﹕": ":", "․․․": "...", "‥": "..", "…": "..."}
+MARKS = {"‐": "-", "‑": "-", "﹣": "-", "⁃": "-", "’": "’", "ʼ": "’", "․": ".", "‚": "‚", "：": ":", "∶": ":", "∕": "/", "⁄": "/", "∗": "*", "∣": "|", "ǀ": "|", "﹕": ":", "‥": "..", "…": "..."}
 #: Characters that take no room (format characters, fillers, variation selectors), and every kind of one space.
-IGNORED = "".join(chr(n) for n in range(0x80, 0x10000) if unicodedata.category(chr(n)) == "Cf" or 0xFE00 <= n <= 0xFE0F or n in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D))
+IGNORED = "".join(chr(n) for n in [*range(0x80, 0x10000), *range(0xE0100, 0xE01F0)] if n > 0xFFFF or unicodedata.category(chr(n)) == "Cf" or 0xFE00 <= n <= 0xFE0F or n in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D))
 SPACES = "\t\n\x0b\x0c\r\x85" + "".join(chr(n) for n in range(0x80, 0x10000) if unicodedata.category(chr(n)) in ("Zs", "Zl", "Zp"))
 # Pairs that can be told apart by eye and must never meet.
 APART = [("²", "2"), ("³", "3"), ("₂", "2"), ("–", "-"), ("—", "–"), ("—", "-"), ("α", "a"), ("β", "B"), ("é", "e"), ("ß", "ss"), ("μ", "u"), ("Σ", "S"), ("ω", "w"), ("κ", "k"), ("τ", "t"), ("σ", "o"), ("l", "I"), ("l", "1"), ("O", "0"), ("æ", "ae"), ("в", "B"), ("н", "H"), ("к", "k"), ("т", "T"), ("й", "и"), ("ё", "e"), ("が", "か"), ("º", "o"), ("ª", "a"), ("½", "1/2")]
