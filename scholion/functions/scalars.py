@@ -362,8 +362,24 @@ def appended_line(text: Column, label: str, value: Column) -> Column:
 
 
 def personlike(c: Column) -> Column:
-    """[P38] Whether a single-field name reads as a person: two to four capitalised words, no word of an organisation."""
-    return c.rlike(r"^\p{Lu}[\p{L}.'-]*( \p{Lu}[\p{L}.'-]*){1,3}$") & ~c.rlike(r"(?i)\b(university|institute|centre|center|laboratory|academy|society|group)\b")
+    """[P38] Why a single-field name reads as a person's: initials before a capitalised word, or two or three capitalised words; else empty. For reports: an organisation may read so too."""
+    n = F.trim(F.coalesce(c, F.lit("")))
+    initials = n.rlike(r"^(?:[A-Z]\.\s*)+[A-Z][a-z]")
+    capitalised = n.rlike(r"^\p{Lu}\p{Ll}* {1,2}\p{Lu}\p{Ll}*$|^\p{Lu}\p{Ll}* \p{Lu}\p{Ll}* \p{Lu}\p{Ll}*$")
+    return F.when(initials, "initials then a capitalised word").when(capitalised, "two or three capitalised words").otherwise("")
+
+
+def dois_of_filename(c: Column) -> Column:
+    """[P4] DOIs spelled in a file name, cleaned: as they are, then with the first underscore, or else hyphen, after the registrant for the slash."""
+    name = F.regexp_replace(c, r"(?i)\.pdf$", "")
+    spelled = F.transform(F.regexp_extract_all(name, F.lit(r"(?i)\b(10\.\d{4,9}[_-][^\s/]+)"), 1), lambda m: F.when(F.contains(m, F.lit("_")), F.regexp_replace(m, r"^([^_]*)_", "$1/")).otherwise(F.regexp_replace(m, r"^([^-]*)-", "$1/")))
+    return F.transform(F.concat(doi_find(name), spelled), doi_clean)
+
+
+def clean_url(c: Column) -> Column:
+    """[P35] A text that is one web address and nothing else; else empty: several run together are refused, not taken apart."""
+    v = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(v.rlike(r"(?i)^https?://\S+$") & ~F.contains(v, F.lit("\\n")), v).otherwise("")
 
 
 def author_list(authors: Column) -> Column:

@@ -155,3 +155,30 @@ def paper_plans(papers: DataFrame, least: int = 2000) -> DataFrame:
         .otherwise(F.coalesce("marks", F.lit("unverifiable")))
     )
     return papers.select("key", verdict.alias("verdict"))
+
+
+def metadata_plan(files: DataFrame) -> DataFrame:
+    """[Q21] What a remote attachment should say so that it describes its file: (``id``, ``field``, ``value``), only what differs.
+
+    ``files``: (``id``, ``name``, ``pdf``, ``filename``, ``content_type``). Only a PDF by its
+    bytes gets a type; one is never invented for anything else.
+    """
+    want = F.array_compact(F.array(F.when(~F.col("filename").eqNullSafe(F.col("name")), F.struct(F.lit("filename").alias("field"), F.col("name").alias("value"))), F.when(F.coalesce("pdf", F.lit(False)) & ~F.col("content_type").eqNullSafe(F.lit("application/pdf")), F.struct(F.lit("contentType").alias("field"), F.lit("application/pdf").alias("value")))))
+    return files.select("id", F.explode(want).alias("w")).select("id", "w.field", "w.value")
+
+
+def upload_account(files: DataFrame, archived: int) -> DataFrame:
+    """[Q21, A19] One row: archived files by what happens to them (``fate``: upload, present, stranded or withheld), their sum, and whether it is all that were archived."""
+    counts = [F.count_if(F.col("fate") == f).alias(f) for f in ("upload", "present", "stranded", "withheld")]
+    return files.agg(*counts).withColumn("accounted", F.col("upload") + F.col("present") + F.col("stranded") + F.col("withheld")).withColumn("reconciles", F.col("accounted") == archived)
+
+
+def chosen_files(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """[Q25] Which of a document's files a stem names: (``stem``, ``att_key``, ``why``), by position.
+
+    ``asked``: (``stem``, ``key``, ``number``); ``files``: (``key``, ``place``, ``att_key``), placed from one.
+    """
+    n = files.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    x = asked.join(n, "key", "left").join(files.withColumnRenamed("place", "number"), ["key", "number"], "left")
+    why = F.when(F.col("n").isNull(), "no PDF attached").when(F.col("number") > F.col("n"), F.concat(F.lit("has only "), "n", F.lit(" PDF attachment(s)"))).otherwise(F.concat(F.lit("attachment "), "number", F.lit(" of "), "n"))
+    return x.select("stem", "att_key", why.alias("why"))

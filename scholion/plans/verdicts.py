@@ -287,3 +287,35 @@ def s9_keys(s, d):
 @query("s7_projection", f"with {_LIB} select \"key\", doi, title, surname, year, volume, page, array_to_string(words, ' ') as words from lib")
 def s7_projection(s, d):
     return _lib(s, d).withColumn("words", F.array_join("words", " "))
+
+
+_scalar("scalar_names", "attachments", "att_key", {
+    "dois": (lambda: F.array_join(S.dois_of_filename(F.concat(F.lit("10.1021_"), F.regexp_replace(F.lower("att_key"), "[^a-z0-9]", ""), F.lit("-x.PDF"))), " "), "'10.1021/' || regexp_replace(lower(att_key), '[^a-z0-9]', '', 'g') || '-x'"),
+    "url": (lambda: S.clean_url(F.concat(F.lit(" https://host/"), F.col("filename"))), r"case when regexp_matches(trim('https://host/' || coalesce(filename, ' ')), '(?i)^https?://\S+$') and filename is not null and not contains(filename, '\n') then trim('https://host/' || filename) else '' end"),
+    "printed": (lambda: S.issue_year(F.when(F.col("ord") == 1, F.lit(2001)), F.when(F.col("ord") == 2, F.lit(2002)), F.lit(2003)), "case \"ord\" when 1 then 2001 when 2 then 2002 else 2003 end"),
+})
+_scalar("scalar_people", "customer", "c_custkey", {
+    "person": (lambda: S.personlike(F.element_at(F.array(F.lit("J. B. Ames"), F.lit("Ada Lovelace"), F.lit("Ada Maria Lovelace"), F.lit("WHO"), F.col("c_name"), F.lit("Ada of Rome")), (F.col("c_custkey") % 6 + 1).cast("int"))), "case c_custkey % 6 when 0 then 'initials then a capitalised word' when 1 then 'two or three capitalised words' when 2 then 'two or three capitalised words' else '' end"),
+})
+
+
+@query("q21_metadata", "select att_key as id, unnest(list_filter([case when filename is distinct from (citekey || '.pdf') then {'field': 'filename', 'value': citekey || '.pdf'} end, case when \"ord\" = 1 and content_type is distinct from 'application/pdf' then {'field': 'contentType', 'value': 'application/pdf'} end], lambda x: x is not null), recursive := true) from attachments join entries on parent_qid = qid")
+def q21_metadata(s, d):
+    a = table(s, d, "attachments").join(table(s, d, "entries").select(F.col("qid").alias("parent_qid"), "citekey"), "parent_qid")
+    return reports.metadata_plan(a.select(F.col("att_key").alias("id"), F.concat("citekey", F.lit(".pdf")).alias("name"), (F.col("ord") == 1).alias("pdf"), "filename", "content_type"))
+
+
+@query("q21_account", "select count(*) filter (where md5 is null) as upload, count(*) filter (where md5 is not null and parent_qid is not null) as present, count(*) filter (where md5 is not null and parent_qid is null) as stranded, 0::bigint as withheld, count(*) as accounted, true as reconciles from attachments")
+def q21_account(s, d):
+    a = table(s, d, "attachments")
+    return reports.upload_account(a.select(F.when(F.col("md5").isNull(), "upload").when(F.col("parent_qid").isNotNull(), "present").otherwise("stranded").alias("fate")), a.count())
+
+
+@query("q25_chosen", r"with f as (select citekey as k, att_key, row_number() over (partition by citekey order by ord, att_key) as place from attachments join entries on parent_qid = qid), n as (select k, count(*) as n from f group by 1), x as (select distinct doc as stem, case when regexp_matches(doc, '-([2-9]|[1-9]\d+)$') then regexp_replace(doc, '-\d+$', '') else doc end as k, coalesce(try_cast(nullif(regexp_extract(doc, '-([2-9]|[1-9]\d+)$', 1), '') as int), 1) as number from raw_pages where doc is not null) select stem, att_key, case when n is null then 'no PDF attached' when number > n then 'has only ' || n || ' PDF attachment(s)' else 'attachment ' || number || ' of ' || n end as why from x left join n using (k) left join f on f.k = x.k and f.place = x.number")
+def q25_chosen(s, d):
+    from pyspark.sql.window import Window
+
+    a = table(s, d, "attachments").join(table(s, d, "entries").select(F.col("qid").alias("parent_qid"), F.col("citekey").alias("key")), "parent_qid")
+    files = a.select("key", "att_key", F.row_number().over(Window.partitionBy("key").orderBy("ord", "att_key")).alias("place"))
+    asked = table(s, d, "raw_pages").where("doc is not null").select(F.col("doc").alias("stem")).distinct().select("stem", S.stem_key(F.col("stem")).alias("key"), S.stem_number(F.col("stem")).alias("number"))
+    return reports.chosen_files(asked, files)
