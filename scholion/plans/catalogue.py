@@ -575,7 +575,8 @@ def k1_plain_fields(s, d):
 
     e = table(s, d, "entries").where("year <> ''")
     kind = F.when(F.col("entry_type").isin("article", "incollection", "inproceedings", "book", "phdthesis", "techreport"), F.col("entry_type")).otherwise("misc")
-    return e.select("citekey", writers.entry_text(kind, F.col("citekey"), [("year", F.col("year")), ("volume", F.col("volume")), ("pages", F.col("firstpage")), ("doi", F.col("doi"))]).alias("entry"))
+    x = e.select("citekey", kind.alias("kind"), writers.filled_fields([("year", F.col("year")), ("volume", F.col("volume")), ("pages", F.col("firstpage")), ("doi", F.col("doi"))]).alias("fields"))
+    return x.select("citekey", writers.entry_text(F.col("kind"), F.col("citekey"), F.col("fields")).alias("entry"))
 
 
 @query("p16_tex", "select entry_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(title, '[\\n]', ' ', 'g'), '\\p{Cf}|\\p{Co}', '', 'g'), ''), lambda c: case c when chr(92) then '\\textbackslash{}' when '{' then '\\{' when '}' then '\\}' when '$' then '\\$' when '&' then '\\&' when '%' then '\\%' when '#' then '\\#' when '_' then '\\_' when '~' then '\\textasciitilde{}' when '^' then '\\textasciicircum{}' else c end), '') as tex from entries where regexp_matches(title, '^[ -~]+$') and not contains(title, '&')".replace("\\\\", "\\"))

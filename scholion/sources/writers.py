@@ -28,10 +28,15 @@ def decoded(c: Column) -> Column:
 def tex(c: Column) -> Column:
     """[P16] Text as TeX reads it: each character that means something is escaped once, those it can't read are spelled, unseen ones go."""
     seen = F.regexp_replace(decoded(c), r"[\p{Cf}\p{Co}]", "")
-    spelled = F.create_map(*[F.lit(x) for kv in {**TEX, **UNICODE_TEX}.items() for x in kv])
+    spelled = {**TEX, **UNICODE_TEX}
+    # Signs of private use stand for the characters while they are spelled, so that no spelling is spelled again; the text has none of its own left.
+    signs = [chr(0xE000 + k) for k in range(len(spelled))]
+    c = F.translate(seen, "".join(spelled), "".join(signs))
+    for sign, text in zip(signs, spelled.values()):
+        c = F.replace(c, F.lit(sign), F.lit(text))
     # Only what has such a character is taken apart.
-    odd = "[" + "".join("\\" + k if k in "\\{}$&^_~%#" else k for k in (*TEX, *UNICODE_TEX)) + "]"
-    return F.trim(F.replace(F.when(seen.rlike(odd), F.array_join(F.transform(F.split(seen, ""), lambda x: F.coalesce(spelled[x], x)), "")).otherwise(seen), F.lit("\n"), F.lit(" ")))
+    odd = "[" + "".join("\\" + k if k in "\\{}$&^_~%#" else k for k in spelled) + "]"
+    return F.trim(F.replace(F.when(seen.rlike(odd), c).otherwise(seen), F.lit("\n"), F.lit(" ")))
 
 
 def author_text(people: Column) -> Column:
@@ -41,11 +46,15 @@ def author_text(people: Column) -> Column:
     return F.nullif(F.array_join(F.array_compact(F.transform(people, one)), " and "), F.lit(""))
 
 
-def entry_text(kind: Column, key: Column, fields: list[tuple[str, Column]]) -> Column:
-    """One entry of a bibliography: fields that aren't empty, in order, with their signs below one another."""
-    every = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), v.cast("string").alias("v")) for n, v in fields]), lambda f: f["v"] != "")
-    width = F.coalesce(F.array_max(F.transform(every, lambda f: F.length(f["n"]))), F.lit(0))
-    lines = F.transform(every, lambda f: F.concat(F.lit("  "), F.rpad(f["n"], width, F.lit(" ")), F.lit(" = {"), f["v"], F.lit("},")))
+def filled_fields(fields: list[tuple[str, Column]]) -> Column:
+    """The fields of an entry that aren't empty, in order, with their names. Select it before :func:`entry_text`, which reads it more than once."""
+    return F.filter(F.array(*[F.struct(F.lit(n).alias("n"), v.cast("string").alias("v")) for n, v in fields]), lambda f: f["v"] != "")
+
+
+def entry_text(kind: Column, key: Column, fields: Column) -> Column:
+    """One entry of a bibliography from its :func:`filled_fields`, their signs below one another."""
+    width = F.coalesce(F.array_max(F.transform(fields, lambda f: F.length(f["n"]))), F.lit(0))
+    lines = F.transform(fields, lambda f: F.concat(F.lit("  "), F.rpad(f["n"], width, F.lit(" ")), F.lit(" = {"), f["v"], F.lit("},")))
     return F.concat_ws("\n", F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",")), F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit("}"))
 
 
@@ -80,7 +89,8 @@ def bibliography_entry(docs: DataFrame, with_abstract: bool = True) -> DataFrame
         ("school", F.when(thesis, tex(F.col("institution")))), ("institution", F.when(~thesis, tex(F.col("institution")))), ("address", tex(F.col("city"))), *[(n, ids(n)) for n in ("doi", "issn", "isbn", "pmid")], ("eprint", ids("arxiv")),
         ("url", decoded(F.try_element_at("websites", F.lit(1)))), ("keywords", tex(F.array_join("keywords", ", "))), ("abstract", tex(F.col("abstract")) if with_abstract else F.lit(None)), ("note", note),
     ]
-    return docs.select("citekey", entry_text(kind, F.col("citekey"), fields).alias("entry"))
+    x = docs.select("citekey", kind.alias("kind"), filled_fields(fields).alias("fields"))
+    return x.select("citekey", entry_text(F.col("kind"), F.col("citekey"), F.col("fields")).alias("entry"))
 
 
 def annotation_pages(docs: DataFrame, notes: DataFrame) -> DataFrame:
