@@ -115,6 +115,43 @@ def test_segments_meet_all_near_dois(spark):
     assert {r["new"] for r in history.probe(history.index_rows(d.where("id = 0")), d).collect()} == set(range(1, len(forms) + 1))
 
 
+def test_keys_meet_all_that_verify_accepts(spark):
+    """Records that lack their page meet by titles and DOIs wherever edits lie, and whatever else they lack."""
+    doi = "10.90137/aomt-932553646"
+    edited = lambda *at: "".join("x" if i in at else c for i, c in enumerate(A.replace(",", "")))
+    rows = [
+        (1, 0, A, "Chokoberg", "2009", None, "57", "2394", doi),
+        (2, 1, A, "Chokoberg", "2010", None, "57", None, "10.90131/aomt-932558646"),
+        (3, 1, edited(5, 7, 9), "Chokoberg", "2008", None, "57", None, None),
+        (4, 2, edited(5, 25, 62), "Chokoberg", None, None, None, None, None),
+        (5, 2, A, "Li", None, None, None, None, None),
+        (6, 0, "Folding of " + A, "Li", "2001", None, None, None, None),
+        (7, 1, "Folding of " + A, "Li", None, None, None, None, None),
+        (8, 1, "Towards " + A, None, "2009", None, "57", "2394", None),
+    ]
+    every = checkpoint(history.describe(entries(spark, rows)))
+    old, new = every.select(F.col("id").alias("old")), every.select(F.col("id").alias("new"))
+    want = pairs(history.verify(old.crossJoin(new).where("old < new"), every, every))
+    assert {(1, 2), (1, 3), (1, 4), (6, 7), (1, 8)} <= want
+    assert want <= pairs(history.at_once(entries(spark, rows)))
+
+
+def test_keys_of_near_dois_without_pages(spark):
+    """Any two edits leave DOIs a key in common, also where nothing else is known."""
+    base, rnd = "10.90137/aomt-932553646", random.Random(3)
+    forms = set()
+    while len(forms) < 120:
+        t = list(base)
+        for _ in range(2):
+            k, how = rnd.randrange(8, len(t)), rnd.choice("sid")
+            t[k : k + (how != "i")] = [] if how == "d" else [rnd.choice("0123456789")]
+        forms.add("".join(t))
+    rows = [(0, 0, A, None, None, None, None, None, base)] + [(i + 1, 1, A, None, None, None, None, None, f) for i, f in enumerate(sorted(forms))]
+    got = history.describe(entries(spark, rows))
+    met = {r["new"] for r in history.probe(history.index_rows(got.where("id = 0")), got).collect()}
+    assert met == {r["id"] for r in got.where("id > 0 and levenshtein(doi, '" + base + "') <= 2").collect()}
+
+
 def test_names(spark):
     given = ["Dvéskaustonova", "Dvéskaustonova, Charlotte", "C. DVESKAUSTONOVA", "Charlotte Dveskaustonova", "Lottie Dvéskaustonova", "Dvéskaustonova, Wenjing", "Dveskaustonvoa, C.", "Omosen, Charlotte", "Omosen", "W. B. Omosen", "W. A. Omosen", "van der Drullábek, D.", "Dmitri van der Drullabek", "Yédránnec Laboratory of Interfacial Science", "YEDLIS (Yédránnec)", "YEDLIS", "Yédránnec Lab. of Interfacial Science", None, "", "  ", "12", "Omosen"]
     got = pairs(names.same_names(spark.createDataFrame([(n, 1) for n in given], "name string, uses int")))
