@@ -160,6 +160,27 @@ def test_marks_and_plans_in_order(spark):
     assert rows(reports.inbox_plan(found, keys, items), "file", "plan") == [("1", "attach"), ("2", "refuse: unknown key"), ("3", "attach"), ("4", "refuse: DOI of several records"), ("5", "create"), ("6", "refuse: nothing names it")]
 
 
+def test_letters_bound_the_ratio(spark):
+    """Counts of letters never part titles that the ratio holds together, and part most of the others before they are compared."""
+    rnd = random.Random(8)
+    words = ["gel", "foam", "flow", "folding", "membrane", "resin", "collapse", "wetting", "porous", "dilute", "charged", "shear", "ee" * 150]
+    pool = [" ".join(rnd.choice(words) for _ in range(6)) for _ in range(40)]
+    pool += ["".join(c if rnd.random() > 0.08 else rnd.choice("aeiou ") for c in t) for t in pool]
+    df = spark.createDataFrame([(a, b, difflib.SequenceMatcher(None, a, b).ratio()) for a in pool for b in pool], "a string, b string, ratio double")
+    apart = resolve.letters_apart(resolve.letter_counts(F.col("a")), resolve.letter_counts(F.col("b")))
+    n = F.length("a") + F.length("b")
+    assert df.where((F.col("ratio") >= 0.9) & (apart > 0.1 * n + 1e-6)).count() == 0
+    assert df.where((F.col("ratio") < 0.6) & (apart <= 0.1 * n)).count() < 0.1 * df.where("ratio < 0.6").count()
+
+
+def test_equal_titles_are_compared_once(spark):
+    """Lines and entries of one title and year stand for all of their kind, and each line gets the smallest key."""
+    e = lib(spark, [(f"K{i:02}", None, "Shear flow of dilute foams in gels", "Omo", "1999", None, None) for i in range(9, 60)] + [("J", None, "Shear flow of dilute foams in gels", "Omo", "2005", None, None)])
+    refs = [(i, None, "Shear flow of dilute foams in gelz", None, (None, "1999", "2000", "2005", "2010")[i % 5], None, None, "x") for i in range(50)]
+    found = dict(rows(resolve.by_title(spark.createDataFrame(refs, REF), e), "ref_id", "match"))
+    assert found == {i: ("J", "K09", "K09", "J")[i % 5] for i in range(50) if i % 5 < 4}
+
+
 def test_annotations_are_counted_by_file(spark, tmp_path):
     """[J2] Rows of a file that stand twice count as in SQL, and what is joined is files, not annotations of files."""
     import duckdb
