@@ -152,6 +152,13 @@ def test_keys_of_near_dois_without_pages(spark):
     assert met == {r["id"] for r in got.where("id > 0 and levenshtein(doi, '" + base + "') <= 2").collect()}
 
 
+def test_slips_of_the_nearer_name(spark):
+    """A slip stands for the name it is one letter from, though a commoner one is two away."""
+    tokens = spark.createDataFrame([("pedraky", 12), ("knedraky", 30), ("pledraky", 1), ("pedarky", 1)], "token string, uses bigint")
+    got = {r["token"]: r["stands_for"] for r in names.slips(tokens, ratio=0.75).collect()}
+    assert got["pledraky"] == "pedraky" and got["pedarky"] == "pedraky"
+
+
 def test_names(spark):
     given = ["Dvéskaustonova", "Dvéskaustonova, Charlotte", "C. DVESKAUSTONOVA", "Charlotte Dveskaustonova", "Lottie Dvéskaustonova", "Dvéskaustonova, Wenjing", "Dveskaustonvoa, C.", "Omosen, Charlotte", "Omosen", "W. B. Omosen", "W. A. Omosen", "van der Drullábek, D.", "Dmitri van der Drullabek", "Yédránnec Laboratory of Interfacial Science", "YEDLIS (Yédránnec)", "YEDLIS", "Yédránnec Lab. of Interfacial Science", None, "", "  ", "12", "Omosen"]
     got = pairs(names.same_names(spark.createDataFrame([(n, 1) for n in given], "name string, uses int")))
