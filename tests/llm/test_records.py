@@ -234,6 +234,23 @@ def test_bands_survive_one_typo(spark):
     assert got == {(1, 1), (1, 2), (1, 3), (2, 4)}
 
 
+def test_hopeless_pairs_are_left_out(spark):
+    """Only pairs that can't reach the least probability whatever their dearer measures say miss in the features."""
+    e = linkage.read_entries(entries(spark, [(1, 0, A, "Čámo", "2009", "Annals of Membrane Transport", "57", "2394", None), (2, 0, "Effect of glydoide on the surface charge of a salt-free ionic liquid", "Dreteigu", "2020", "Journal of Interfacial Rheology", "70", "12", None), (3, 0, None, "Omo", None, None, "3", "4", None), (4, 0, "Erratum: " + A, "Camo", "2010", None, "58", "1", None)]))
+    r = checkpoint(linkage.read_refs(_refs(spark, [
+        (10, None, "How vaxraol controls foldign in a salt-free lipid bilayer", "Čámo C", "2009", "Ann. Membr. Transp.", "Čámo C: Ann. Membr. Transp. 57 (2009) 2394"),
+        (11, None, None, "Camo", "2009", None, "Camo. 2009. Ann. Membr. Transp., vol. 57, pp. 2394ff."), (12, None, "Efect of glydoide on the surface charge of a salt-free ionic liquid", "Dreteigo", None, "JIR", None),
+        (13, None, "Quite another thing under another year", "Xumo", "1955", "JQX", "Xumo, JQX 1 (1955) 7"), (14, None, None, None, None, None, None), (15, None, "Ännals of \U0001d400 \n tea", "Li, Wu", "n. d.", "", "12 70 2020"),
+    ])))
+    every = e.select("entry").crossJoin(r.select("line"))
+    for weights, constant in ((linkage.PRIOR, -5.0), ({f: -w for f, w in linkage.PRIOR.items()}, 2.0), (dict.fromkeys(linkage.FEATURES, 1.0), -7.5)):
+        logit = sum((F.col(f) * w for f, w in weights.items()), F.lit(constant))
+        reach = lambda df: {tuple(x) for x in df.where(logit >= 0).select("entry", "line", *linkage.FEATURES).collect()}  # noqa: B023, E731
+        whole, pruned = linkage.features(every, e, r), linkage.features(every, e, r, model=(weights, constant, 0.5))
+        assert reach(pruned) == reach(whole)
+        assert pruned.count() < whole.count() == 24
+
+
 def test_matching_void(spark):
     e, r = entries(spark, []), _refs(spark, [])
     assert linkage.match(e, r).count() == 0
