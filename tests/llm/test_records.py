@@ -1,6 +1,7 @@
 """The operators on records: results, edge cases, and agreement with plainer ways on small fixtures."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -76,6 +77,22 @@ def test_batches_as_whole(spark, sf):
     assert pairs(history.duplicates(e)) == {(find(x), x) for x in up if find(x) != x}
 
 
+def test_kept_tables_leave_no_shuffle_files(spark):
+    """What a kept table was made from goes from disk when it is written, not when the driver collects its garbage."""
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    kept = checkpoint(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_short_and_shifted_titles(spark):
     """Titles below the head's length meet with a letter more or less, and two letters that were put in before a segment move it by two."""
     rows = [(1, 0, "Protein folds of yeast", "Omo", "2000", None, "5", None, None), (2, 1, "Protein folds of yeastt", "Omo", "2000", None, "5", None, None), (3, 1, "Prottein folds of yeasts", "Omo", "2000", None, "5", None, None), (4, 0, "Wettability of granular beds in shear", "Bumo", "2001", None, "6", None, None), (5, 2, "Wexttxability of granular beds in shear", "Bumo", "2001", None, "6", None, None)]
