@@ -77,6 +77,18 @@ def test_batches_as_whole(spark, sf):
     assert pairs(history.duplicates(e)) == {(find(x), x) for x in up if find(x) != x}
 
 
+def test_small_batches_share_a_pass(spark, monkeypatch):
+    """Batches that aren't more than what came before are checked in one pass, each record against earlier ones only."""
+    assert history.together([(0, 60), (1, 5), (2, 55), (3, 60), (5, 60)]) == [(0, 0), (1, 2), (3, 5)]
+    assert history.together([]) == [] and history.together([(4, 1), (7, 9)]) == [(4, 4), (7, 7)]
+    rows = [(i, 0, f"{A} in sample {i}", "Omo", "2009", "J", str(i), "9", None) for i in range(8)]
+    rows += [(20, 3, A + " in sample 4", "Omo", "2009", "J", "4", None, None), (21, 2, A + " in sample 4.", "Omo", "2009", "J", "4", "9", None), (22, 1, "Wettability of granular beds in shear", "Bumo", "2001", None, "6", None, None), (19, 4, "Wettability of granular beds in shears", "Bumo", "2001", None, "6", None, None)]
+    passes, check = [], history.check_batch
+    monkeypatch.setattr(history, "check_batch", lambda h, b: passes.append(1) or check(h, b))
+    assert pairs(history.duplicates(entries(spark, rows))) == {(4, 20), (4, 21), (22, 19)}
+    assert len(passes) == 2
+
+
 def test_kept_tables_leave_no_shuffle_files(spark):
     """What a kept table was made from goes from disk when it is written, not when the driver collects its garbage."""
     def files():
