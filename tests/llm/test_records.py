@@ -280,6 +280,18 @@ def test_hopeless_pairs_are_left_out(spark):
         assert pruned.count() < whole.count() == 24
 
 
+def test_matching_plans_stay_small(spark):
+    """No query that runs on the way repeats what could be kept: the driver holds a plan's text again and again while it runs."""
+    e = entries(spark, [(1, 0, A, "Čámo", "2009", "Annals of Membrane Transport", "57", "2394", None), (2, 1, A, "Camo", "2009", "Annals of Membrane Transport", "57", "2394", None)])
+    r = _refs(spark, [(10, None, A, "Čámo C", "2009", "Ann. Membr. Transp.", "Čámo C: Ann. Membr. Transp. 57 (2009) 2394")])
+    kept = spark._jsparkSession.sharedState().statusStore()
+    done = kept.executionsCount()
+    assert [tuple(x)[:2] for x in linkage.match(e, r).collect()] == [(10, 1)]
+    ran = kept.executionsList(done, 1000)
+    sizes = [len(ran.apply(i).physicalPlanDescription()) for i in range(ran.size())]
+    assert len(sizes) > 8 and max(sizes) < 150_000
+
+
 def test_matching_void(spark):
     e, r = entries(spark, []), _refs(spark, [])
     assert linkage.match(e, r).count() == 0
