@@ -292,6 +292,24 @@ def test_matching_plans_stay_small(spark):
     assert len(sizes) > 8 and max(sizes) < 150_000
 
 
+def test_training_pairs_are_chosen_before_they_are_measured(spark):
+    """The pairs of smallest rank of either label, and only these, are measured; the model is the one that all pairs give."""
+    e = linkage.read_entries(entries(spark, [(i, 0, f"{A} {i}", "Čámo", "2009", "Annals of Foam", "5", str(i), f"10.90137/{i}{i * 7919}") for i in range(1, 31)]))
+    r = checkpoint(linkage.read_refs(_refs(spark, [(i, f"10.90137/{i}{i * 7919}", f"{A} {i}", "Čámo C", "2009", "Ann. Foam", f"Čámo, Ann. Foam 5 (2009) {i}") for i in range(1, 31)] + [(99, None, A, "Čámo", "2009", None, None)])))
+    every = checkpoint(e.select("entry").crossJoin(r.select("line")))
+    got = linkage.chosen(every, e, r, sample=20)
+    assert got.count() == 40
+    whole, few = linkage.features(every, e, r, labels=True), linkage.features(got, e, r, labels=True)
+    assert linkage.model(few, 20, 5) == linkage.model(whole, 20, 5) != [*linkage.PRIOR.values(), -5.0]
+
+
+def test_sketches_are_made_once_a_record(spark):
+    """Below the listing of bands, not above it."""
+    e = checkpoint(linkage.read_entries(entries(spark, [(1, 0, A, "Čámo", "2009", "Annals of Foam", "5", "7", None)])))
+    plan = linkage._bands(e, "e", "entry", [], firm=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftleft" not in plan.split("Generate explode")[0] and "shiftleft" in plan.split("Generate explode")[1]
+
+
 def test_matching_void(spark):
     e, r = entries(spark, []), _refs(spark, [])
     assert linkage.match(e, r).count() == 0
